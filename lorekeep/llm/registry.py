@@ -6,15 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing, token_store
+from . import minhash, packing, pii, token_store
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
     return {
+        "op1_minhash_near_dedup": minhash.query,
         "op2_token_store": token_store.query,
         "op6_best_fit_packing": packing.query,
+        "op10_pii": pii.query,
     }
 
 
