@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import minhash, packing, pii, token_store
+from . import langid, minhash, packing, pii, quality, token_store, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -15,7 +15,10 @@ def queries() -> dict[str, Query]:
     return {
         "op1_minhash_near_dedup": minhash.query,
         "op2_token_store": token_store.query,
+        "op3_toxicity": toxicity.query,
+        "op4_language_id": langid.query,
         "op6_best_fit_packing": packing.query,
+        "op9_quality_resampling": quality.query,
         "op10_pii": pii.query,
     }
 
