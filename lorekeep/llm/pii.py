@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import work
+from . import samples, work
 
 KINDS = ("email", "ip", "card", "phone")
 #: Documents whose tokens the weights are fitted on, and tokens of each.
@@ -234,7 +234,9 @@ def written(spans: list[Span]) -> str:
 
 def fit_on(docs: DataFrame) -> Field:
     """Weights from the documents with digits whose hashed ids are lowest, FIT_DOCS at most."""
-    some = docs.where("text rlike '[0-9]'").orderBy(F.xxhash64(F.col("doc_id")), "doc_id", "text").limit(FIT_DOCS)
+    ids = samples.lowest_hashed(docs.where("text rlike '[0-9]'").select(F.col("doc_id").alias("id"), F.col("doc_id")), FIT_DOCS).select("id").distinct()
+    ids = work.staged(ids, work.work_folder(docs.sparkSession), "ids")
+    some = docs.join(F.broadcast(ids), F.col("doc_id") == F.col("id")).orderBy("doc_id", "text").limit(FIT_DOCS)
     texts = [r.text for r in some.select("doc_id", F.substring("text", 1, 20_000).alias("text")).collect()]
     return fit([Graph(t, base_spans(t), FIT_TOKENS) for t in texts])
 

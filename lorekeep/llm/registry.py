@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import langid, minhash, packing, pii, quality, token_store, toxicity
+from . import kd_topk, langid, minhash, packing, pii, pq_dedup, quality, token_store, toxicity, unigram
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -17,7 +17,10 @@ def queries() -> dict[str, Query]:
         "op2_token_store": token_store.query,
         "op3_toxicity": toxicity.query,
         "op4_language_id": langid.query,
+        "op5_embedding_near_dedup": pq_dedup.query,
         "op6_best_fit_packing": packing.query,
+        "op7_exact_top_k": kd_topk.query,
+        "op8_sentencepiece": unigram.query,
         "op9_quality_resampling": quality.query,
         "op10_pii": pii.query,
     }
