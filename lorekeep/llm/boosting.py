@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import numpy as np
 
-BINS = 64
+#: Bins of a feature, least weight of a side of a split, and shrinkage of leaf values.
+BINS, LEAST, SHRINK = 64, 2.0, 3.0
 
 
 class Trees:
@@ -80,8 +81,8 @@ def fit(x: np.ndarray, y: np.ndarray, calibrate: np.ndarray, n_trees: int = 80,
                 k = len(e) + 1
                 g = np.bincount(local * k + binned[:, f], grad, width * k).reshape(width, k).cumsum(1)[:, :-1]
                 h = np.bincount(local * k + binned[:, f], hess, width * k).reshape(width, k).cumsum(1)[:, :-1]
-                gain = g**2 / (h + 1) + (g_all[:, None] - g) ** 2 / (h_all[:, None] - h + 1) - (g_all**2 / (h_all + 1))[:, None]
-                gain[(h < 0.5) | (h_all[:, None] - h < 0.5)] = 0
+                gain = g**2 / (h + SHRINK) + (g_all[:, None] - g) ** 2 / (h_all[:, None] - h + SHRINK) - (g_all**2 / (h_all + SHRINK))[:, None]
+                gain[(h < LEAST) | (h_all[:, None] - h < LEAST)] = 0
                 top = gain.argmax(1)
                 value = gain[np.arange(width), top]
                 better = value > best
@@ -92,7 +93,7 @@ def fit(x: np.ndarray, y: np.ndarray, calibrate: np.ndarray, n_trees: int = 80,
             node = 2 * node + 1 + (xt[np.arange(len(xt)), features[node]] > cuts[node])
         leaf = node - n_nodes
         g, h = np.bincount(leaf, grad, 2**depth), np.bincount(leaf, hess, 2**depth)
-        values = rate * g / (h + 1)
+        values = rate * g / (h + SHRINK)
         margin += values[leaf]
         model.features.append(features)
         model.cuts.append(cuts)

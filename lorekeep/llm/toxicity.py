@@ -1,9 +1,9 @@
 """Toxicity: gradient-boosted trees over dense features of the whole text, calibrated by isotonic regression.
 
-Features: density and weight of lexicon words, the same after undoing letter substitutions, second-person words and those near
-a lexicon word, capitals, punctuation, digits, obfuscated and single-letter words, length. The lexicon is learned: words much
-more frequent in toxic than in other documents of one half of the labelled sample; trees are fitted on the other half, so they
-see the lexicon as new documents do. Labels come only from rows that `fold` admits.
+Features: density and weight of lexicon words, learned ones and common insults, the same after undoing letter substitutions, second-person words and those near
+a lexicon word, capitals, punctuation, digits, obfuscated and single-letter words, length. The lexicon is learned: words and word
+beginnings much more frequent in toxic than in other documents of one half of the labelled sample; trees are fitted on the other
+half, so they see the lexicon as new documents do. Labels come only from rows that `fold` admits.
 
 Null and empty texts get the features of an empty text and a score like any other. Rows that repeat a doc_id are scored each.
 Other columns are ignored. Without labels of both kinds each score is the share of toxic labels. An empty table gives no rows.
@@ -11,6 +11,8 @@ Other columns are ignored. Without labels of both kinds each score is the share
 
 from __future__ import annotations
 
+import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,12 +26,19 @@ from .shingles import LOWER, span_hashes, word_bounds
 #: Most labelled documents of each kind that are learned from, and most words of the lexicon.
 FIT_TOXIC, FIT_OTHER, LEXICON = 4000, 6000, 300
 THRESHOLD = 0.3
-#: Words of less than this part of the best word's evidence are left out: most stand in copies of one toxic text.
-CLEAR = 0.15
+#: Bytes of the word beginnings that the lexicon may hold beside whole words.
+PREFIXES = range(5, 11)
+#: Standard errors taken off a word's log odds, and the least part of the best word's evidence that counts.
+DOUBT, CLEAR = 3.0, 0.02
 NEAR = 6
 # Second-person words of English, French, German and Spanish.
 SECOND_PERSON = "you your yours yourself u ur tu toi te ton ta tes vous votre vos du dich dir dein deine deinen deiner ihr euch euer tú ti tus usted ustedes vosotros".split()
-FEATURES = 15
+# Common insults of English, French, German and Spanish.
+INSULTS = """idiot idiots moron morons stupid dumb loser losers trash garbage scum pathetic disgusting worthless clown clowns ugly fool jerk freak creep
+imbecile imbécile crétin crétine connard connasse stupide débile ordure salaud salope pourriture minable
+dumm dumme blöd trottel arschloch abschaum versager widerlich wertlos ekelhaft vollidiot depp
+idiota estúpido estúpida imbécil tonto tonta basura asqueroso asquerosa patético patética perdedor escoria payaso""".split()
+FEATURES = 17
 
 _NOT_LETTER = np.array([not (chr(b).isalpha() if b < 128 else True) for b in range(256)])
 _PUNCT = np.array([b < 128 and 32 < b < 127 and not chr(b).isalnum() for b in range(256)])
@@ -43,26 +52,45 @@ _SIGNS = np.zeros(256, bool)
 _SIGNS[[ord(c) for c in "013457@$!|*"]] = True
 
 
-def hashed(words: list[str]) -> np.ndarray:
+def hashed(raw: list[bytes]) -> np.ndarray:
     """Hashes of single words as they get in a text."""
-    raw = [w.encode() for w in words]
     ends = np.cumsum([len(w) for w in raw])
     data = np.frombuffer(b"".join(raw), np.uint8)
     return span_hashes(data, ends - np.array([len(w) for w in raw]), ends) if raw else np.zeros(0, np.uint64)
 
 
 class Lexicon:
-    def __init__(self, words: list[str], weights: list[float]):
-        h = hashed(words)
-        order = np.argsort(h)
-        self.hashes, self.weights = h[order], np.array(weights, np.float64)[order]
-        self.you = np.sort(hashed(SECOND_PERSON))
-
-    def weigh(self, h: np.ndarray) -> np.ndarray:
-        if not len(self.hashes):
+    """Whole words and word beginnings with weights from 0 to 1; words come as themselves, beginnings with a hyphen."""
+
+    def __init__(self, words: list[bytes], weights: list[float]):
+        self.tables = []
+        for whole in (True, False):
+            some = [i for i, w in enumerate(words) if w.endswith(b"-") != whole]
+            h = hashed([words[i].removesuffix(b"-") for i in some])
+            order = np.argsort(h)
+            self.tables.append((h[order], np.array([weights[i] for i in some], np.float64)[order]))
+        self.strong = 0.5 * max(weights, default=1.0)
+        self.you = np.sort(hashed([w.encode() for w in SECOND_PERSON]))
+        self.insults = np.sort(hashed([w.encode() for w in INSULTS]))
+
+    def weigh(self, h: np.ndarray, whole: bool = True) -> np.ndarray:
+        hashes, weights = self.tables[0 if whole else 1]
+        if not len(hashes) or not len(h):
             return np.zeros(len(h))
-        at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
-        return np.where(self.hashes[at] == h, self.weights[at], 0.0)
+        at = np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)
+        return np.where(hashes[at] == h, weights[at], 0.0)
+
+    def weigh_words(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Hash of each word, and the largest weight of the word or one of its beginnings."""
+        h = span_hashes(data, starts, ends)
+        weight = self.weigh(h)
+        if len(self.tables[1][0]):
+            for n in PREFIXES:
+                own = np.flatnonzero(ends - starts >= n)
+                if len(own):
+                    w = self.weigh(span_hashes(data, starts[own], starts[own] + n), False)
+                    weight[own] = np.maximum(weight[own], w)
+        return h, weight
 
 
 def _sums(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
@@ -75,11 +103,11 @@ def features(data: np.ndarray, offsets: np.ndarray, lexicon: Lexicon) -> np.ndar
     n = len(offsets) - 1
     low = LOWER[data]
     starts, ends = word_bounds(low, offsets, _NOT_LETTER)
-    h = span_hashes(low, starts, ends)
-    weight = lexicon.weigh(h)
+    h, weight = lexicon.weigh_words(low, starts, ends)
     at = np.searchsorted(starts, offsets)
     words = np.maximum(np.diff(at), 1)
-    hit = weight > 0
+    insult = np.isin(h, lexicon.insults)
+    hit = (weight > 0) | insult
     you = np.isin(h, lexicon.you)
     # second-person words with a lexicon word among the NEAR words on either side
     doc = np.repeat(np.arange(n), np.diff(at))
@@ -96,16 +124,17 @@ def features(data: np.ndarray, offsets: np.ndarray, lexicon: Lexicon) -> np.ndar
     prefix = np.concatenate(([0], np.cumsum(changed)))
     odd = (prefix[e2] > prefix[s2]) & ((e2 - s2) - (prefix[e2] - prefix[s2]) >= 2)
     s2, e2 = s2[odd], e2[odd]
-    masked = lexicon.weigh(span_hashes(undone, s2, e2)) if len(s2) else np.zeros(0)
+    h2 = span_hashes(undone, s2, e2) if len(s2) else np.zeros(0, np.uint64)
+    masked = (lexicon.weigh(h2) > 0) | np.isin(h2, lexicon.insults)
     at2 = np.searchsorted(s2, offsets)
     chars = np.maximum(np.diff(offsets), 1)
-    strong = weight >= 0.75 * lexicon.weights.max() if len(lexicon.weights) else hit
+    strong = weight >= lexicon.strong
     x = np.zeros((n, FEATURES))
     x[:, 0] = 100 * _sums(weight, at) / words
     x[:, 1] = np.log1p(_sums(hit, at))
     x[:, 2] = 100 * _sums(strong, at) / words
     x[:, 3] = np.log1p(_sums(strong, at))
-    x[:, 4] = np.log1p(_sums(masked > 0, at2))
+    x[:, 4] = np.log1p(_sums(masked, at2))
     x[:, 5] = 100 * _sums(you, at) / words
     x[:, 6] = _sums(near, at)
     x[:, 7] = _sums(_UPPER[data], offsets) / chars
@@ -116,6 +145,8 @@ def features(data: np.ndarray, offsets: np.ndarray, lexicon: Lexicon) -> np.ndar
     x[:, 12] = np.diff(at2) / words
     x[:, 13] = _sums((ends - starts) == 1, at) / words
     x[:, 14] = np.log1p(np.diff(at))
+    x[:, 15] = 100 * _sums(insult, at) / words
+    x[:, 16] = np.log1p(_sums(insult, at))
     return x
 
 
@@ -130,16 +161,15 @@ def _featured(lexicon: Lexicon):
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(word, toxic, other): in how many documents of this task each word stands."""
-    import re
-    from collections import Counter
-
     counts = (Counter(), Counter())
-    pattern = re.compile(r"[^\W\d_]+")
+    pattern = re.compile(rb"[A-Za-z\x80-\xff]+")
     for batch in batches:
         for text, label in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-            counts[label].update({"".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in w) if not w.islower() else w for w in set(pattern.findall(text or ""))})
-    words = [w for w in counts[1] if 2 < len(w.encode()) < 40]
-    yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array([counts[1][w] for w in words], pa.int64()), pa.array([counts[0][w] for w in words], pa.int64())], ["word", "toxic", "other"])
+            words = {w for w in pattern.findall((text or "").encode().lower()) if len(w) > 2}
+            counts[label].update(words)
+            counts[label].update({w[:n] + b"-" for w in words for n in PREFIXES if len(w) >= n})
+    words = [w for w in counts[1] if len(w) < 40]
+    yield pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array([counts[1][w] for w in words], pa.int64()), pa.array([counts[0][w] for w in words], pa.int64())], ["word", "toxic", "other"])
 
 
 class Model:
@@ -163,14 +193,14 @@ def train(docs: DataFrame, labels: DataFrame, fold: Column) -> Model:
     sizes = {r.label: r.n for r in first.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     toxic, other = max(1, sizes.get(1, 0)), max(1, sizes.get(0, 0))
     ratio = F.log((F.col("toxic") + 0.5) / (toxic + 1.0)) - F.log((F.col("other") + 0.5) / (other + 1.0))
-    counted = first.mapInArrow(_counted, "word string, toxic long, other long").groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
-    least = max(3, toxic // 100)
-    # what counts is both how much likelier a word is in toxic texts and how many of them it explains
-    found = counted.where(F.col("toxic") >= least).withColumn("weight", ratio).where("weight > 2.5")
+    counted = first.mapInArrow(_counted, "word binary, toxic long, other long").groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
+    # a word counts by how much likelier, at the least, it is in toxic texts, and by how many of them it explains
+    doubt = F.sqrt(1 / (F.col("toxic") + 0.5) + 1 / (F.col("other") + 0.5))
+    found = counted.where(F.col("toxic") >= max(4, toxic // 100)).withColumn("weight", ratio - DOUBT * doubt).where("weight > 0.5")
     rows = found.withColumn("rank", F.col("toxic") * F.col("weight")).orderBy(F.desc("rank"), "word").limit(LEXICON).collect()
     top = max((r["rank"] for r in rows), default=1.0)
     rows = [r for r in rows if r["rank"] >= CLEAR * top]
-    lexicon = Lexicon([r.word for r in rows], [r["rank"] / top for r in rows])
+    lexicon = Lexicon([bytes(r.word) for r in rows], [r["rank"] / top for r in rows])
     got = second.mapInArrow(_featured(lexicon), "doc_id long, label int, x array<double>").collect()
     got.sort(key=lambda r: r.doc_id)
     x = np.array([r.x for r in got]).reshape(-1, FEATURES)
