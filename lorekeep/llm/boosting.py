@@ -33,12 +33,12 @@ class Trees:
         return 0.998 * np.interp(m, self.at, self.levels) + 0.002 / (1 + np.exp(-np.clip(m, -30, 30)))
 
 
-def isotonic(margin: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def isotonic(margin: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Nondecreasing least-squares fit: positions and levels, pooled from violators."""
     order = np.argsort(margin, kind="stable")
     blocks: list[list[float]] = []
-    for m, v in zip(margin[order].tolist(), y[order].tolist(), strict=True):
-        blocks.append([v, 1.0, m, m])
+    for m, v, w in zip(margin[order].tolist(), y[order].tolist(), weight[order].tolist(), strict=True):
+        blocks.append([v, w, m, m])
         while len(blocks) > 1 and blocks[-2][0] >= blocks[-1][0]:
             v2, n2, _, hi = blocks.pop()
             v1, n1, lo, _ = blocks.pop()
@@ -50,22 +50,23 @@ def isotonic(margin: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return np.array(at), np.array(levels)
 
 
-def fit(x: np.ndarray, y: np.ndarray, calibrate: np.ndarray, n_trees: int = 80, depth: int = 4, rate: float = 0.15) -> Trees:
-    """calibrate marks the rows that fit the isotonic step instead of the trees. Without both classes the score is constant."""
-    prior = float(np.clip(y.mean() if len(y) else 0.0, 1e-3, 1 - 1e-3))
+def fit(x: np.ndarray, y: np.ndarray, calibrate: np.ndarray, weight: np.ndarray, n_trees: int = 80, depth: int = 4, rate: float = 0.15) -> Trees:
+    """calibrate marks the rows that fit the isotonic step instead of the trees; weight says how many rows of the whole each stands for.
+    Without both classes the score is constant."""
+    prior = float(np.clip(np.average(y, weights=weight) if len(y) else 0.0, 1e-3, 1 - 1e-3))
     model = Trees(depth, float(np.log(prior / (1 - prior))))
     model.at, model.levels = np.array([0.0]), np.array([prior])
     train = ~calibrate
     if len(np.unique(y[train])) < 2 or len(np.unique(y[calibrate])) < 2:
         return model
-    xt, yt = x[train], y[train]
+    xt, yt, wt = x[train], y[train], weight[train] / weight[train].mean()
     edges = [np.unique(np.quantile(xt[:, f], np.linspace(0, 1, BINS + 1)[1:-1])) for f in range(x.shape[1])]
     binned = np.stack([np.searchsorted(e, xt[:, f], side="left") for f, e in enumerate(edges)], axis=1)
     margin = np.full(len(yt), model.bias)
     n_nodes = 2**depth - 1
     for _ in range(n_trees):
         p = 1 / (1 + np.exp(-margin))
-        grad, hess = yt - p, p * (1 - p)
+        grad, hess = wt * (yt - p), wt * p * (1 - p)
         node = np.zeros(len(yt), np.int64)
         features, cuts = np.zeros(n_nodes, np.int64), np.full(n_nodes, np.inf)
         for level in range(depth):
@@ -98,5 +99,5 @@ def fit(x: np.ndarray, y: np.ndarray, calibrate: np.ndarray, n_trees: int = 80,
         model.features.append(features)
         model.cuts.append(cuts)
         model.values.append(values)
-    model.at, model.levels = isotonic(model.margin(x[calibrate]), y[calibrate])
+    model.at, model.levels = isotonic(model.margin(x[calibrate]), y[calibrate], weight[calibrate])
     return model

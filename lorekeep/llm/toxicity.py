@@ -205,7 +205,10 @@ def train(docs: DataFrame, labels: DataFrame, fold: Column) -> Model:
     got.sort(key=lambda r: r.doc_id)
     x = np.array([r.x for r in got]).reshape(-1, FEATURES)
     y = np.array([r.label for r in got], np.float64)
-    return Model(lexicon, boosting.fit(x, y, np.arange(len(y)) % 4 == 0))
+    # toxic documents are sampled more densely than others; weights restore their shares
+    shares = {r.label: r.n for r in labels.where(fold).groupBy(F.col("toxic").cast("int").alias("label")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    weight = np.where(y == 1, shares.get(1, 1) / max(1, y.sum()), shares.get(0, 1) / max(1, len(y) - y.sum()))
+    return Model(lexicon, boosting.fit(x, y, np.arange(len(y)) % 4 == 0, weight))
 
 
 def _scored(model: Model):
