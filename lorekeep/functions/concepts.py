@@ -20,5 +20,9 @@ _RELATED = {word: group for group in CONCEPTS for word in group}
 
 def expand(terms: list[str]) -> list[str]:
     """The terms, then the other words of their concepts; each word once, whatever its case."""
-    related = [word for term in terms for word in _RELATED.get(term.lower(), ())]
-    return list({word.lower(): word for word in reversed([*terms, *related])}.values())[::-1]
+    once: dict[str, str] = {}
+    for word in terms:
+        once.setdefault(word.lower(), word)
+    for word in (w for term in terms for w in _RELATED.get(term.lower(), ())):
+        once.setdefault(word, word)
+    return list(once.values())

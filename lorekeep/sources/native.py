@@ -52,7 +52,7 @@ def _elements(value: "F.Column") -> "F.Column":
 def json_records(spark: SparkSession, tool: str, *paths: str) -> DataFrame:
     """Whole-file JSON: a list gives its items, an object with messages these (with its session id where they have none), another
     object itself, a scalar nothing."""
-    whole = spark.read.option("wholetext", True).text(list(paths)).select(F.col("_metadata.file_path").alias("source_path"), F.trim("value").alias("value"))
+    whole = spark.read.text(list(paths), wholetext=True).select(F.col("_metadata.file_path").alias("source_path"), F.trim("value").alias("value"))
     nested = F.col("value").startswith("{") & at(F.col("value"), "messages").startswith("[")
     items = F.when(F.col("value").startswith("["), _elements(F.col("value"))).when(nested, _elements(at(F.col("value"), "messages"))).when(F.col("value").startswith("{"), F.array("value")).otherwise(F.array().cast("array<string>"))
     rows = whole.select("source_path", "value", nested.alias("nested"), F.posexplode(items).alias("byte_offset", "payload"))

@@ -12,7 +12,7 @@ from ..schema import ENVELOPE, envelope_faults
 def lines(spark: SparkSession, *paths: str) -> DataFrame:
     """(raw_file, raw_line from 1, raw_offset in bytes, line, complete). A file is one row while it is read; only lines that end in a
     newline are complete, so a line that is being written is seen but not consumed."""
-    whole = spark.read.option("wholetext", True).text(list(paths)).select(F.col("_metadata.file_path").alias("raw_file"), "value")
+    whole = spark.read.text(list(paths), wholetext=True).select(F.col("_metadata.file_path").alias("raw_file"), "value")
     split = whole.select("raw_file", F.posexplode(F.split("value", "\n")).alias("at", "line"), F.size(F.split("value", "\n")).alias("n"))
     w = Window.partitionBy("raw_file").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
     offset = F.coalesce(F.sum(F.octet_length("line") + 1).over(w), F.lit(0)).cast("long")
