@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 
 #: Bins of a feature, least weight of a side of a split, and shrinkage of leaf values.
-BINS, LEAST, SHRINK = 64, 2.0, 3.0
+BINS, LEAST, SHRINK = 64, 0.5, 1.0
 
 
 class Trees:
