@@ -17,9 +17,13 @@ from ..schema import TEXT_COLUMNS, WEIGHTS
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
 
 
+#: Token columns begin with this. They are columns of their own, not fields of a struct, as Catalyst would compute fields anew for each use.
+PREFIX = "__tokens_"
+
+
 def tokenized(events: DataFrame, columns: tuple[str, ...] = TEXT_COLUMNS) -> DataFrame:
-    """events with __tokens: an array of tokens for each text column. Store this for repeated queries."""
-    return events.withColumn("__tokens", F.struct(*(text.tokens(F.col(c)).alias(c) for c in columns)))
+    """events with an array of tokens for each text column. Store this for repeated queries."""
+    return events.withColumns({PREFIX + c: text.tokens(F.col(c)) for c in columns})
 
 
 def occurrences(tokens: Column, phrase: list[str]) -> Column:
@@ -36,26 +40,27 @@ def occurrences(tokens: Column, phrase: list[str]) -> Column:
 def rank(tokens: DataFrame, terms: list[str], weights: dict[str, float] | None = None) -> DataFrame:
     """Rows of tokenized() that hold a phrase, with `score` (higher is better). A repeated term counts as often as it is given."""
     weights = weights or WEIGHTS
-    columns = tokens.schema["__tokens"].dataType.names
+    columns = [c.removeprefix(PREFIX) for c in tokens.columns if c.startswith(PREFIX)]
     wanted = text.phrases(terms)
     distinct = [list(p) for p in dict.fromkeys(map(tuple, wanted))]
-    length = sum((F.size(F.col(f"__tokens.{c}")) for c in columns), F.lit(0))
-    counted = tokens.withColumn("__len", length)
-    found = []
+    kept = [c for c in tokens.columns if not c.startswith(PREFIX)]
+    found = {"__len": sum((F.size(F.col(PREFIX + c)) for c in columns), F.lit(0))}
     for i, p in enumerate(distinct):
-        each = [occurrences(F.col(f"__tokens.{c}"), p) for c in columns]
-        found.append(F.struct(sum((n * F.lit(float(weights[c])) for n, c in zip(each, columns, strict=True)), F.lit(0.0)).alias("f"), sum(each, F.lit(0)).alias("n")).alias(f"p{i}"))
-    if not found:
-        return tokens.limit(0).withColumn("score", F.lit(0.0)).drop("__tokens")
-    counted = counted.withColumn("__found", F.struct(*found))
-    stats = counted.agg(F.count(F.lit(1)).alias("__n"), F.sum("__len").alias("__total"), *(F.count_if(F.col(f"__found.p{i}.n") > 0).alias(f"__df{i}") for i in range(len(distinct))))
-    scored = counted.where(" or ".join(f"__found.p{i}.n > 0" for i in range(len(distinct)))).crossJoin(F.broadcast(stats))
+        found |= {f"__n{i}_{c}": occurrences(F.col(PREFIX + c), p) for c in columns}
+    if not distinct:
+        return tokens.limit(0).select(*kept).withColumn("score", F.lit(0.0))
+    sums = {"__len": F.col("__len")}
+    for i in range(len(distinct)):
+        sums[f"__f{i}"] = sum((F.col(f"__n{i}_{c}") * F.lit(float(weights[c])) for c in columns), F.lit(0.0))
+        sums[f"__n{i}"] = sum((F.col(f"__n{i}_{c}") for c in columns), F.lit(0))
+    counted = tokens.withColumns(found).select(*kept, *(v.alias(k) for k, v in sums.items()))
+    stats = counted.agg(F.count(F.lit(1)).alias("__n"), F.sum("__len").alias("__total"), *(F.count_if(F.col(f"__n{i}") > 0).alias(f"__df{i}") for i in range(len(distinct))))
+    scored = counted.where(" or ".join(f"__n{i} > 0" for i in range(len(distinct)))).crossJoin(F.broadcast(stats))
     norm = K1 * ((1 - B) + B * F.col("__len") * F.col("__n") / F.col("__total"))
     score = F.lit(0.0)
     for p in wanted:
         i = distinct.index(p)
         idf = F.log((F.col("__n") - F.col(f"__df{i}") + 0.5) / (F.col(f"__df{i}") + 0.5))
-        f = F.col(f"__found.p{i}.f")
+        f = F.col(f"__f{i}")
         score = score + F.when(idf > 0, idf).otherwise(LEAST_IDF) * f * (K1 + 1) / (f + norm)
-    kept = [c for c in tokens.columns if c != "__tokens"]
     return scored.select(*kept, score.alias("score"))
