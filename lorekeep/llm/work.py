@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of an Arrow batch handed to Python; a single larger row still comes whole.
-BATCH_BYTES = "12m"
+BATCH_BYTES = "6m"
 
 
 def prepare(spark: SparkSession) -> None:
@@ -70,7 +70,7 @@ def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, offsets - offsets[0]
 
 
-def small_batches(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = 4_000_000) -> Iterator[pa.RecordBatch]:
+def small_batches(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = 2_000_000) -> Iterator[pa.RecordBatch]:
     """Split batches whose text exceeds about `most` bytes; a single row stays whole."""
     for batch in batches:
         i = batch.schema.get_field_index(text)
@@ -80,6 +80,20 @@ def small_batches(batches: Iterator[pa.RecordBatch], text: str = "text", most: i
             to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + most, side="right")) - 1)
             yield batch.slice(at, to - at)
             at = to
+    tidy()
+
+
+def tidy() -> None:
+    """Give freed memory back to the system: workers are reused, and what they keep counts against their executor."""
+    import ctypes
+    import gc
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
 
 
 def grouped(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
@@ -106,6 +120,8 @@ def grouped(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.T
         last = tuple(c[-1] for c in columns)
     if held:
         yield pa.Table.from_batches(held)
+    held = []
+    tidy()
 
 
 def kept_columns(docs: DataFrame, filter_batches: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> DataFrame:
