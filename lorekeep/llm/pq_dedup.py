@@ -5,7 +5,7 @@ its nearest centroid's list. A vector's residual to its centroid is coded in SUB
 of what the codes leave is stored. A linked vector u lies within a known distance of v, so u can be nearer to centroid c than to
 v's own only if v's products with the two differ by less than that distance times how far u - v points along their difference.
 v probes the lists within SIGMAS standard deviations of that part, had u - v a random direction (in few dimensions: all that are
-possible), which misses about one link in 100,000. In a list, table lookups give the cosine to each code, and the stored length
+possible): at the very limit about one link in 700 for each list that competes, and far fewer for closer pairs. In a list, table lookups give the cosine to each code, and the stored length
 bounds its error, so no pair of a probed list at or over the limit is lost; what passes is compared exactly.
 
 Codebooks are fitted on at most FIT_VECTORS vectors; all vectors are coded and compared.
@@ -30,7 +30,7 @@ LIMIT = 0.95
 FIT_VECTORS, SUBSPACES, WORDS, ROUNDS = 20_000, 8, 64, 8
 #: Vectors a list holds on average, lists at most, and rows of a cell's side.
 PER_LIST, MOST_LISTS, BLOCK = 256, 4096, 2048
-SIGMAS = 4.5
+SIGMAS = 3.0
 
 
 def unit(rows: list) -> tuple[np.ndarray, np.ndarray]:
