@@ -2,11 +2,11 @@
 
 Vectors are normalised in double precision; equal ones become one class with a count. A coarse codebook assigns each class to
 its nearest centroid's list. A vector's residual to its centroid is coded in SUBSPACES codes, one of WORDS each, and the length
-of what the codes leave is stored. A linked vector u lies within a known distance of v, so u can be nearer to centroid c than to
-v's own only if v's products with the two differ by less than that distance times how far u - v points along their difference.
-v probes the lists within SIGMAS standard deviations of that part, had u - v a random direction (in few dimensions: all that are
-possible): at the very limit about one link in 700 for each list that competes, and far fewer for closer pairs. In a list, table lookups give the cosine to each code, and the stored length
-bounds its error, so no pair of a probed list at or over the limit is lost; what passes is compared exactly.
+of what the codes leave is stored. Vectors nearer to centroid c than to v's own fill a half-space, and one of them can be linked
+with v only if the angle between v and that half-space allows it; v probes every list for which it does, so no link is lost,
+however the vectors lie. A pair of vectors of two lists meets in one of the two and counts for both. In a list, table lookups give
+the cosine to each code, and the stored length bounds its error, so no pair at or over the limit is lost there; what passes is
+compared exactly.
 
 Codebooks are fitted on at most FIT_VECTORS vectors; all vectors are coded and compared.
 Vectors that are null, empty, zero or hold null or non-finite components link with nothing and stand alone. Vectors of another
@@ -30,7 +30,6 @@ LIMIT = 0.95
 FIT_VECTORS, SUBSPACES, WORDS, ROUNDS = 20_000, 8, 64, 8
 #: Vectors a list holds on average, lists at most, and rows of a cell's side.
 PER_LIST, MOST_LISTS, BLOCK = 256, 4096, 2048
-SIGMAS = 3.0
 
 
 def unit(rows: list) -> tuple[np.ndarray, np.ndarray]:
@@ -88,16 +87,15 @@ class Index:
             left[:, a:b] -= self.books[s][codes[:, s]]
         return codes, np.sqrt((left * left).sum(1))
 
-    def probes(self, x: np.ndarray, own: np.ndarray) -> list[np.ndarray]:
-        """Lists that can hold a vector within the link distance of each row."""
-        part = min(1.0, SIGMAS / np.sqrt(self.width)) * np.sqrt(2 - 2 * LIMIT)
-        apart = np.sqrt(np.maximum(2 - 2 * self.centers @ self.centers.T, 0))
-        out: list[np.ndarray] = []
-        for k in range(0, len(x), 1024):
-            near, o = x[k : k + 1024] @ self.centers.T, own[k : k + 1024]
-            best = near[np.arange(len(o)), o][:, None]
-            out += [np.flatnonzero(row) for row in near >= best - part * apart[o] - 1e-9]
-        return out
+    def apart(self) -> np.ndarray:
+        """Distances between the centroids."""
+        return np.sqrt(np.maximum(2 - 2 * self.centers @ self.centers.T, 0))
+
+    def probes(self, x: np.ndarray, own: np.ndarray, apart: np.ndarray) -> np.ndarray:
+        """For each row, which lists can hold a vector within the link distance."""
+        near = x @ self.centers.T
+        best = near[np.arange(len(own)), own][:, None]
+        return near >= best - np.sqrt(1 - LIMIT * LIMIT) * apart[own] - 1e-9
 
     def lookup(self, q: np.ndarray, list_no: int, codes: np.ndarray) -> np.ndarray:
         """Approximate cosines of queries to coded members of a list, by a table for each subspace."""
@@ -129,26 +127,32 @@ def _dealt(indexes: dict[int, Index]):
     """A row for each list that a class lies in or probes: (list, member, id, many, body, codes, left)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        apart = {}
         for batch in batches:
-            ids, many, bodies = (batch.column(i).to_pylist() for i in range(3))
-            widths = np.array([len(b) // 8 for b in bodies])
+            bodies = batch.column(2).to_pylist()
+            widths = np.array([len(b) // 8 for b in bodies], np.int64)
             for width in np.unique(widths):
                 index = indexes[int(width)]
-                at = np.flatnonzero(widths == width)
-                x = np.frombuffer(b"".join(bodies[i] for i in at), np.float64).reshape(len(at), width)
-                own = index.lists(x)
-                rows = []
-                for i, o, p in zip(at.tolist(), own.tolist(), index.probes(x, own), strict=True):
-                    for k in p.tolist():
-                        rows.append((int(width) * MOST_LISTS * 2 + k, k == o, ids[i], many[i], bodies[i]))
-                kinds = (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["list", "member", "id", "many", "body"])
+                if width not in apart:
+                    apart[width] = index.apart()
+                n = np.arange(len(index.centers))
+                for k in range(0, len(bodies), 512):
+                    at = k + np.flatnonzero(widths[k : k + 512] == width)
+                    if not len(at):
+                        continue
+                    x = np.frombuffer(b"".join(bodies[i] for i in at), np.float64).reshape(len(at), width)
+                    own = index.lists(x)
+                    # of two lists, the members of one go to the other
+                    goes = (n[None] == own[:, None]) | ((n[None] < own[:, None]) != ((n[None] + own[:, None]) % 2 == 0))
+                    i, to = np.nonzero(index.probes(x, own, apart[width]) & goes)
+                    rows = batch.take(pa.array(at[i]))
+                    yield pa.RecordBatch.from_arrays([pa.array(int(width) * MOST_LISTS * 2 + to), pa.array(to == own[i]), *rows.columns], ["list", "member", "id", "many", "body"])
 
     return run
 
 
 def _link(indexes: dict[int, Index]):
-    """In each cell, queries against members: how many vectors each query links with, and links enough to connect them."""
+    """In each cell, queries against members: how many vectors each links with, and links enough to connect them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in work.grouped(batches, ["list", "cell"]):
@@ -157,6 +161,7 @@ def _link(indexes: dict[int, Index]):
             side = t["side"].to_numpy()
             ids, many = t["id"].to_numpy(), t["many"].to_numpy()
             x = np.frombuffer(b"".join(t["body"].to_pylist()), np.float64).reshape(len(ids), width)
+            home = t["member"].to_numpy()
             m, q = np.flatnonzero((side & 1) > 0), np.flatnonzero((side & 2) > 0)
             if not len(m) or not len(q):
                 continue
@@ -169,7 +174,7 @@ def _link(indexes: dict[int, Index]):
                     i = parent[i]
                 return i
 
-            counts, edges = np.zeros(len(q), np.int64), []
+            counts, edges = np.zeros(len(ids), np.int64), []
             for k in range(0, len(q), 256):
                 part = q[k : k + 256]
                 near = index.lookup(x[part], list_no, codes) + left[None] >= LIMIT - 1e-9
@@ -177,14 +182,16 @@ def _link(indexes: dict[int, Index]):
                 exact = np.einsum("ij,ij->i", x[part[a]], x[m[b]]) >= LIMIT
                 a, b = a[exact], b[exact]
                 other = part[a] != m[b]
-                np.add.at(counts, k + a[other], many[m[b[other]]])
+                np.add.at(counts, part[a[other]], many[m[b[other]]])
+                guest = ~home[part[a]]  # meets these members here only
+                np.add.at(counts, m[b[guest]], many[part[a[guest]]])
                 for i, j in zip(part[a[other]].tolist(), m[b[other]].tolist(), strict=True):
                     u, v = find(i), find(j)
                     if u != v:
                         parent[max(u, v)] = min(u, v)
                         edges.append((int(ids[i]), int(ids[j])))
             some = np.flatnonzero(counts)
-            src = [int(ids[q[i]]) for i in some] + [e[0] for e in edges]
+            src = [int(ids[i]) for i in some] + [e[0] for e in edges]
             dst = [None] * len(some) + [e[1] for e in edges]
             n = counts[some].tolist() + [None] * len(edges)
             if src:
@@ -214,10 +221,12 @@ def near_duplicates(vectors: DataFrame) -> DataFrame:
     blocks = dealt.groupBy("list").agg(F.ceil(F.count_if("member") / BLOCK).cast("int").alias("mb"), F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("qb"))
     own = F.xxhash64("id", "body")
     placed = dealt.join(blocks, "list").where("mb > 0").withColumn("m", F.pmod(own, F.col("mb"))).withColumn("q", F.pmod(F.xxhash64(own), F.col("qb")))
-    as_query = placed.withColumn("cell", F.explode(F.transform(F.sequence(F.lit(0), F.col("mb") - 1), lambda i: i * F.col("qb") + F.col("q")))).withColumn("side", F.lit(2))
-    as_member = placed.where("member").withColumn("cell", F.explode(F.transform(F.sequence(F.lit(0), F.col("qb") - 1), lambda j: F.col("m") * F.col("qb") + j))).withColumn("side", F.lit(1))
+    sides = lambda cell, side: F.struct(cell.cast("int").alias("cell"), side.cast("int").alias("side"))
+    as_query = F.transform(F.sequence(F.lit(0), F.col("mb") - 1), lambda i: sides(i * F.col("qb") + F.col("q"), F.when(F.col("member") & (i == F.col("m")), 3).otherwise(2)))
+    others = F.filter(F.sequence(F.lit(0), F.col("qb") - 1), lambda j: F.col("member") & (j != F.col("q")))
+    as_member = F.transform(others, lambda j: sides(F.col("m") * F.col("qb") + j, F.lit(1)))
     # a row that is both in one cell comes once
-    cells = as_query.unionByName(as_member).groupBy("list", "cell", "id", "body").agg(F.sum("side").cast("int").alias("side"), F.first("many").alias("many"), F.first("member").alias("member"))
+    cells = placed.withColumn("at", F.explode(F.concat(as_query, as_member))).select("list", "at.cell", "at.side", "id", "body", "many", "member")
     found = cells.repartition("list", "cell").sortWithinPartitions("list", "cell", "id").mapInArrow(_link(indexes), "src long, dst long, n long")
     found = work.staged(found, folder, "found")
     components = connected_components(found.where("dst is not null").select("src", "dst"), folder, "component")

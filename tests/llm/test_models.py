@@ -187,6 +187,18 @@ def test_vector_near_duplicates(spark):
     assert pq_dedup.near_duplicates(df.limit(0)).collect() == []
 
 
+def test_vector_links_of_a_low_rank_group(spark):
+    """Links inside a tight group of few dimensions cross many lists; none is lost."""
+    r = np.random.default_rng(11)
+    hot = 0.2 * r.normal(size=(1000, 6)) @ np.linalg.qr(r.normal(size=(64, 6)))[0].T + r.normal(size=64) / 8
+    x = np.concatenate([hot, r.normal(size=(2000, 64))])
+    got = pq_dedup.near_duplicates(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")).collect()
+    u = x / np.sqrt((x * x).sum(1))[:, None]
+    near = u @ u.T >= 0.95
+    assert near[:1000, :1000].sum() > 5000
+    assert {q.vec_id: q.n_links for q in got} == dict(enumerate((near.sum(1) - 1).tolist()))
+
+
 def test_lookup_bounds_the_cosine():
     r = np.random.default_rng(1)
     x = r.normal(size=(500, 16))
