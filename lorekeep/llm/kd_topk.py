@@ -72,19 +72,18 @@ class Tree:
                 continue
             a, b = self.span[node]
             scores = self.rows[a:b] @ q
-            some = np.flatnonzero(scores >= least) if least is not None else np.arange(b - a)
+            others = ids[a:b] != own_id
+            some = np.flatnonzero(others & (scores >= least) if least is not None else others)
             if len(some) > 4 * k:
                 # ties at the kth score stay in
-                cut = np.partition(scores[some], len(some) - k - 1)[len(some) - k - 1]
+                cut = np.partition(scores[some], len(some) - k)[len(some) - k]
                 some = some[scores[some] >= cut]
             for i in some.tolist():
-                other = int(ids[a + i])
-                if other != own_id:
-                    item = (int(scores[i]), -other)
-                    if len(best) < k:
-                        heapq.heappush(best, item)
-                    elif item > best[0]:
-                        heapq.heapreplace(best, item)
+                item = (int(scores[i]), -int(ids[a + i]))
+                if len(best) < k:
+                    heapq.heappush(best, item)
+                elif item > best[0]:
+                    heapq.heapreplace(best, item)
         return [(s, -i) for s, i in sorted(best, reverse=True)]
 
 

@@ -228,6 +228,19 @@ def test_top_k_products(spark, shard, monkeypatch):
     assert kd_topk.top_k(df.limit(0), F.lit(True)).collect() == []
 
 
+@pytest.mark.parametrize("copies", [2, 7])
+def test_top_k_of_a_repeated_query(spark, copies):
+    """A query's own rows take no place from its neighbours."""
+    r = np.random.default_rng(5)
+    x = r.normal(size=(120, 8))
+    x[0] *= 10
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] + [(0, x[0].tolist())] * (copies - 1), "vec_id long, embedding array<double>")
+    whole = np.floor(256 * x).astype(int)
+    found = sorted((-int(whole[0] @ whole[j]), j) for j in range(1, 120))[:5]
+    got = {tuple(q) for q in kd_topk.top_k(df, F.col("vec_id") == 0).collect()}
+    assert got == {(0, n + 1, j, -s) for n, (s, j) in enumerate(found)}
+
+
 def test_components(spark):
     chain = [(i, i + 1) for i in range(30)] + [(100, 101), (101, 102), (7, 7), (200, 150)]
     got = components.connected_components(spark.createDataFrame(chain, "src long, dst long"), work.work_folder(spark), "c").collect()
