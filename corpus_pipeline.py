@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 
 from lorekeep.llm import minhash, packing, pii, quality, toxicity, work
 
+#: Similarity in percent at which the near_dedup stage links two texts.
+ALIKE = 80
+
 #: Trained models and token ids have no SQL form; tests compare each stage with a brute-force version.
 ORACLE_SQL = None
 
@@ -27,7 +30,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the least id of each group of near-duplicates stays; of rows that repeat its id, one."""
-    kept = minhash.near_duplicates(docs).where("kept").select(F.col("doc_id").alias("__lorekeep_id"))
+    kept = minhash.near_duplicates(docs, percent=ALIKE).where("kept").select(F.col("doc_id").alias("__lorekeep_id"))
     return docs.join(kept, F.col("doc_id") == F.col("__lorekeep_id"), "left_semi").dropDuplicates(["doc_id"])
 
 

@@ -1,6 +1,6 @@
 """Near-duplicates by b-bit MinHash.
 
-1. Each text gives its set of distinct 5-word shingles, HASHES minima over it, band keys of ROWS minima, and the low BITS bits
+1. Each text gives its set of distinct 5-word shingles, HASHES minima over it, band keys of some rows of them, and the low BITS bits
    of every minimum packed into words. Texts with equal sets become one class at once.
 2. Classes that share a band key form a bucket. A bucket's member with most bucket mates over all its bands leads it; members
    and leader are candidates. In a bucket of two the packed bits decide at once: agreements are counted in bit operations and
@@ -10,7 +10,8 @@
    first thinned by comparing its members with their leaders, dealt over many tasks, and then cut into blocks; each pair of
    blocks is a task, and texts that are already connected are not compared again.
 
-Links: 100 * intersection >= 85 * union, always confirmed on full sets.
+Links: 100 * intersection >= percent * union, always confirmed on full sets; percent is PERCENT unless the caller asks for another,
+and the bands and the looseness of estimates follow from it.
 Texts that are null, empty or without words have an empty set and link with nothing. Rows that repeat a doc_id count as one
 document. Other columns are ignored. An empty table gives no rows. Long texts are taken whole.
 """
@@ -29,18 +30,30 @@ from .components import connected_components
 from .shingles import mix, shingle_sets
 
 WIDTH, PERCENT = 5, 85
-HASHES, ROWS, BANDS, BITS = 128, 6, 21, 4
+HASHES, BITS = 128, 4
+#: Share of pairs at the very limit that may meet in no band.
+MISSED = 1e-4
 #: Classes that one task compares.
 BLOCK = 2000
-#: Pairs of a bucket of two go on if their corrected estimate is at least this: 0.85 less 8 standard deviations.
-LOOSE = 0.6
 
 _FACTORS = mix(np.arange(1, HASHES + 1, dtype=np.uint64) * np.uint64(0x2545F4914F6CDD1D)) | np.uint64(1)
-_BAND = mix(np.arange(1, ROWS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
+_BAND = mix(np.arange(1, HASHES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 
 SIGNED = "doc_id long, n long, hi long, lo long, bands array<long>, packed array<long>"
 
 
+def band_rows(percent: int) -> int:
+    """Most minima of a band key with which a pair at the limit shares one of the bands: 6 (21 bands) for 85, 5 (25 bands) for 80."""
+    alike = percent / 100
+    return max([1, *(n for n in range(1, HASHES) if (1 - alike**n) ** (HASHES // n) <= MISSED)])
+
+
+def loose(percent: int) -> float:
+    """Pairs of a bucket of two go on if their corrected estimate is at least this: the limit less 8 standard deviations."""
+    alike = percent / 100
+    return round(alike - 8 * (alike * (1 - alike) / HASHES) ** 0.5, 2)
+
+
 def minima(flat: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """HASHES minima of each set that is not empty, as 32-bit numbers."""
     starts = offsets[:-1][np.diff(offsets) > 0]
@@ -53,10 +66,10 @@ def minima(flat: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return out
 
 
-def band_keys(least: np.ndarray) -> np.ndarray:
-    keys = np.empty((BANDS, least.shape[1]), np.uint64)
-    for b in range(BANDS):
-        keys[b] = mix((mix(least[b * ROWS : (b + 1) * ROWS]) * _BAND[:, None]).sum(0, dtype=np.uint64) + np.uint64(b))
+def band_keys(least: np.ndarray, rows: int) -> np.ndarray:
+    keys = np.empty((HASHES // rows, least.shape[1]), np.uint64)
+    for b in range(len(keys)):
+        keys[b] = mix((mix(least[b * rows : (b + 1) * rows]) * _BAND[:rows, None]).sum(0, dtype=np.uint64) + np.uint64(b))
     return keys.T.astype(np.int64)
 
 
@@ -68,22 +81,25 @@ def packed_bits(least: np.ndarray) -> np.ndarray:
     return np.bitwise_or.reduce((low << shifts[:, None]).reshape(HASHES // per, per, -1), axis=1).T.astype(np.int64)
 
 
-def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in work.small_batches(batches):
-        flat, offsets = shingle_sets(*work.text_buffers(batch.column(1)), WIDTH)
-        sizes = np.diff(offsets)
-        some = np.flatnonzero(sizes)
-        hi, lo = np.zeros(len(sizes), np.uint64), np.zeros(len(sizes), np.uint64)
-        bands, packed = np.zeros((0, BANDS), np.int64), np.zeros((0, HASHES * BITS // 64), np.int64)
-        if len(some):
-            starts = offsets[:-1][some]
-            hi[some] = np.add.reduceat(mix(flat ^ np.uint64(0xA5A5A5A5A5A5A5A5)), starts)
-            lo[some] = np.bitwise_xor.reduceat(mix(flat + np.uint64(0x1234567)), starts)
-            least = minima(flat, offsets)
-            bands, packed = band_keys(least), packed_bits(least)
-        full = np.concatenate(([0], np.cumsum(sizes > 0)))
-        lists = [pa.ListArray.from_arrays(pa.array(full * x.shape[1], pa.int32()), pa.array(x.ravel())) for x in (bands, packed)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(hi.astype(np.int64)), pa.array(lo.astype(np.int64)), *lists], ["doc_id", "n", "hi", "lo", "bands", "packed"])
+def _sign(rows: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in work.small_batches(batches):
+            flat, offsets = shingle_sets(*work.text_buffers(batch.column(1)), WIDTH)
+            sizes = np.diff(offsets)
+            some = np.flatnonzero(sizes)
+            hi, lo = np.zeros(len(sizes), np.uint64), np.zeros(len(sizes), np.uint64)
+            bands, packed = np.zeros((0, HASHES // rows), np.int64), np.zeros((0, HASHES * BITS // 64), np.int64)
+            if len(some):
+                starts = offsets[:-1][some]
+                hi[some] = np.add.reduceat(mix(flat ^ np.uint64(0xA5A5A5A5A5A5A5A5)), starts)
+                lo[some] = np.bitwise_xor.reduceat(mix(flat + np.uint64(0x1234567)), starts)
+                least = minima(flat, offsets)
+                bands, packed = band_keys(least, rows), packed_bits(least)
+            full = np.concatenate(([0], np.cumsum(sizes > 0)))
+            lists = [pa.ListArray.from_arrays(pa.array(full * x.shape[1], pa.int32()), pa.array(x.ravel())) for x in (bands, packed)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(hi.astype(np.int64)), pa.array(lo.astype(np.int64)), *lists], ["doc_id", "n", "hi", "lo", "bands", "packed"])
+
+    return run
 
 
 def estimate(a: str, b: str) -> "F.Column":
@@ -102,9 +118,9 @@ def estimate(a: str, b: str) -> "F.Column":
     return ((1 - apart / HASHES) - chance) / (1 - chance)
 
 
-def linked(a: np.ndarray, b: np.ndarray) -> bool:
+def linked(a: np.ndarray, b: np.ndarray, percent: int = PERCENT) -> bool:
     both = len(np.intersect1d(a, b, assume_unique=True))
-    return 100 * both >= PERCENT * (len(a) + len(b) - both)
+    return 100 * both >= percent * (len(a) + len(b) - both)
 
 
 def _find(parent: list[int], i: int) -> int:
@@ -114,7 +130,7 @@ def _find(parent: list[int], i: int) -> int:
     return i
 
 
-def spanning_links(flat: np.ndarray, offsets: np.ndarray, known: np.ndarray) -> list[tuple[int, int]]:
+def spanning_links(flat: np.ndarray, offsets: np.ndarray, known: np.ndarray, percent: int = PERCENT) -> list[tuple[int, int]]:
     """Links, enough to connect what is connected. known: texts with equal marks are connected already.
 
     A text is compared with all others at once: marks on its shingles, summed over the others' sets. This ends when all texts
@@ -140,7 +156,7 @@ def spanning_links(flat: np.ndarray, offsets: np.ndarray, known: np.ndarray) ->
         mark[inside[offsets[p] : offsets[p + 1]]] = 1
         both = np.add.reduceat(mark[inside], offsets[:-1])
         mark[inside[offsets[p] : offsets[p + 1]]] = 0
-        hit = np.flatnonzero(100 * both >= PERCENT * (sizes + sizes[p] - both))
+        hit = np.flatnonzero(100 * both >= percent * (sizes + sizes[p] - both))
         for other in np.unique(component[hit]).tolist():
             if other != own:
                 q = int(hit[component[hit] == other][0])
@@ -160,34 +176,40 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(bodies, pa.binary())], ["id", "clump", "body"])
 
 
-def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        a, b = batch.column(2).to_pylist(), batch.column(3).to_pylist()
-        keep = [i for i, (x, y) in enumerate(zip(a, b, strict=True)) if linked(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64))]
-        if keep:
-            yield batch.select(["src", "dst"]).take(pa.array(keep))
+def _confirm(percent: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b = batch.column(2).to_pylist(), batch.column(3).to_pylist()
+            keep = [i for i, (x, y) in enumerate(zip(a, b, strict=True)) if linked(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), percent)]
+            if keep:
+                yield batch.select(["src", "dst"]).take(pa.array(keep))
 
+    return run
 
-def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for t in work.grouped(batches, ["clump", "cell"]):
-        ids = t["id"].to_numpy()
-        if len(ids) < 2:
-            continue
-        sets = [np.frombuffer(x, np.uint64) for x in t["body"].to_pylist()]
-        offsets = np.concatenate(([0], np.cumsum([len(s) for s in sets])))
-        links = spanning_links(np.concatenate(sets), offsets, t["known"].to_numpy())
-        if links:
-            a, b = (ids[np.array(x)] for x in zip(*links, strict=True))
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["src", "dst"])
+
+def _compare(percent: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in work.grouped(batches, ["clump", "cell"]):
+            ids = t["id"].to_numpy()
+            if len(ids) < 2:
+                continue
+            sets = [np.frombuffer(x, np.uint64) for x in t["body"].to_pylist()]
+            offsets = np.concatenate(([0], np.cumsum([len(s) for s in sets])))
+            links = spanning_links(np.concatenate(sets), offsets, t["known"].to_numpy(), percent)
+            if links:
+                a, b = (ids[np.array(x)] for x in zip(*links, strict=True))
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["src", "dst"])
+
+    return run
 
 
-def near_duplicates(docs: DataFrame, block: int = BLOCK) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) for each row of docs."""
+def near_duplicates(docs: DataFrame, block: int = BLOCK, percent: int = PERCENT) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept) for each row of docs; texts alike by percent or more are linked."""
     spark = docs.sparkSession
     work.prepare(spark)
     folder = work.work_folder(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    signed = work.staged(docs.mapInArrow(_sign, SIGNED), folder, "signed")
+    signed = work.staged(docs.mapInArrow(_sign(band_rows(percent)), SIGNED), folder, "signed")
     classes = work.staged(
         signed.where("n > 0").groupBy("hi", "lo", "n").agg(F.min("doc_id").alias("id"), F.first("bands").alias("bands"), F.first("packed").alias("packed")), folder, "classes"
     )
@@ -199,7 +221,7 @@ def near_duplicates(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     pairs = mates.join(leaders, "band").where("id <> leader").groupBy(F.col("leader").alias("src"), F.col("id").alias("dst")).agg(F.max("size").alias("size"))
     bits = classes.select("id", "packed")
     pairs = pairs.join(bits.select(F.col("id").alias("src"), F.col("packed").alias("a")), "src").join(bits.select(F.col("id").alias("dst"), F.col("packed").alias("b")), "dst")
-    candidates = work.staged(pairs.select("src", "dst", "size", estimate("a", "b").alias("alike")).where(f"size > 2 or alike >= {LOOSE}"), folder, "candidates")
+    candidates = work.staged(pairs.select("src", "dst", "size", estimate("a", "b").alias("alike")).where(f"size > 2 or alike >= {loose(percent)}"), folder, "candidates")
     work.forget(spark, f"{folder}/mates")
     clumps = connected_components(candidates, folder, "clump").withColumnRenamed("component", "clump")
     members = docs.join(clumps, F.col("doc_id") == F.col("id")).select("doc_id", "text", "clump")
@@ -215,7 +237,7 @@ def near_duplicates(docs: DataFrame, block: int = BLOCK) -> DataFrame:
         salts = led.groupBy("src").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("salts"))
         lead = in_large.select(F.col("id").alias("src"), F.col("body").alias("a")).join(salts, "src").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
         led = led.join(salts, "src").withColumn("salt", F.pmod(F.xxhash64("dst"), F.col("salts")).cast("int"))
-        confirmed = led.join(lead, ["src", "salt"]).select("src", "dst", "a", "b").mapInArrow(_confirm, "src long, dst long")
+        confirmed = led.join(lead, ["src", "salt"]).select("src", "dst", "a", "b").mapInArrow(_confirm(percent), "src long, dst long")
         first = work.staged(confirmed, folder, "led")
         links.append(first)
         known = connected_components(first, folder, "led").withColumnRenamed("component", "known")
@@ -223,7 +245,7 @@ def near_duplicates(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     dealt = dealt.withColumn("blocks", F.ceil(F.col("many") / block).cast("int")).withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     cells = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.least("own", j) * F.col("blocks") + F.greatest("own", j))
     dealt = dealt.withColumn("cell", F.explode(cells)).select("clump", "cell", "id", "known", "body")
-    compared = dealt.repartition("clump", "cell").sortWithinPartitions("clump", "cell", "id").mapInArrow(_compare, "src long, dst long")
+    compared = dealt.repartition("clump", "cell").sortWithinPartitions("clump", "cell", "id").mapInArrow(_compare(percent), "src long, dst long")
     links.append(work.staged(compared, folder, "compared"))
     edges = links[0] if len(links) == 1 else links[0].union(links[1])
     components = connected_components(edges, folder, "component")

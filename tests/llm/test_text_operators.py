@@ -81,6 +81,38 @@ def test_near_duplicates(spark, block):
     assert all(r.kept == (r.component_id == r.doc_id) for r in got)
 
 
+@pytest.mark.parametrize("block", [2000, 6])
+def test_near_dedup_stage_at_four_fifths(spark, block, monkeypatch):
+    """The pipeline's stage links at 0.8: of each group of texts alike by that much, the one with the least id stays."""
+    import corpus_pipeline
+
+    plain = minhash.near_duplicates
+    monkeypatch.setattr(minhash, "near_duplicates", lambda docs, **given: plain(docs, block, **given))
+    rows = [r for r in odd_rows() if r[0] < 100]
+    for i in range(30):  # one, two or three words of 60 to 119 replaced: similarity from 0.66 to 0.92
+        base = words(60 + i * 2, 900 + i)
+        rows.append((2000 + 10 * i, " ".join(base)))
+        for n in (1, 2, 3):
+            own = list(base)
+            for k in range(n):
+                own[10 + 20 * k] = f"other{k}"
+            rows.append((2000 + 10 * i + n, " ".join(own)))
+    texts = {i: sets(t) for i, t in rows}
+    least = {i: i for i in texts}
+    for a in sorted(texts):
+        for b in sorted(texts):
+            if a < b and texts[a] and 100 * len(texts[a] & texts[b]) >= 80 * len(texts[a] | texts[b]):
+                old, new = max(least[a], least[b]), min(least[a], least[b])
+                least = {i: new if c == old else c for i, c in least.items()}
+    kept = sorted(r.doc_id for r in corpus_pipeline.near_dedup_stage(spark, table(spark, rows), "").collect())
+    assert kept == sorted(i for i, c in least.items() if i == c)
+    assert len(kept) < len({r.component_id for r in plain(table(spark, rows)).collect()})
+
+
+def test_bands_follow_the_limit():
+    assert [minhash.band_rows(p) for p in (85, 80)] == [6, 5] and [minhash.loose(p) for p in (85, 80)] == [0.6, 0.52]
+
+
 def test_near_duplicates_empty(spark):
     assert minhash.near_duplicates(table(spark, [])).collect() == []
     assert [tuple(r) for r in minhash.near_duplicates(table(spark, [(3, None)])).collect()] == [(3, 0, 3, True)]
