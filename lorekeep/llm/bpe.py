@@ -24,11 +24,11 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.model = self.tokenizer.model
         self.model._resize_cache(0)  # pieces come once a batch, so the model's own cache only costs time
         self.known: dict[bytes, tuple[int, ...]] = {}
         self.plain = bytes_to_chars()
+        self.added = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values() if t.content]
 
     def pieces(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """Where pieces start. Runs of letters, digits or other marks with the one space before them, and runs of white space, as the
@@ -56,10 +56,16 @@ class Encoder:
         return self.fast(data, offsets)
 
     def unusual(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        """Texts with apostrophes, control characters or characters beyond Latin letters: encoded whole."""
+        """Texts with apostrophes, control characters, characters beyond Latin letters or an added token: encoded whole."""
         odd = ODD[data]
         signs = np.flatnonzero((data == 0x97) | (data == 0xB7))
         odd[signs[data[signs - 1] == 0xC3]] = True  # U+00D7 and U+00F7 are no letters
+        raw = data.tobytes()
+        for token in self.added:
+            at = raw.find(token)
+            while at >= 0:
+                odd[at] = True  # one that spans two texts does no harm
+                at = raw.find(token, at + 1)
         if not odd.any():
             return np.zeros(len(offsets) - 1, bool)
         total = np.concatenate(([0], np.cumsum(odd)))

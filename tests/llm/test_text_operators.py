@@ -149,6 +149,22 @@ def test_ids_equal_whole_text(texts):
     assert [ids[at[i] : at[i + 1]].tolist() for i in range(len(texts))] == [e.ids for e in want]
 
 
+def test_added_tokens_equal_the_library(spark):
+    """Texts that hold an added token, against a tokenizer as its file gives it."""
+    from tokenizers import Tokenizer
+
+    texts = ["one <|endoftext|> two", "<|endoftext|>", "a<|endoftext|><|endoftext|>b", "<|endof", "text|> no token", "plain", ""]
+    want = [e.ids for e in Tokenizer.from_file(BPE).encode_batch(texts, add_special_tokens=False)]
+    assert want[0] == [505, 220, 50256, 734]
+    ids, at = _encoder().encode(*work.text_buffers(pa.array(texts)))
+    assert [ids[at[i] : at[i + 1]].tolist() for i in range(len(texts))] == want
+    rows = list(enumerate(texts))
+    stored = token_store.read_digests(spark, token_store.write_store(table(spark, rows), work.work_folder(spark), BPE)).collect()
+    assert {q[0]: (q[2], q[3]) for q in stored} == {i: (len(x) + 1, crc([*x, 0])) for i, x in enumerate(want)}
+    pieces = packing.pack(table(spark, rows), BPE).collect()
+    assert {q.doc_id: (q.length, q.ids_crc32) for q in pieces} == {i: (len(x) + 1, crc([*x, 2])) for i, x in enumerate(want)}
+
+
 _held = []
 
 
