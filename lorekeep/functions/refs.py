@@ -31,3 +31,12 @@ def normalize(raw: str) -> tuple[str, str]:
     if re.fullmatch("[0-9]+", tail) and ("#" in text or tail == text):
         return "pr", "#" + (tail.lstrip("0") or "0")
     return "commit", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text)
+
+
+def normalized(col: Column) -> Column:
+    """struct<kind, value> of each reference by the rules of `normalize`; white space is Unicode's."""
+    text = F.regexp_replace(col, r"(?U)^\s+|\s+\z", "")
+    digits = F.regexp_extract(text, r"(?U)^(?:#|[^#][\s\S]*#)?\s*([0-9]+)\z", 1)
+    commit = F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    value = F.when(digits != "", F.concat(F.lit("#"), F.regexp_replace(digits, "^0+(?=[0-9])", ""))).otherwise(commit)
+    return F.when(col.isNotNull(), F.struct(F.when(digits != "", "pr").otherwise("commit").alias("kind"), value.alias("value")))

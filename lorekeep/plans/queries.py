@@ -350,9 +350,14 @@ def extract_refs(spark, sf_dir):
 
 @query("normalize_ref", "SELECT doc_id, '#' || CASE WHEN ltrim(lpad(cast(doc_id AS VARCHAR), 6, '0'), '0') = '' THEN '0' ELSE ltrim(lpad(cast(doc_id AS VARCHAR), 6, '0'), '0') END AS value FROM documents WHERE doc_id < 100")
 def normalize_ref(spark, sf_dir):
-    rows = [(i, *refs.normalize(f"org/repo#{i:06d}")) for i in range(100)]
-    given = spark.createDataFrame(rows, "doc_id long, kind string, value string")
-    return views.table(spark, sf_dir, "documents").select("doc_id").join(given, "doc_id").select("doc_id", "value")
+    return normalize_ref_every_document(spark, sf_dir).where("doc_id < 100")
+
+
+@query("normalize_ref_every_document", "SELECT doc_id, '#' || cast(doc_id AS VARCHAR) AS value FROM documents")
+def normalize_ref_every_document(spark, sf_dir):
+    id_ = F.col("doc_id").cast("string")
+    raw = F.concat(F.lit("org/repo#"), F.repeat(F.lit("0"), F.greatest(F.lit(0), 6 - F.length(id_))), id_)
+    return views.table(spark, sf_dir, "documents").select("doc_id", refs.normalized(raw)["value"].alias("value"))
 
 
 @query("redact_text", f"WITH {views.documents_sql(True)} SELECT doc_id, sha256({oracle.redacted('searchable_text')}) AS redacted FROM ev")

@@ -37,6 +37,12 @@ def test_normalize_ref(raw, want):
     assert refs.normalize(raw) == want
 
 
+def test_normalized_refs(spark):
+    raws = ["#54", " 0054\n", "org/repo#7", "#000", "ABC123f", "x#y", "a#1# 02 ", "", "#", "É12Z", "3 4", None]
+    got = spark.createDataFrame([(x,) for x in raws], "raw string").select(refs.normalized(F.col("raw")).alias("r")).collect()
+    assert [q.r and tuple(q.r) for q in got] == [x if x is None else refs.normalize(x) for x in raws]
+
+
 def test_threshold():
     from datetime import UTC, datetime
 

@@ -40,6 +40,11 @@ def test_query_equals_sql(spark, duck, name):
     assert rows(got) == rows(want)
 
 
+def test_every_document_is_normalized(spark):
+    out = plans.QUERIES["normalize_ref_every_document"](spark, SF)
+    assert out.count() == views.table(spark, SF, "documents").count() > 100
+
+
 def test_bm25_equals_fts5(spark):
     con = sqlite3.connect(":memory:")
     con.execute("CREATE VIRTUAL TABLE f USING fts5(a, b, c)")
