@@ -372,7 +372,12 @@ def whitespace_key(spark, sf_dir):
 
 @query("sanitize_session_id", "SELECT doc_id, CASE WHEN text = '' THEN '_' ELSE regexp_replace(substr(text, 1, 40), '[^A-Za-z0-9._-]', '_', 'g') END AS name FROM documents")
 def sanitize(spark, sf_dir):
-    return views.table(spark, sf_dir, "documents").select("doc_id", sanitize_session_id(F.substring("text", 1, 40)).alias("name"))
+    return views.table(spark, sf_dir, "documents").select("doc_id", F.substring(sanitize_session_id(F.col("text")), 1, 40).alias("name"))
+
+
+@query("sanitize_session_id_whole", "SELECT doc_id, sha256(CASE WHEN text = '' THEN '_' ELSE regexp_replace(text, '[^A-Za-z0-9._-]', '_', 'g') END) AS name FROM documents")
+def sanitize_whole(spark, sf_dir):
+    return views.table(spark, sf_dir, "documents").select("doc_id", F.sha2(sanitize_session_id(F.col("text")), 256).alias("name"))
 
 
 # joins, upkeep

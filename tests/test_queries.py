@@ -45,6 +45,13 @@ def test_every_document_is_normalized(spark):
     assert out.count() == views.table(spark, SF, "documents").count() > 100
 
 
+def test_whole_texts_are_sanitized(spark, tmp_path):
+    ends = [(1, "a" * 45 + " b"), (2, "a" * 45 + "_b"), (3, "a" * 45 + "-b")]
+    spark.createDataFrame(ends, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: r.name for r in plans.QUERIES["sanitize_session_id_whole"](spark, str(tmp_path)).collect()}
+    assert got[1] == got[2] != got[3]
+
+
 def test_bm25_equals_fts5(spark):
     con = sqlite3.connect(":memory:")
     con.execute("CREATE VIRTUAL TABLE f USING fts5(a, b, c)")
