@@ -2,9 +2,9 @@
 
 Patterns give the base spans. The field's nodes are a document's tokens that hold a digit or an at sign. A chain links tokens
 that stand side by side, and a skip edge links each token with the next that repeats it or shares its last seven digits, so a
-number that a pattern finds in one place supports its repetition in another. Loopy sum-product passing gives each token's
+number that a pattern finds in one place supports its repetition in another; the field runs on every document with tokens. Loopy sum-product passing gives each token's
 marginals; tokens that no pattern covers and that the field labels surely become further spans. Weights are fitted by
-pseudo-likelihood on at most FIT_DOCS documents with the patterns as labels, the pattern feature being hidden at random.
+pseudo-likelihood on all tokens of at most FIT_DOCS documents with the patterns as labels, the pattern feature being hidden at random.
 
 Null and empty texts have no spans. Rows that repeat a doc_id are treated alike. Other columns are ignored. An empty table
 gives no rows. Long texts cost in proportion to their length.
@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 from . import samples, work
 
 KINDS = ("email", "ip", "card", "phone")
-#: Documents whose tokens the weights are fitted on, and tokens of each.
-FIT_DOCS, FIT_TOKENS = 600, 200
+#: Documents whose tokens the weights are fitted on.
+FIT_DOCS = 600
 SURE, ROUNDS = 0.9, 8
 #: What equal labels of repeated tokens score before and at least after fitting.
 AGREE = 4.0
@@ -90,7 +90,7 @@ N_FEATURES, N_LABELS = 16, 5
 class Graph:
     """Tokens of one document with features, chain and skip edges, and the label that patterns give each (0: none)."""
 
-    def __init__(self, text: str, spans: list[Span], most: int | None = None):
+    def __init__(self, text: str, spans: list[Span]):
         tokens = []
         for m in _TOKEN.finditer(text):
             a, b = m.span()
@@ -100,8 +100,6 @@ class Graph:
                 b -= 1
             if a < b:
                 tokens.append((a, b))
-            if most and len(tokens) >= most:
-                break
         self.tokens = tokens
         n = len(tokens)
         self.labels = np.zeros(n, np.int64)
@@ -218,8 +216,6 @@ def fit(graphs: list[Graph], steps: int = 150, rate: float = 0.5, seed: int = 5)
 def all_spans(text: str, field: Field) -> tuple[list[Span], list[Span]]:
     """Base spans, and those with what the field adds, both in order of kind and start."""
     base = base_spans(text)
-    if not base:
-        return base, base  # labels spread from patterns only
     graph = Graph(text, base)
     if not (graph.labels == 0).any():
         return base, base
@@ -239,8 +235,8 @@ def fit_on(docs: DataFrame) -> Field:
     ids = samples.lowest_hashed(docs.where("text rlike '[0-9]'").select(F.col("doc_id").alias("id"), F.col("doc_id")), FIT_DOCS).select("id").distinct()
     ids = work.staged(ids, work.work_folder(docs.sparkSession), "ids")
     some = docs.join(F.broadcast(ids), F.col("doc_id") == F.col("id")).orderBy("doc_id", "text").limit(FIT_DOCS)
-    texts = [r.text for r in some.select("doc_id", F.substring("text", 1, 20_000).alias("text")).collect()]
-    return fit([Graph(t, base_spans(t), FIT_TOKENS) for t in texts])
+    texts = [r.text for r in some.select("doc_id", "text").collect()]
+    return fit([Graph(t, base_spans(t)) for t in texts])
 
 
 def _finder(field: Field):
@@ -251,9 +247,9 @@ def _finder(field: Field):
             for i, text in enumerate(batch.column(1).to_pylist()):
                 if text:
                     base, every = all_spans(text, field)
-                    if base:
-                        for k, _, _ in base:
-                            counts[k][i] += 1
+                    for k, _, _ in base:
+                        counts[k][i] += 1
+                    if every:
                         digests[i], spans[i] = hashlib.sha256(written(base).encode()).hexdigest(), written(every)
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.int64()) for c in counts), pa.array(digests, pa.string()), pa.array(spans, pa.string())], ["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans"])
 

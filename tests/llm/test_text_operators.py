@@ -361,3 +361,15 @@ def test_skip_edges_carry_labels():
     at = text.rindex(cards[0])
     assert base == [(2, 4, 20)] and every == [(2, 4, 20), (2, at, at + 16)]
     assert pii.all_spans(f"pay {cards[0]} now. Again 99 12345 then.", field)[1] == base
+
+
+def test_field_runs_without_a_pattern():
+    """A card that only its shape shows is found in a document where no pattern finds anything."""
+    cards = [f"4{i:015d}" for i in range(10**12, 10**12 + 700) if pii.luhn(f"4{i:015d}")][:60]
+    field = pii.fit([pii.Graph(t, pii.base_spans(t)) for t in (f"pay {c} now, {i} times, 4.{i}, code 77{i:02d}, id {i:016d}" for i, c in enumerate(cards))])
+    dotted = ".".join(cards[0][k : k + 4] for k in (0, 4, 8, 12))
+    text = f"pay {dotted} now"
+    assert pii.all_spans(text, field) == ([], [(2, 4, 23)])
+    assert pii.all_spans("pay 12 now, 3 times", field) == ([], []) and pii.all_spans("no token", field) == ([], [])
+    out = next(pii._finder(field)(iter([pa.RecordBatch.from_arrays([pa.array([1]), pa.array([text])], ["doc_id", "text"])]))).to_pylist()[0]
+    assert (out["n_card"], out["base_sha256"], out["spans"]) == (0, hashlib.sha256(b"").hexdigest(), "card:4:23")
