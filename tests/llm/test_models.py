@@ -173,43 +173,54 @@ def test_vector_near_duplicates(spark):
             i = parent[i]
         return i
 
+    counts = [0] * len(good)
     for k, (i, v) in enumerate(good):
-        for j, w in good[:k]:
+        for n, (j, w) in enumerate(good[:k]):
             if len(v) == len(w) and v @ w / np.sqrt(v @ v) / np.sqrt(w @ w) >= 0.95:
-                if i != j:
-                    links[i] += 1
-                    links[j] += 1
-                    parent[max(find(i), find(j))] = min(find(i), find(j))
+                counts[k] += 1
+                counts[n] += 1
+                parent[max(find(i), find(j))] = min(find(i), find(j))
+    links |= {i: n for (i, _), n in zip(good, counts, strict=True)}
     got = pq_dedup.near_duplicates(df).collect()
     assert len(got) == len(rows)
     assert {r.vec_id: (r.component_id, r.kept) for r in got} == {i: (find(i), find(i) == i) for i in links}
-    assert {r.vec_id: r.n_links for r in got if not 2000 <= r.vec_id <= 2002 and r.vec_id != 5} == {i: n for i, n in links.items() if not 2000 <= i <= 2002 and i != 5}
+    assert {r.vec_id: r.n_links for r in got} == links
     assert pq_dedup.near_duplicates(df.limit(0)).collect() == []
 
 
-def test_vector_links_of_a_low_rank_group(spark):
-    """Links inside a tight group of few dimensions cross many lists; none is lost."""
+@pytest.mark.parametrize(("per_list", "part", "home"), [(16, 40, 2), (64, 1024, 8)])
+def test_vector_links_of_a_low_rank_group(spark, monkeypatch, per_list, part, home):
+    """Links inside a tight group of few dimensions, and pairs near the limit, cross many lists, parts and homes; none is lost."""
+    for name, value in (("PER_LIST", per_list), ("PART", part), ("HOME", home)):
+        monkeypatch.setattr(pq_dedup, name, value)
     r = np.random.default_rng(11)
-    hot = 0.2 * r.normal(size=(1000, 6)) @ np.linalg.qr(r.normal(size=(64, 6)))[0].T + r.normal(size=64) / 8
-    x = np.concatenate([hot, r.normal(size=(2000, 64))])
+    hot = 0.2 * r.normal(size=(800, 6)) @ np.linalg.qr(r.normal(size=(64, 6)))[0].T + r.normal(size=64) / 8
+    u = r.normal(size=(600, 64))
+    u /= np.sqrt((u * u).sum(1))[:, None]
+    side = r.normal(size=(600, 64))
+    side -= (side * u).sum(1)[:, None] * u
+    side /= np.sqrt((side * side).sum(1))[:, None]
+    cosine = r.uniform(0.945, 0.955, (600, 1))
+    x = np.concatenate([hot, u, cosine * u + np.sqrt(1 - cosine**2) * side, 1e200 * u[:3]])
     got = pq_dedup.near_duplicates(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")).collect()
-    u = x / np.sqrt((x * x).sum(1))[:, None]
-    near = u @ u.T >= 0.95
-    assert near[:1000, :1000].sum() > 5000
+    v = pq_dedup.unit(x)
+    near = v @ v.T >= 0.95
+    assert near[:800, :800].sum() > 5000 and 250 < near[800:1400, 1400:2000].sum() < 350 and near[800, 2000]
     assert {q.vec_id: q.n_links for q in got} == dict(enumerate((near.sum(1) - 1).tolist()))
 
 
 def test_lookup_bounds_the_cosine():
     r = np.random.default_rng(1)
-    x = r.normal(size=(500, 16))
-    x /= np.sqrt((x * x).sum(1))[:, None]
+    x = pq_dedup.unit(np.concatenate([r.normal(size=(500, 16)), 1 + 0.2 * r.normal(size=(200, 16))]))
     index = pq_dedup.Index(x, 8)
     own = index.lists(x)
     for k in np.unique(own):
         m = np.flatnonzero(own == k)
-        codes, left = index.codes(x[m], own[m])
-        near = index.lookup(x[:50], int(k), codes)
-        assert (np.abs(near - x[:50] @ x[m].T) <= left[None] + 1e-9).all()
+        codes, least = index.codes(x[m], own[m])
+        near = pq_dedup.lookup(index.tables(x), codes, x @ index.centers[k])
+        linked = x[m] @ x.T >= 0.95
+        assert (near >= least[:, None])[linked].all() and linked.sum() >= len(m)
+        assert index.probes((x * index.centers[own]).sum(1), own, x @ index.centers[k], int(k))[linked.any(0)].all()
 
 
 @pytest.mark.parametrize("shard", [10**6, 40])
