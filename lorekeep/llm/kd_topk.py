@@ -152,5 +152,12 @@ def top_k(vectors: DataFrame, is_query: "F.Column", k: int = K) -> DataFrame:
     return ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
+#: The same rows by comparing each query with all.
+ORACLE_SQL = f"""WITH v AS (SELECT vec_id, list_transform(embedding::DOUBLE[], lambda x: floor(256 * x)) AS e FROM embeddings
+    WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+  p AS (SELECT q.vec_id AS query_id, v.vec_id, list_dot_product(q.e, v.e)::BIGINT AS score FROM v q JOIN v ON q.vec_id <> v.vec_id AND len(q.e) = len(v.e) WHERE q.vec_id % {EVERY} = 0)
+  SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score FROM p QUALIFY rank <= {K}"""
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(work.table(spark, sf_dir, "embeddings"), F.col("vec_id") % EVERY == 0)

@@ -255,5 +255,17 @@ def near_duplicates(docs: DataFrame, block: int = BLOCK, percent: int = PERCENT)
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), (F.col("doc_id") == component).alias("kept"))
 
 
+#: The same rows by counting the shingles that each two documents share, for a table without repeated doc_id.
+ORACLE_SQL = f"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+  s AS (SELECT DISTINCT doc_id, hash(unnest(CASE WHEN len(w) >= {WIDTH} THEN list_transform(range(1, len(w) - {WIDTH - 2}), lambda i: array_to_string(w[i:i + {WIDTH - 1}], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END)) AS s FROM w),
+  n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+  p AS (SELECT a.doc_id AS src, b.doc_id AS dst, count(*) AS common FROM s a JOIN s b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL),
+  k AS (SELECT src, dst FROM p JOIN n a ON a.doc_id = src JOIN n b ON b.doc_id = dst WHERE 100 * common >= {PERCENT} * (a.n + b.n - common)),
+  l AS (SELECT src, dst FROM k UNION ALL SELECT dst, src FROM k),
+  r AS (SELECT doc_id AS src, doc_id AS dst FROM documents UNION SELECT r.src, l.dst FROM r JOIN l ON l.src = r.dst),
+  c AS (SELECT src AS doc_id, min(dst) AS component_id FROM r GROUP BY src)
+  SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id, doc_id = component_id AS kept FROM c LEFT JOIN n USING (doc_id)"""
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(work.table(spark, sf_dir, "documents"))

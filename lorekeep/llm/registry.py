@@ -27,4 +27,5 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """Token ids, trained models and samples have no SQL; tests compare those with brute force."""
+    return {"op1_minhash_near_dedup": minhash.ORACLE_SQL, "op5_embedding_near_dedup": pq_dedup.ORACLE_SQL, "op7_exact_top_k": kd_topk.ORACLE_SQL}
