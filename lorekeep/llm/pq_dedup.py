@@ -34,7 +34,7 @@ from . import work
 from .components import connected_components
 
 LIMIT = 0.95
-SUBSPACES, WORDS, ROUNDS = 8, 64, 8
+SUBSPACES, WORDS, ROUNDS = 16, 64, 8
 #: Vectors that codebooks are fitted on: so many, or so many for each list.
 FIT_VECTORS, FIT_LIST = 20_000, 8
 #: Vectors a list holds on average, lists at most, vectors of a unit, and lists of a home.
