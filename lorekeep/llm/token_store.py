@@ -2,7 +2,8 @@
 
 Ids of each document are cut where a rolling hash of the last 16 ids meets a condition, so equal passages give equal chunks.
 A chunk lies in the store once, under its digest; a recipe names each document's chunks in order; each recipe has the root of
-a Merkle tree over them and the manifest a root over the recipes of each of its parts. Reading verifies all three.
+a Merkle tree over them and the manifest a root over the recipes of each of its parts, with their ids, starts and sizes. Reading
+verifies chunks, recipes and manifest, and fails where one does not match.
 
 Folder: chunks/ (digest, n, size, body: ids as little-endian unsigned 16- or 32-bit numbers, zstd), recipes/ (doc_id, start,
 n_tokens, chunks: digests back to back, root; ascending doc_id over and within its parts) and manifest/ (part, n_docs, root).
@@ -28,6 +29,7 @@ from .bpe import Encoder
 #: Ids of a chunk: none below, none above, and one cut in so many positions between.
 LEAST, MOST, SPACING = 64, 8192, 512
 DIGEST = 16
+RECIPES = "part int, doc_id long, start long, n_tokens long, chunks binary, root binary"
 _GEAR = np.random.default_rng(20240131).integers(0, 2**32, 1 << 16, dtype=np.uint32)
 
 
@@ -149,10 +151,9 @@ def write_store(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 0) -
         at += n
     base = spark.createDataFrame(firsts, "part int, base long")
     recipes = parts.repartition("part").sortWithinPartitions("part", "doc_id", "n_tokens", "chunks").join(F.broadcast(base), "part")
-    recipes.mapInArrow(_place, "part int, doc_id long, start long, n_tokens long, chunks binary, root binary").write.mode("overwrite").parquet(f"{folder}/recipes")
+    recipes.mapInArrow(_place, RECIPES).write.mode("overwrite").parquet(f"{folder}/recipes")
     done = spark.read.parquet(f"{folder}/recipes")
-    manifest = done.select("part", "doc_id", "start", "root").repartition("part").sortWithinPartitions("part", "start").mapInArrow(_part_roots, "part int, n_docs long, root binary")
-    manifest.write.mode("overwrite").parquet(f"{folder}/manifest")
+    part_roots(done).write.mode("overwrite").parquet(f"{folder}/manifest")
     work.forget(spark, f"{folder}/ordered")
     work.forget(spark, f"{folder}/pass/kind=recipe")
     return folder
@@ -192,7 +193,24 @@ def _place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _part_roots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for t in work.grouped(batches, ["part"]):
-        yield pa.RecordBatch.from_arrays([pa.array([t["part"][0].as_py()], pa.int32()), pa.array([t.num_rows], pa.int64()), pa.array([merkle_root(t["root"].to_pylist())], pa.binary())], ["part", "n_docs", "root"])
+        places = np.stack([t[k].to_numpy() for k in ("doc_id", "start", "n_tokens")], axis=1).astype("<i8")
+        root = merkle_root([place.tobytes() + root for place, root in zip(places, t["root"].to_pylist(), strict=True)])
+        yield pa.RecordBatch.from_arrays([pa.array([t["part"][0].as_py()], pa.int32()), pa.array([t.num_rows], pa.int64()), pa.array([root], pa.binary())], ["part", "n_docs", "root"])
+
+
+def part_roots(recipes: DataFrame) -> DataFrame:
+    """(part, n_docs, root): a root over each part's recipes, their ids, starts and sizes."""
+    rows = recipes.select("part", F.coalesce("doc_id", F.lit(-1)).alias("doc_id"), "start", "n_tokens", "root")
+    return rows.repartition("part").sortWithinPartitions("part", "start").mapInArrow(_part_roots, "part int, n_docs long, root binary")
+
+
+def verify_manifest(spark: SparkSession, folder: str) -> None:
+    """Compare the recipes with the manifest: a root for each part, no part missing or added."""
+    recipes = spark.read.schema(RECIPES).parquet(f"{folder}/recipes")
+    known = spark.read.schema("part int, n_docs long, root binary").parquet(f"{folder}/manifest")
+    wrong = part_roots(recipes).withColumn("n", F.lit(1)).unionByName(known.withColumn("n", F.lit(-1))).groupBy("part", "n_docs", "root").agg(F.sum("n").alias("n")).where("n <> 0")
+    if not wrong.isEmpty():
+        raise ValueError("the recipes do not match the manifest")
 
 
 def chunk_table(spark: SparkSession, folder: str) -> DataFrame:
@@ -220,68 +238,92 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(crc, pa.int64())], ["digest", "n", "crc32"])
 
 
-def _times(matrix: list[int], vector: int) -> int:
-    out, i = 0, 0
-    while vector:
-        if vector & 1:
-            out ^= matrix[i]
-        vector >>= 1
-        i += 1
+_MAPS: list[np.ndarray] = []
+
+
+def _mapped(table: np.ndarray, crc: np.ndarray) -> np.ndarray:
+    """A linear map, as what it makes of each value of each byte, applied to many crcs."""
+    out = table[0][crc & 0xFF]
+    for k in (1, 2, 3):
+        out = out ^ table[k][(crc >> np.uint32(8 * k)) & 0xFF]
     return out
 
 
-_SHIFTS: dict[int, list[int]] = {}
-_POWERS: list[list[int]] = []
-
-
-def _shift(n_bytes: int) -> list[int]:
-    """The linear map on a crc32 that n_bytes of zeros make, as 32 columns."""
-    if n_bytes in _SHIFTS:
-        return _SHIFTS[n_bytes]
-    if not _POWERS:
-        one_bit = [0xEDB88320, *(1 << i for i in range(31))]
-        m = one_bit
-        for _ in range(3):
-            m = [_times(m, c) for c in m]
-        _POWERS.append(m)  # one byte
-    result, k, left = [1 << i for i in range(32)], 0, n_bytes
-    while left:
-        if k == len(_POWERS):
-            _POWERS.append([_times(_POWERS[-1], c) for c in _POWERS[-1]])
-        if left & 1:
-            result = [_times(_POWERS[k], c) for c in result]
-        left >>= 1
+def _map(k: int) -> np.ndarray:
+    """What 2^k bytes of zeros make of a crc32."""
+    while len(_MAPS) <= k:
+        if _MAPS:
+            _MAPS.append(np.stack([_mapped(_MAPS[-1], t) for t in _MAPS[-1]]))
+            continue
+        byte = np.arange(256, dtype=np.uint32)
+        for _ in range(8):
+            byte = (byte >> 1) ^ np.where(byte & 1, np.uint32(0xEDB88320), np.uint32(0))
+        # one zero byte shifts the crc down and folds its lowest byte in
+        high = [np.arange(256, dtype=np.uint32) << np.uint32(8 * (j - 1)) for j in (1, 2, 3)]
+        _MAPS.append(np.stack([byte, *high]))
+    return _MAPS[k]
+
+
+def shifted(crc: np.ndarray, after: np.ndarray) -> np.ndarray:
+    """What each crc32 becomes if `after` bytes of zeros follow."""
+    out, after, k = crc.astype(np.uint32), after.astype(np.int64), 0
+    while (after >> k).any():
+        some = (after >> k) & 1 == 1
+        out[some] = _mapped(_map(k), out[some])
         k += 1
-    if len(_SHIFTS) < 20_000:
-        _SHIFTS[n_bytes] = result
-    return result
+    return out
 
 
-def crc32_of_both(first: int, second: int, second_bytes: int) -> int:
-    """crc32 of two byte strings one after the other, from the crc32 of each."""
-    return _times(_shift(second_bytes), first) ^ second
+def crc32_of_parts(crcs: np.ndarray, sizes: np.ndarray) -> int:
+    """crc32 of byte strings one after the other, from the crc32 and the size of each."""
+    after = sizes.sum() - np.cumsum(sizes)
+    return int(np.bitwise_xor.reduce(shifted(crcs, after))) if len(crcs) else 0
 
 
 def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows by recipe and place: number of ids and crc32 of each document; the root must be that of the recipe."""
-    for t in work.grouped(batches, ["part", "start"]):
+    """Rows by recipe and place: number of ids and crc32 of each document. Its chunks must be there, its root that of the recipe and its
+    number of ids that of the manifest. Documents of a batch are summed up at once; one that runs on waits for its end."""
+
+    def done(t: pa.Table) -> pa.RecordBatch:
         if t["digest"].null_count or t["n"].null_count:
             raise ValueError("the store lacks a chunk that a recipe names")
-        digests, sizes, crcs = t["digest"].to_pylist(), t["n"].to_pylist(), t["crc32"].to_pylist()
-        if merkle_root(digests) != t["root"][0].as_py():
-            raise ValueError("a recipe does not match its root")
-        crc, n = 0, 0
-        for s, c in zip(sizes, crcs, strict=True):
-            crc = crc32_of_both(crc, c, 4 * s)
-            n += s
-        yield pa.RecordBatch.from_arrays([pa.array([t[k][0].as_py()], pa.int64()) for k in ("doc_id", "start")] + [pa.array([n], pa.int64()), pa.array([crc], pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
+        starts, sizes = t["start"].to_numpy(), 4 * t["n"].to_numpy()
+        first = np.flatnonzero(np.concatenate(([True], starts[1:] != starts[:-1])))
+        ends = np.append(first[1:], len(starts))
+        total = np.add.reduceat(sizes, first)
+        upto = np.cumsum(sizes)
+        after = np.repeat(upto[ends - 1], ends - first) - upto
+        crc = np.bitwise_xor.reduceat(shifted(t["crc32"].to_numpy(), after), first)
+        digests, roots, ids = t["digest"].to_pylist(), t["root"].take(first).to_pylist(), t["n_tokens"].to_numpy()[first]
+        for a, b, root in zip(first.tolist(), ends.tolist(), roots, strict=True):
+            if merkle_root(digests[a:b]) != root:
+                raise ValueError("a recipe does not match its root")
+        if (total != 4 * ids).any():
+            raise ValueError("a document's chunks do not add up to its ids")
+        return pa.RecordBatch.from_arrays([t["doc_id"].take(first).combine_chunks(), pa.array(starts[first]), pa.array(ids), pa.array(crc.astype(np.int64))], ["doc_id", "start", "n_tokens", "ids_crc32"])
+
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        starts = batch.column(batch.schema.get_field_index("start")).to_numpy()
+        last = int(np.searchsorted(starts, starts[-1], side="left")) if (starts[1:] >= starts[:-1]).all() else int(np.flatnonzero(starts != starts[-1])[-1]) + 1
+        if held and held[-1].column(held[-1].schema.get_field_index("start"))[-1].as_py() != starts[0]:
+            yield done(pa.Table.from_batches(held))
+            held = []
+        if last:
+            yield done(pa.Table.from_batches([*held, batch.slice(0, last)]))
+            held = []
+        held.append(batch.slice(last))
+    if held:
+        yield done(pa.Table.from_batches(held))
 
 
 def _named_chunks(spark: SparkSession, folder: str) -> DataFrame:
     """A row for each chunk that a recipe names, with its place."""
-    recipes = spark.read.schema("part int, doc_id long, start long, n_tokens long, chunks binary, root binary").parquet(f"{folder}/recipes")
+    recipes = spark.read.schema(RECIPES).parquet(f"{folder}/recipes")
     at = F.explode(F.sequence(F.lit(0), F.expr(f"cast(length(chunks) / {DIGEST} as int) - 1")))
-    return recipes.withColumn("place", at).withColumn("digest", F.expr(f"substring(chunks, place * {DIGEST} + 1, {DIGEST})")).select("part", "doc_id", "start", "root", "place", "digest")
+    return recipes.withColumn("place", at).withColumn("digest", F.expr(f"substring(chunks, place * {DIGEST} + 1, {DIGEST})")).select("part", "doc_id", "start", "n_tokens", "root", "place", "digest")
 
 
 def read_digests(spark: SparkSession, folder: str) -> DataFrame:
@@ -290,6 +332,7 @@ def read_digests(spark: SparkSession, folder: str) -> DataFrame:
     Each chunk is decoded and verified once; sums of documents come from those of their chunks, so no body is moved again.
     """
     work.prepare(spark)
+    verify_manifest(spark, folder)
     chunks = chunk_table(spark, folder).mapInArrow(_verified, "digest binary, n long, crc32 long")
     joined = _named_chunks(spark, folder).join(chunks, "digest", "left")
     return joined.repartition("start").sortWithinPartitions("part", "start", "place").mapInArrow(_summed, "doc_id long, start long, n_tokens long, ids_crc32 long")
@@ -297,6 +340,13 @@ def read_digests(spark: SparkSession, folder: str) -> DataFrame:
 
 def _assembled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for t in work.grouped(batches, ["part", "start"]):
+        if t["body"].null_count:
+            raise ValueError("the store lacks a chunk that a recipe names")
+        for name, body, size in zip(t["digest"].to_pylist(), t["body"].to_pylist(), t["size"].to_pylist(), strict=True):
+            if digest_of(_opened(body, size)) != name:
+                raise ValueError(f"chunk {name.hex()} does not match its digest")
+        if merkle_root(t["digest"].to_pylist()) != t["root"][0].as_py():
+            raise ValueError("a recipe does not match its root")
         ids = np.concatenate([_opened(b, s) for b, s in zip(t["body"].to_pylist(), t["size"].to_pylist(), strict=True)])
         yield pa.RecordBatch.from_arrays([t["doc_id"].combine_chunks()[:1], t["start"].combine_chunks()[:1], pa.array([ids.tolist()], pa.list_(pa.int64()))], ["doc_id", "start", "ids"])
 
@@ -304,7 +354,8 @@ def _assembled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def read_documents(spark: SparkSession, folder: str) -> DataFrame:
     """(doc_id, start, ids) of each document, rebuilt from its chunks."""
     work.prepare(spark)
-    joined = _named_chunks(spark, folder).join(chunk_table(spark, folder), "digest")
+    verify_manifest(spark, folder)
+    joined = _named_chunks(spark, folder).join(chunk_table(spark, folder), "digest", "left")
     return joined.repartition("start").sortWithinPartitions("part", "start", "place").mapInArrow(_assembled, "doc_id long, start long, ids array<long>")
 
 

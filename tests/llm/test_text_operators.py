@@ -204,14 +204,36 @@ def test_token_store_finds_damage(spark):
         list(token_store._verified(iter([pa.RecordBatch.from_pandas(bad, preserve_index=False)])))
 
 
+@pytest.mark.parametrize("damage", ["chunks", "root", "start", "n_tokens", "lost recipe", "manifest", "lost part", "lost chunk"])
+def test_token_store_verifies_recipes_and_manifest(spark, damage):
+    folder = token_store.write_store(table(spark, odd_rows()[:8]), work.work_folder(spark), BPE)
+    where = "manifest" if damage in ("manifest", "lost part") else "pass/kind=chunk" if damage == "lost chunk" else "recipes"
+    name = f"{folder}/{where}"
+    before = spark.read.parquet(name)
+    rows = [r.asDict() for r in before.collect()]
+    if damage.startswith("lost"):
+        rows.pop()
+    elif damage in ("chunks", "root", "manifest"):
+        column = "root" if damage == "manifest" else damage
+        rows[-1][column] = bytes([rows[-1][column][0] ^ 1]) + bytes(rows[-1][column][1:])
+    else:
+        rows[-1][damage] += 1
+    changed = spark.createDataFrame(rows, before.schema).coalesce(1)
+    changed.write.mode("overwrite").parquet(name)
+    for read in (token_store.read_digests, token_store.read_documents):
+        with pytest.raises(Exception, match="match|lacks a chunk|add up"):
+            read(spark, folder).collect()
+
+
 def test_empty_store(spark):
     folder = token_store.write_store(table(spark, []), work.work_folder(spark), BPE)
     assert token_store.read_digests(spark, folder).collect() == []
 
 
-@given(st.binary(max_size=200), st.binary(max_size=200))
-def test_crc_of_both(a, b):
-    assert token_store.crc32_of_both(zlib.crc32(a), zlib.crc32(b), len(b)) == zlib.crc32(a + b)
+@given(st.lists(st.binary(max_size=200), max_size=9))
+def test_crc_of_parts(parts):
+    crcs, sizes = np.array([zlib.crc32(x) for x in parts], np.int64), np.array([len(x) for x in parts], np.int64)
+    assert token_store.crc32_of_parts(crcs, sizes) == zlib.crc32(b"".join(parts))
 
 
 def test_chunks_follow_content():
