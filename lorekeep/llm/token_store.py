@@ -88,7 +88,7 @@ def _cutter(tokenizer: str, end_id: int):
 
         encoder, squeeze = Encoder(tokenizer), zstandard.ZstdCompressor(level=1)
         seen: set[bytes] = set()
-        for batch in work.small_batches(batches, most=12_000_000):
+        for batch in work.small_batches(batches, most=4_000_000):
             data, offsets = work.text_buffers(batch.column(1))
             ids, ends = encoder.encode(data, offsets)
             with_end = np.insert(ids, ends[1:], end_id).astype("<u4")
