@@ -1,8 +1,11 @@
 """Learned operators and vector operators: held-out accuracy, brute force, odd rows."""
 
+import math
 import random
+from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -120,13 +123,47 @@ def test_fast_reading_equals_network():
 
 def test_quality(spark, tables):
     docs, labels, rows = tables
-    model = quality.train(docs, labels, work.crc_mod4() != 2)
-    got = {r.doc_id: r for r in quality.sample(docs, model).collect()}
-    fresh = [i for i in rows if got[i].doc_id is not None]
-    assert np.mean([got[i].kept == bool(rows[i][4]) for i in fresh]) > 0.95
+    model, share = quality.train(docs, labels, work.crc_mod4() != 2), quality.good_share(docs, labels)
+    got = {r.doc_id: r for r in quality.sample(docs, model, share).collect()}
+    assert abs(share - np.mean([r[4] for r in rows.values()])) < 1e-12
+    assert np.mean([got[i].kept == bool(rows[i][4]) for i in rows]) > 0.95
     assert not any(got[i].kept for i in (1000, 1001, 1002))
     kept = quality.select(docs, labels)
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {i for i, r in got.items() if r.kept}
+    assert quality.select(docs.limit(0), labels).collect() == [] and quality.good_share(docs, labels.limit(0)) == 1
+    assert quality.select(docs, labels, 0.0).collect() == []
+    assert {r.doc_id for r in quality.select(docs, labels.limit(0)).collect()} == {i for i, r in got.items() if r.n_grams}
+
+
+def test_weights_against_brute_force(spark, tables):
+    """Counts over all rows and the target's, and each document's sum of log ratios, n-gram by n-gram."""
+    docs, labels, rows = tables
+    fold = work.crc_mod4() != 2
+    target_ids = {r.doc_id for r in labels.where(fold).collect() if rows[r.doc_id][4]}
+    every = [(r.doc_id, r.text or "") for r in docs.collect()]
+    grams = {k: quality.buckets(*work.text_buffers(pa.array([t])))[0].tolist() for k, (_, t) in enumerate(every)}
+    raw, target = Counter(), Counter()
+    for k, (i, _) in enumerate(every):
+        raw.update(grams[k])
+        if i in target_ids:
+            target.update(grams[k])
+    n, m = quality.BUCKETS + sum(raw.values()), quality.BUCKETS + sum(target.values())
+    got = {r.doc_id: r for r in quality.sample(docs, quality.train(docs, labels, fold), 0.5).collect()}
+    for k, (i, _) in enumerate(every):
+        want = sum(math.log((1 + target[g]) / m) - math.log((1 + raw[g]) / n) for g in grams[k])
+        assert got[i].n_grams == len(grams[k]) and abs(got[i].log_ratio - want) < 1e-4 * (1 + len(grams[k]))
+
+
+def test_draws_follow_the_weights(spark):
+    """Of two documents the one is drawn first with the odds of their weights, so no threshold on weights gives what is drawn."""
+    rows = spark.range(4000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 2 == 0, 0.0).otherwise(math.log(3)).alias("w"))
+    keyed = rows.withColumn("key", F.col("w") + quality.gumbel(F.col("doc_id")))
+    first = {r.doc_id: r.key for r in keyed.collect()}
+    assert abs(np.mean([first[i + 1] > first[i] for i in range(0, 4000, 2)]) - 0.75) < 0.03
+    kept = {r.doc_id for r in quality.top_k(keyed, "key", 2000, last=50).where("kept").collect()}
+    assert len(kept) == 2000 and kept == {i for i, _ in sorted(first.items(), key=lambda x: (-x[1], -x[0]))[:2000]}
+    heavy = sum(i % 2 for i in kept)
+    assert 1200 < heavy < 1500
 
 
 @pytest.mark.parametrize("last", [5, 1000])
