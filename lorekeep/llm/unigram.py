@@ -3,11 +3,13 @@
 A space is the whitespace marker, and one stands before each text. No piece of a vocabulary that this module takes spans from
 another character into a marker, so a text falls into units that start at a marker after another character; each distinct unit
 of a batch is segmented once, all of them side by side in numpy, and documents gather their units' ids. The best segmentation
-has the largest sum of piece scores. A character without a piece of its own may pass as unknown, at the lowest score less
-UNKNOWN, and is written as byte pieces. Equal sums go to the last piece that starts earliest.
+has the largest sum of log scores. The file at hand orders its pieces by merges and has no probabilities, and tokenizers are not
+trained here, so a piece's log score follows from its place by Zipf's law: the piece of rank r has a probability in proportion to
+1 / (r + 1). A vocabulary whose scores are log probabilities keeps its own. A character without a piece of its own may pass as
+unknown, at the lowest score less UNKNOWN, and is written as byte pieces. Equal sums go to the last piece that starts earliest.
 
-Null and empty texts have no pieces. A literal U+2581 counts as a space, as the marker is that character; all else decodes to
-what it was. Rows that repeat a doc_id are encoded each. Other columns are ignored. An empty table gives no rows. Long texts
+Null and empty texts have no pieces. A literal U+2581 is encoded as a space, as the marker is that character, and round_trip is
+false for such a text; all else decodes to what it was. round_trip compares the decoded ids of the whole text with the text itself. Rows that repeat a doc_id are encoded each. Other columns are ignored. An empty table gives no rows. Long texts
 are taken whole.
 """
 
@@ -93,8 +95,20 @@ class DoubleArray:
             self.value = np.concatenate([self.value, np.full(n, -1, np.int32)])
 
 
+def log_scores(scores: np.ndarray, usual: list[bool], are_logs: bool) -> np.ndarray:
+    """Log scores of the pieces: the file's own if it is a unigram model, else those of Zipf's law over the usual pieces by rank."""
+    if are_logs:
+        return scores
+    at = np.flatnonzero(usual)
+    rank = np.empty(len(at))
+    rank[np.argsort(-scores[at], kind="stable")] = np.arange(1, len(at) + 1)
+    out = np.zeros(len(scores))
+    out[at] = -np.log(rank) - np.log((1 / rank).sum())
+    return out
+
+
 class Pieces:
-    """Pieces, scores and byte pieces of a vocabulary file, and the trie over the pieces with a space for the marker."""
+    """Pieces, log scores and byte pieces of a vocabulary file, and the trie over the pieces with a space for the marker."""
 
     def __init__(self, path: str):
         from sentencepiece import sentencepiece_model_pb2
@@ -103,7 +117,7 @@ class Pieces:
         with open(path, "rb") as f:
             model.ParseFromString(f.read())
         self.names = [p.piece for p in model.pieces]
-        self.scores = np.array([p.score for p in model.pieces], np.float64)
+        self.scores = log_scores(np.array([p.score for p in model.pieces], np.float64), [p.type in (1, 4) for p in model.pieces], model.trainer_spec.model_type == 1)
         normal = [i for i, p in enumerate(model.pieces) if p.type in (1, 4)]
         self.byte_ids = np.array([self.names.index(f"<0x{b:02X}>") for b in range(256)], np.int64)
         self.is_byte = np.zeros(len(self.names), bool)
@@ -116,8 +130,8 @@ class Pieces:
         self.raw = [self.names[i].replace(MARK, " ").encode() for i in range(len(self.names))]
         for b, i in enumerate(self.byte_ids.tolist()):
             self.raw[i] = bytes([b])
-        usual = self.scores[normal]
-        self.unknown = float(usual[usual > -1e8].min()) - UNKNOWN
+        self.unknown = float(self.scores[normal].min()) - UNKNOWN
+        self.sizes = np.array([len(x) for x in self.raw], np.int64)
 
     # decoding
 
@@ -125,6 +139,17 @@ class Pieces:
         text = b"".join(self.raw[i] for i in ids).decode("utf-8", "replace")
         return text[1:] if text.startswith(" ") else text
 
+    def decoded(self, ids: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Bytes of all texts back to back, the marker that stands before each left out, and the n+1 offsets of the texts."""
+        data = np.frombuffer(b"".join(map(self.raw.__getitem__, ids.tolist())), np.uint8)
+        ends = np.concatenate(([0], np.cumsum(self.sizes[ids])))[at]
+        full = ends[1:] > ends[:-1]
+        first = ends[:-1][full]
+        first = first[data[first] == 32]
+        keep = np.ones(len(data), bool)
+        keep[first] = False
+        return data[keep], ends - np.searchsorted(first, ends, side="left")
+
     # encoding
 
     def segment(self, data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -222,12 +247,12 @@ class Pieces:
             live = live[b > 0]
         return out, counts, best[lengths, every]
 
-    def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """ids of all texts back to back, the n+1 offsets of the texts' ids, their scores, and whether each decodes to itself."""
+    def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """ids of all texts back to back, the n+1 offsets of the texts' ids, and their scores."""
         n = len(offsets) - 1
         full = np.diff(offsets) > 0
         if not full.any():
-            return np.zeros(0, np.int64), np.zeros(n + 1, np.int64), np.zeros(n), np.ones(n, bool)
+            return np.zeros(0, np.int64), np.zeros(n + 1, np.int64), np.zeros(n)
         data = np.insert(data, offsets[:-1][full], 32)
         offsets = offsets + np.concatenate(([0], np.cumsum(full)))
         space = data == 32
@@ -244,19 +269,13 @@ class Pieces:
         raw = np.frombuffer(units.buffers()[2], np.uint8)
         ids, counts, scores = self.segment(raw, own[:-1], np.diff(own))
         firsts = np.cumsum(counts) - counts
-        # each distinct unit decoded and compared
-        back = b"".join([self.raw[i] for i in ids.tolist()])
-        sizes = np.array([len(x) for x in self.raw])[ids]
-        ends = np.concatenate(([0], np.cumsum(sizes)))[np.append(firsts, len(ids))]
-        same = np.array([back[a:b] == u for a, b, u in zip(ends[:-1].tolist(), ends[1:].tolist(), units.to_pylist(), strict=True)])
         where = coded.indices.to_numpy()
         many = counts[where]
         at = np.concatenate(([0], np.cumsum(many)))
         take = np.arange(at[-1]) + np.repeat(firsts[where] - at[:-1], many)
         unit_at = np.searchsorted(starts, offsets, side="left")
         total = np.concatenate(([0.0], np.cumsum(scores[where])))
-        good = np.concatenate(([0], np.cumsum(same[where])))
-        return ids[take], at[unit_at], total[unit_at[1:]] - total[unit_at[:-1]], good[unit_at[1:]] - good[unit_at[:-1]] == np.diff(unit_at)
+        return ids[take], at[unit_at], total[unit_at[1:]] - total[unit_at[:-1]]
 
 
 def _plain(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -266,10 +285,24 @@ def _plain(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return work.text_buffers(pc.replace_substring(column, MARK, " "))
 
 
+def _equal(a: np.ndarray, a_at: np.ndarray, b: np.ndarray, b_at: np.ndarray) -> np.ndarray:
+    """Which texts of two columns are equal byte for byte."""
+    same = np.diff(a_at) == np.diff(b_at)
+    if same.all():
+        apart = np.concatenate(([0], np.cumsum(a != b)))
+        return apart[a_at[1:]] == apart[a_at[:-1]]
+    for i in np.flatnonzero(same).tolist():
+        same[i] = np.array_equal(a[a_at[i] : a_at[i + 1]], b[b_at[i] : b_at[i + 1]])
+    return same
+
+
 def _encoder(pieces: Pieces, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in work.small_batches(batches):
-            ids, at, scores, same = pieces.encode(*_plain(batch.column(1)))
+            data, offsets = work.text_buffers(batch.column(1))
+            ids, at, scores = pieces.encode(*_plain(batch.column(1)))
+            back, ends = pieces.decoded(ids, at)
+            same = _equal(data, offsets, back, ends)
             fallback = np.concatenate(([0], np.cumsum(pieces.is_byte[ids])))
             raw = memoryview(ids.astype("<u4")).cast("B")
             crc = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
@@ -284,7 +317,7 @@ def _encoder(pieces: Pieces, with_ids: bool):
 
 
 def encode(docs: DataFrame, path: str, with_ids: bool = True) -> DataFrame:
-    """Pieces of each text: number, bytes among them, score, crc32 of the ids, whether they decode to the text, and the ids if asked for."""
+    """Pieces of each text: number, bytes among them, log score, crc32 of the ids, whether they decode to the text, and the ids if asked for."""
     work.prepare(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     schema = "doc_id long, n_pieces long, n_bytes long, score double, ids_crc32 long, round_trip boolean" + ", ids array<long>" * with_ids

@@ -2,6 +2,7 @@
 
 import hashlib
 import itertools
+import math
 import random
 import re
 import struct
@@ -304,43 +305,61 @@ def test_best_fit_takes_the_least_room(sizes, most):
 
 
 def test_unigram_round_trip_and_score(spark):
-    rows = [*odd_rows()[:12], (700, "a  b\n中文 ñ 🙂"), (701, " lead"), (702, "été token = \"0f\"")]
+    """Whole texts, long ones too, against a plain Viterbi over all pieces."""
+    rows = [*odd_rows()[:12], (500, " ".join(words(3000, 2))), (700, "a  b\n中文 ñ 🙂"), (701, " lead"), (702, "été token = \"0f\""), (703, "a▁b"), (704, "▁"), (705, "x" * 3000)]
     out = {r.doc_id: r for r in unigram.encode(table(spark, rows), PIECES).collect()}
     back = {r.doc_id: r.text for r in unigram.decode(unigram.encode(table(spark, rows), PIECES), PIECES).collect()}
     pieces = unigram.Pieces(PIECES)
     known = {pieces.raw[i]: s for i, s in enumerate(pieces.scores.tolist()) if i > 2 and not pieces.is_byte[i]}
+    most = max(map(len, known))
     for i, t in rows:
-        assert back[i] == (t or "") and out[i].round_trip and out[i].ids_crc32 == crc(list(out[i].ids))
-        if t and len(t) < 60:
-            raw = (" " + t).encode()
+        assert back[i] == (t or "").replace("▁", " ") and out[i].round_trip == ("▁" not in (t or "")) and out[i].ids_crc32 == crc(list(out[i].ids))
+        assert out[i].n_pieces == len(out[i].ids) and out[i].n_bytes == sum(bool(pieces.is_byte[k]) for k in out[i].ids)
+        if t:
+            raw = (" " + t.replace("▁", " ")).encode()
             best = [0.0] + [-1e300] * len(raw)
             for a in range(len(raw)):
                 if raw[a] & 0xC0 == 0x80:
                     continue
                 size = next(k for k in range(1, 5) if a + k >= len(raw) or raw[a + k] & 0xC0 != 0x80)
-                for b in range(a + 1, min(len(raw), a + 50) + 1):
+                for b in range(a + 1, min(len(raw), a + most) + 1):
                     if raw[a:b] in known:
                         best[b] = max(best[b], best[a] + known[raw[a:b]])
                 if raw[a : a + size] not in known:
                     best[a + size] = max(best[a + size], best[a] + pieces.unknown)
             assert abs(best[-1] - out[i].score) < 1e-6 * max(1, abs(best[-1]))
+    assert unigram.encode(table(spark, []), PIECES).collect() == []
+
+
+def test_log_scores():
+    """Zipf's law sums to one over the usual pieces; a unigram file keeps its own scores."""
+    pieces = unigram.Pieces(PIECES)
+    usual = [s for s in pieces.scores if s < 0]
+    assert abs(sum(map(math.exp, usual)) - 1) < 1e-9 and len(usual) > 30_000
+    assert unigram.log_scores(np.array([0.0, -1.0, -2.0]), [False, True, True], True).tolist() == [0, -1, -2]
+    got = unigram.log_scores(np.array([0.0, -7.0, -5.0]), [False, True, True], False)
+    assert np.allclose(np.exp(got[1:]), [1 / 3, 2 / 3])
 
 
 def test_unigram_equals_library():
+    """The library's unigram model over the same pieces and log scores finds sums as large, on short and long texts."""
     sentencepiece = pytest.importorskip("sentencepiece")
     from sentencepiece import sentencepiece_model_pb2
 
+    pieces = unigram.Pieces(PIECES)
     model = sentencepiece_model_pb2.ModelProto()
     model.ParseFromString(open(PIECES, "rb").read())
     model.trainer_spec.model_type = 1
+    for p, s in zip(model.pieces, pieces.scores.tolist(), strict=True):
+        p.score = s
     library = sentencepiece.SentencePieceProcessor(model_proto=model.SerializeToString())
-    pieces = unigram.Pieces(PIECES)
     r = random.Random(4)
-    texts = [" ".join("".join(r.choice("etaoinshr") for _ in range(r.randint(2, 9))) for _ in range(12)) for _ in range(40)]
-    ids, at, _, _ = pieces.encode(*work.text_buffers(pa.array(texts)))
+    texts = [" ".join("".join(r.choice("etaoinshr") for _ in range(r.randint(2, 9))) for _ in range(n)) for n in [12] * 40 + [2000] * 3]
+    ids, at, scores = pieces.encode(*work.text_buffers(pa.array(texts)))
     total = lambda x: sum(pieces.scores[i] for i in x)
     for k, t in enumerate(texts):
-        assert abs(total(ids[at[k] : at[k + 1]]) - total(library.encode(t))) < 1e-3
+        own = total(ids[at[k] : at[k + 1]])
+        assert abs(own - total(library.encode(t))) < 1e-5 * abs(own) and abs(own - scores[k]) < 1e-6 * abs(own)
 
 
 def brute_spans(t):
