@@ -6,14 +6,14 @@
    and leader are candidates. In a bucket of two the packed bits decide at once: agreements are counted in bit operations and
    corrected for the chance that low bits agree anyway. Larger buckets stay whole, so no link between two followers is lost.
 3. Candidates join into clumps, outside which no link can lie. In each clump texts are compared on their full sets, beginning
-   with the text that overlaps most, until those left apart have been compared with all others. A clump over BLOCK classes is
+   with the text that overlaps most, until those left apart have been compared with all others. A clump over BLOCK classes or SHINGLES shingles is
    first thinned by comparing its members with their leaders, dealt over many tasks, and then cut into blocks; each pair of
    blocks is a task, and texts that are already connected are not compared again.
 
 Links: 100 * intersection >= percent * union, always confirmed on full sets; percent is PERCENT unless the caller asks for another,
 and the bands and the looseness of estimates follow from it.
-Texts that are null, empty or without words have an empty set and link with nothing. Rows that repeat a doc_id count as one
-document. Other columns are ignored. An empty table gives no rows. Long texts are taken whole.
+Texts that are null, empty or without words have an empty set and link with nothing, as do rows without doc_id, which are kept and
+have no component. Rows that repeat a doc_id count as one document. Other columns are ignored. An empty table gives no rows. Long texts are taken whole.
 """
 
 from __future__ import annotations
@@ -33,8 +33,8 @@ WIDTH, PERCENT = 5, 85
 HASHES, BITS = 128, 4
 #: Share of pairs at the very limit that may meet in no band.
 MISSED = 1e-4
-#: Classes that one task compares.
-BLOCK = 2000
+#: Classes and shingles that one block holds; a task compares two blocks.
+BLOCK, SHINGLES = 2000, 2_000_000
 
 _FACTORS = mix(np.arange(1, HASHES + 1, dtype=np.uint64) * np.uint64(0x2545F4914F6CDD1D)) | np.uint64(1)
 _BAND = mix(np.arange(1, HASHES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
@@ -211,7 +211,7 @@ def near_duplicates(docs: DataFrame, block: int = BLOCK, percent: int = PERCENT)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     signed = work.staged(docs.mapInArrow(_sign(band_rows(percent)), SIGNED), folder, "signed")
     classes = work.staged(
-        signed.where("n > 0").groupBy("hi", "lo", "n").agg(F.min("doc_id").alias("id"), F.first("bands").alias("bands"), F.first("packed").alias("packed")), folder, "classes"
+        signed.where("n > 0 and doc_id is not null").groupBy("hi", "lo", "n").agg(F.min("doc_id").alias("id"), F.first("bands").alias("bands"), F.first("packed").alias("packed")), folder, "classes"
     )
     keyed = classes.select("id", F.explode("bands").alias("band"))
     buckets = keyed.groupBy("band").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
@@ -225,9 +225,9 @@ def near_duplicates(docs: DataFrame, block: int = BLOCK, percent: int = PERCENT)
     work.forget(spark, f"{folder}/mates")
     clumps = connected_components(candidates, folder, "clump").withColumnRenamed("component", "clump")
     members = docs.join(clumps, F.col("doc_id") == F.col("id")).select("doc_id", "text", "clump")
-    sets = work.staged(members.mapInArrow(_sets, "id long, clump long, body binary").dropDuplicates(["id"]), folder, "sets")
-    sizes = sets.groupBy("clump").agg(F.count(F.lit(1)).alias("many"))
-    large = sizes.where(F.col("many") > block)
+    sets = work.staged(members.mapInArrow(_sets, "id long, clump long, body binary").groupBy("id", "clump").agg(F.min("body").alias("body")), folder, "sets")
+    sizes = sets.groupBy("clump").agg(F.greatest(F.ceil(F.count(F.lit(1)) / block), F.ceil(F.sum(F.length("body")) / (8 * SHINGLES))).cast("int").alias("blocks"))
+    large = sizes.where("blocks > 1")
     known = sets.select("id", F.col("id").alias("known")).limit(0)
     links = []
     if not large.isEmpty():
@@ -242,7 +242,7 @@ def near_duplicates(docs: DataFrame, block: int = BLOCK, percent: int = PERCENT)
         links.append(first)
         known = connected_components(first, folder, "led").withColumnRenamed("component", "known")
     dealt = sets.join(sizes, "clump").join(known, "id", "left").withColumn("known", F.coalesce("known", "id"))
-    dealt = dealt.withColumn("blocks", F.ceil(F.col("many") / block).cast("int")).withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    dealt = dealt.withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     cells = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.least("own", j) * F.col("blocks") + F.greatest("own", j))
     dealt = dealt.withColumn("cell", F.explode(cells)).select("clump", "cell", "id", "known", "body")
     compared = dealt.repartition("clump", "cell").sortWithinPartitions("clump", "cell", "id").mapInArrow(_compare(percent), "src long, dst long")
@@ -251,8 +251,8 @@ def near_duplicates(docs: DataFrame, block: int = BLOCK, percent: int = PERCENT)
     components = connected_components(edges, folder, "component")
     named = classes.select("hi", "lo", "n", "id").join(components, "id", "left").select("hi", "lo", "n", F.coalesce("component", "id").alias("found"))
     out = signed.select("doc_id", "n", "hi", "lo").join(named, ["hi", "lo", "n"], "left")
-    component = F.coalesce("found", "doc_id")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), (F.col("doc_id") == component).alias("kept"))
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("found", "doc_id"))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
 #: The same rows by counting the shingles that each two documents share, for a table without repeated doc_id.

@@ -28,9 +28,11 @@ def prepare(spark: SparkSession) -> None:
 
 
 def work_folder(spark: SparkSession) -> str:
-    """A new folder below the shared one that the cluster names; a local one only where none is named."""
+    """A new folder below the shared one that the cluster names; a local one only where none is named and all runs on one machine."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = os.path.join(tempfile.gettempdir(), "checkpoints")
         spark.sparkContext.setCheckpointDir(base)
     return f"{base.rstrip('/')}/lorekeep-{uuid.uuid4().hex}"
