@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .. import paths
 from ..functions import concepts, redact, refs, text
 from ..operators import derive, document, lexical, maintain, search, sessions, vector
 from ..schema import sanitize_session_id, SUMMARY_KINDS
@@ -34,8 +34,32 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return keep
 
 
-def scored(spark: SparkSession, sf_dir: str, terms: list[str]) -> DataFrame:
-    return lexical.rank(lexical.tokenized(views.conversations(spark, sf_dir), tuple(TALK)), terms)
+_INDEXES: dict[tuple[str, ...], lexical.Index] = {}
+
+VIEWS = {
+    "conversations": (views.conversations, tuple(TALK)),
+    "documents": (views.documents, ("metadata_text",)),
+    "decorated": (lambda spark, sf_dir: views.documents(spark, sf_dir, True), ("metadata_text",)),
+}
+
+
+def index(spark: SparkSession, sf_dir: str, view: str) -> lexical.Index:
+    """The view's index in the shared folder, built where a session first asks for it."""
+    key = (spark.sparkContext.applicationId, sf_dir, view)
+    if key not in _INDEXES:
+        _INDEXES[key] = build_index(spark, sf_dir, view)
+    return _INDEXES[key]
+
+
+def build_index(spark: SparkSession, sf_dir: str, view: str) -> lexical.Index:
+    rows, columns = VIEWS[view]
+    built = lexical.Index(spark, f"{paths.shared_folder(spark)}/index-{view}-{uuid.uuid4().hex}", columns)
+    built.add(rows(spark, sf_dir))
+    return built
+
+
+def scored(spark: SparkSession, sf_dir: str, terms: list[str], view: str = "conversations") -> DataFrame:
+    return index(spark, sf_dir, view).rank(terms)
 
 
 def hits(rows: DataFrame, *more: str) -> DataFrame:
@@ -56,7 +80,23 @@ def search_bm25(spark, sf_dir):
 
 @query("search_bm25_documents", hits_sql(["license", "idiot", "der"], view=views.documents_sql(), columns=["metadata_text"]))
 def search_bm25_documents(spark, sf_dir):
-    return hits(lexical.rank(lexical.tokenized(views.documents(spark, sf_dir), ("metadata_text",)), ["license", "idiot", "der"]))
+    return hits(scored(spark, sf_dir, ["license", "idiot", "der"], "documents"))
+
+
+@query("search_bm25_unindexed", hits_sql(WORDS))
+def search_bm25_unindexed(spark, sf_dir):
+    return hits(lexical.rank(lexical.tokenized(views.conversations(spark, sf_dir), tuple(TALK)), WORDS))
+
+
+@query(
+    "search_index_terms",
+    f"""WITH {views.documents_sql()}, t AS (SELECT doc_id, unnest({oracle._tokens('metadata_text')}) AS term FROM ev) SELECT term, count(DISTINCT doc_id) AS df, count(*) AS occurrences FROM t GROUP BY term""",
+)
+def search_index_terms(spark, sf_dir):
+    """Builds the index anew; its terms, with their rows and occurrences."""
+    built = build_index(spark, sf_dir, "documents")
+    counted = built._table("postings").groupBy("term").agg(F.sum("n0").alias("occurrences"))
+    return built._table("terms").join(counted, "term").select("term", "df", "occurrences")
 
 
 @query("search_repeated_term", hits_sql(["idiot", "that", "idiot"]))
@@ -71,8 +111,7 @@ def search_phrase_underscore(spark, sf_dir):
 
 @query("search_concept_expand", hits_sql(concepts.expand(["Bug", "auth"]), view=views.documents_sql(True), columns=["metadata_text"]))
 def search_concept_expand(spark, sf_dir):
-    rows = lexical.tokenized(views.documents(spark, sf_dir, True), ("metadata_text",))
-    return hits(lexical.rank(rows, concepts.expand(["Bug", "auth"])))
+    return hits(scored(spark, sf_dir, concepts.expand(["Bug", "auth"]), "decorated"))
 
 
 # filters; statistics cover all rows
@@ -127,7 +166,7 @@ def search_filter_command(spark, sf_dir):
   SELECT a.doc_id, a.session_id, coalesce((SELECT string_agg(cast(b.raw_line AS VARCHAR), ',' ORDER BY b.rank) FROM c b WHERE b.session_id = a.session_id AND b.twin = a.twin AND b.rank > a.rank), '') AS also_at FROM c a WHERE n = 1""",
 )
 def search_twin_collapse(spark, sf_dir):
-    rows = lexical.rank(lexical.tokenized(views.documents(spark, sf_dir), ("metadata_text",)), ["the", "der"])
+    rows = scored(spark, sf_dir, ["the", "der"], "documents")
     # rows of a twin group are ordered among themselves, so no rank over all rows is needed
     twin = ["session_id", "canonical_type", text.whitespace_key(F.col("searchable_text"))]
     w = Window.partitionBy(*twin).orderBy(*search.order())
@@ -348,13 +387,8 @@ def extract_refs(spark, sf_dir):
     return rows.select("doc_id", F.explode(refs.extract(F.col("searchable_text"))).alias("r")).select("doc_id", "r.kind", "r.value")
 
 
-@query("normalize_ref", "SELECT doc_id, '#' || CASE WHEN ltrim(lpad(cast(doc_id AS VARCHAR), 6, '0'), '0') = '' THEN '0' ELSE ltrim(lpad(cast(doc_id AS VARCHAR), 6, '0'), '0') END AS value FROM documents WHERE doc_id < 100")
+@query("normalize_ref", "SELECT doc_id, '#' || cast(doc_id AS VARCHAR) AS value FROM documents")
 def normalize_ref(spark, sf_dir):
-    return normalize_ref_every_document(spark, sf_dir).where("doc_id < 100")
-
-
-@query("normalize_ref_every_document", "SELECT doc_id, '#' || cast(doc_id AS VARCHAR) AS value FROM documents")
-def normalize_ref_every_document(spark, sf_dir):
     id_ = F.col("doc_id").cast("string")
     raw = F.concat(F.lit("org/repo#"), F.repeat(F.lit("0"), F.greatest(F.lit(0), 6 - F.length(id_))), id_)
     return views.table(spark, sf_dir, "documents").select("doc_id", refs.normalized(raw)["value"].alias("value"))
@@ -370,13 +404,8 @@ def whitespace_key(spark, sf_dir):
     return views.table(spark, sf_dir, "documents").select("doc_id", text.whitespace_key(F.col("text")).alias("key"))
 
 
-@query("sanitize_session_id", "SELECT doc_id, CASE WHEN text = '' THEN '_' ELSE regexp_replace(substr(text, 1, 40), '[^A-Za-z0-9._-]', '_', 'g') END AS name FROM documents")
+@query("sanitize_session_id", "SELECT doc_id, sha256(CASE WHEN text = '' THEN '_' ELSE regexp_replace(text, '[^A-Za-z0-9._-]', '_', 'g') END) AS name FROM documents")
 def sanitize(spark, sf_dir):
-    return views.table(spark, sf_dir, "documents").select("doc_id", F.substring(sanitize_session_id(F.col("text")), 1, 40).alias("name"))
-
-
-@query("sanitize_session_id_whole", "SELECT doc_id, sha256(CASE WHEN text = '' THEN '_' ELSE regexp_replace(text, '[^A-Za-z0-9._-]', '_', 'g') END) AS name FROM documents")
-def sanitize_whole(spark, sf_dir):
     return views.table(spark, sf_dir, "documents").select("doc_id", F.sha2(sanitize_session_id(F.col("text")), 256).alias("name"))
 
 
@@ -436,7 +465,7 @@ def latency_percentile_nearest_rank(spark, sf_dir):
 
 @query("stream_incremental_index", "SELECT 'user-' || user_id AS session_id, count(*) AS event_count FROM events GROUP BY user_id")
 def stream_incremental_index(spark, sf_dir):
-    base = (spark.conf.get("spark.checkpoint.dir", None) or f"{tempfile.gettempdir()}/checkpoints").rstrip("/") + f"/stream-{uuid.uuid4().hex}"
+    base = f"{paths.shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     schema = views.table(spark, sf_dir, "events").schema
     kept = incremental.stream_session_counts(spark, sf_dir, "events.parquet", schema, f"{base}/out", f"{base}/checkpoint", F.concat(F.lit("user-"), F.col("user_id").cast("string")))
     return kept.select("session_id", "event_count")
