@@ -1,4 +1,7 @@
-"""Values of JSON payloads by path, as column expressions."""
+"""Values of JSON payloads by path, as column expressions over a payload that is parsed once.
+
+A path reaches a value by type: text is only what is text in the JSON, a whole number what is one or is text that spells one.
+"""
 
 from __future__ import annotations
 
@@ -6,19 +9,40 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def at(payload: Column, path: str) -> Column:
-    """Raw value at a path such as `payload.item.id`, as text; null if absent."""
+def parsed(payload: Column) -> Column:
+    """The payload as a variant, null if it is no JSON. Make it a column of its own: every other function here takes that column."""
+    return F.try_parse_json(payload)
+
+
+def at(v: Column, path: str) -> Column:
+    """Value at a path such as `payload.item.id`, objects and lists as JSON text; null if absent."""
+    return F.try_variant_get(v, "$." + path, "string")
+
+
+def raw_at(payload: Column, path: str) -> Column:
+    """The part of unparsed JSON text at a path as it is written there, text without quotes; null if absent."""
     return F.get_json_object(payload, "$." + path)
 
 
-def text_at(payload: Column, *paths: str) -> Column:
-    """The first of the paths that holds text, trimmed; empty text counts as absent."""
-    return F.coalesce(*(F.nullif(F.trim(at(payload, p)), F.lit("")) for p in paths))
+def kind_at(v: Column, path: str) -> Column:
+    """Type of the value at a path: STRING, BIGINT, BOOLEAN and so on; null if absent."""
+    return F.schema_of_variant(F.try_variant_get(v, "$." + path, "variant"))
 
 
-def long_at(payload: Column, *paths: str) -> Column:
+def text_at(v: Column, *paths: str) -> Column:
+    """The first of the paths that holds text, trimmed; empty text counts as absent, and so does what is not text."""
+    return F.coalesce(*(F.when(kind_at(v, p) == "STRING", F.nullif(F.trim(at(v, p)), F.lit(""))) for p in paths))
+
+
+def long_at(v: Column, *paths: str) -> Column:
     """The first of the paths that holds a whole number, written as a number or as text."""
-    return F.coalesce(*(F.when(at(payload, p).rlike(r"^\s*[+-]?[0-9]+\s*$"), F.trim(at(payload, p)).try_cast("long")) for p in paths))
+    whole = lambda p: kind_at(v, p).isin("BIGINT", "STRING") & at(v, p).rlike(r"^\s*[+-]?[0-9]+\s*$")
+    return F.coalesce(*(F.when(whole(p), F.trim(at(v, p)).try_cast("long")) for p in paths))
+
+
+def true_at(v: Column, path: str) -> Column:
+    """Whether the path holds a true boolean."""
+    return F.coalesce((kind_at(v, path) == "BOOLEAN") & (at(v, path) == "true"), F.lit(False))
 
 
 def spread(prefixes: str, names: str) -> list[str]:

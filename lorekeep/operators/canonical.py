@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.pointers import at, long_at, spread, text_at
+from ..functions.pointers import at, kind_at, long_at, parsed, spread, text_at, true_at
 from ..schema import CANONICAL_TYPES, SCHEMA_VERSION, SUMMARY_KINDS, sanitize_session_id
 
 # Which event names mean what, for any tool and for one tool.
@@ -88,9 +88,12 @@ def lookup(key: Column, table: dict[str, str]) -> Column:
 
 
 def event_name(payload: Column) -> Column:
-    """The first of three keys that is there; empty counts as none, without a look at the others."""
-    first = F.coalesce(*(at(payload, k) for k in ("hook_event_name", "event", "type")))
-    return F.nullif(first, F.lit(""))
+    """The first of three keys that is there; if it holds no text, or empty text, there is none, without a look at the others."""
+    out = F.lit(None).cast("string")
+    for k in ("type", "event", "hook_event_name"):
+        there = kind_at(payload, k)
+        out = F.when(there == "STRING", F.nullif(at(payload, k), F.lit(""))).when(there.isNull(), out)
+    return out
 
 
 def _item_type(payload: Column) -> Column:
@@ -106,7 +109,7 @@ def _item_type(payload: Column) -> Column:
 def hook_type(tool: Column, name: Column, payload: Column) -> Column:
     """Canonical type of a live event; what no rule knows is an error."""
     kind = at(payload, "payload.type")
-    final = at(payload, "final") == "true"
+    final = true_at(payload, "final")
     codex = (
         F.when(name == "response_item", F.coalesce(F.when(kind == "message", lookup(at(payload, "payload.role"), ROLES)), lookup(kind, RESPONSE_ITEMS), F.lit("error")))
         .when(name == "event_msg", F.coalesce(lookup(kind, EVENT_MESSAGES), F.lit("error")))
@@ -156,8 +159,8 @@ def sequence(tool: Column, name: Column, payload: Column, fallback: Column | Non
 
 def source_event_id(tool: Column, name: Column, payload: Column, seq: Column) -> Column:
     """Id that the source itself gives the event; parts of a message add their place in it."""
-    message = at(payload, "message_id")
-    shown = F.concat_ws(":", message, F.coalesce(long_at(payload, "index").cast("string"), F.lit("unknown")), F.coalesce(at(payload, "final"), F.lit("false")))
+    message = text_at(payload, "message_id")
+    shown = F.concat_ws(":", message, F.coalesce(long_at(payload, "index").cast("string"), F.lit("unknown")), true_at(payload, "final").cast("string"))
     delta = text_at(payload, *MESSAGE_ID_PATHS)
     return (
         F.when((name == "MessageDisplay") & message.isNotNull(), shown)
@@ -194,8 +197,12 @@ def compaction_state(kind: Column) -> Column:
     return F.coalesce(lookup(kind, {"compaction.before": "pre_compaction", "compaction.after": "post_compaction"}), F.lit("none"))
 
 
+#: The payload, parsed once.
+PARSED = "__payload"
+
+
 def _shared(rows: DataFrame) -> DataFrame:
-    p = F.col("payload")
+    p = F.col(PARSED)
     return (
         rows.withColumn("schema_version", F.lit(SCHEMA_VERSION))
         .withColumn("captured_at", F.coalesce(captured_at(p), F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss'Z'")))
@@ -205,6 +212,7 @@ def _shared(rows: DataFrame) -> DataFrame:
         .withColumn("message_id", text_at(p, *MESSAGE_ID_PATHS))
         .withColumn("project_root", text_at(p, *ROOT_PATHS))
         .withColumn("cwd", text_at(p, *CWD_PATHS))
+        .drop(PARSED)
     )
 
 
@@ -213,8 +221,8 @@ def from_hooks(rows: DataFrame) -> DataFrame:
     good = F.try_parse_json("payload").isNotNull() & F.trim("payload").startswith("{")
     wrapped = F.to_json(F.struct(F.lit("parse_error").alias("type"), F.lit("hook-parse-error").alias("session_id"), F.lit("malformed JSON").alias("parse_error"), F.col("payload").alias("raw_line")))
     rows = rows.withColumn("payload", F.when(F.coalesce(good, F.lit(False)), F.col("payload")).otherwise(wrapped))
-    p, tool = F.col("payload"), F.col("tool")
-    rows = rows.withColumn("source_event_type", event_name(p)).withColumn("session_id", F.coalesce(hook_session_id(tool, F.col("source_event_type"), p), text_at(p, "session_id")))
+    p, tool = F.col(PARSED), F.col("tool")
+    rows = rows.withColumn(PARSED, parsed(F.col("payload"))).withColumn("source_event_type", event_name(p)).withColumn("session_id", F.coalesce(hook_session_id(tool, F.col("source_event_type"), p), text_at(p, "session_id")))
     rows = rows.withColumn("canonical_type", hook_type(tool, F.col("source_event_type"), p)).withColumn("sequence", sequence(tool, F.col("source_event_type"), p))
     rows = rows.withColumn("source_event_id", source_event_id(tool, F.col("source_event_type"), p, F.col("sequence"))).withColumn("source", F.lit("hook"))
     return _shared(rows)
@@ -222,7 +230,7 @@ def from_hooks(rows: DataFrame) -> DataFrame:
 
 def from_records(rows: DataFrame, source: str = "backfill") -> DataFrame:
     """Envelopes of imported records (tool, payload, session_id, source_event_type, byte_offset)."""
-    p, tool, name = F.col("payload"), F.col("tool"), F.col("source_event_type")
-    rows = rows.withColumn("canonical_type", backfill_type(tool, name, p)).withColumn("sequence", sequence(tool, name, p, F.col("byte_offset")))
+    p, tool, name = F.col(PARSED), F.col("tool"), F.col("source_event_type")
+    rows = rows.withColumn(PARSED, parsed(F.col("payload"))).withColumn("canonical_type", backfill_type(tool, name, p)).withColumn("sequence", sequence(tool, name, p, F.col("byte_offset")))
     rows = rows.withColumn("source_event_id", source_event_id(tool, name, p, F.col("sequence"))).withColumn("source", F.lit(source))
     return _shared(rows)

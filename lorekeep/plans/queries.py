@@ -357,7 +357,9 @@ def summary_kind(spark, sf_dir):
 def json_pointer_extract(spark, sf_dir):
     from ..functions import pointers
 
-    return views.table(spark, sf_dir, "events").select("event_id", pointers.long_at(F.col("props"), "missing", "k").alias("k"), pointers.text_at(F.col("props"), "k").alias("k_text"))
+    v = F.col("v")
+    rows = views.table(spark, sf_dir, "events").withColumn("v", pointers.parsed(F.col("props")))
+    return rows.select("event_id", pointers.long_at(v, "missing", "k").alias("k"), pointers.at(v, "k").alias("k_text"))
 
 
 @query("dedupe_first_wins", "SELECT doc_id FROM documents WHERE text IS NOT NULL QUALIFY row_number() OVER (PARTITION BY text ORDER BY doc_id) = 1")

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.pointers import at, text_at
+from ..errors import ValidationError
+from ..functions.pointers import at, kind_at, parsed, raw_at, text_at
 from ..functions.text import is_uuid
 from ..operators import canonical
 from .raw import lines
@@ -52,14 +53,27 @@ def _elements(value: "F.Column") -> "F.Column":
 def json_records(spark: SparkSession, tool: str, *paths: str) -> DataFrame:
     """Whole-file JSON: a list gives its items, an object with messages these (with its session id where they have none), another
     object itself, a scalar nothing."""
+    rows = _items(spark, ("messages",), *paths)
+    own, outer = raw_at(F.col("payload"), "session_id"), raw_at(F.col("value"), "session_id")
+    lacks = F.col("nested") & own.isNull() & outer.isNotNull() & F.col("payload").startswith("{")
+    return rows.select(F.lit(tool).alias("tool"), "source_path", F.col("byte_offset").cast("long"), F.when(lacks, _with_session(F.col("payload"), outer)).otherwise(F.col("payload")).alias("payload"), F.when(lacks, outer).alias("outer_session"))
+
+
+def _with_session(payload: "F.Column", session: "F.Column") -> "F.Column":
+    """An object's JSON text with a session id put before its other members."""
+    quoted = F.regexp_extract(F.to_json(F.struct(session.alias("s"))), r"(?s)^\{\"s\":(.*)\}$", 1)
+    rest = F.regexp_replace(payload, r"^\s*\{\s*", "")
+    return F.concat(F.lit('{"session_id":'), quoted, F.when(rest.startswith("}"), F.lit("")).otherwise(F.lit(",")), rest)
+
+
+def _items(spark: SparkSession, boxes: tuple[str, ...], *paths: str) -> DataFrame:
+    """(source_path, value, nested, byte_offset: place, payload) of whole JSON files: a list gives its items, an object those of the first
+    box that holds a list, another object itself, a scalar nothing."""
     whole = spark.read.text(list(paths), wholetext=True).select(F.col("_metadata.file_path").alias("source_path"), F.trim("value").alias("value"))
-    nested = F.col("value").startswith("{") & at(F.col("value"), "messages").startswith("[")
-    items = F.when(F.col("value").startswith("["), _elements(F.col("value"))).when(nested, _elements(at(F.col("value"), "messages"))).when(F.col("value").startswith("{"), F.array("value")).otherwise(F.array().cast("array<string>"))
-    rows = whole.select("source_path", "value", nested.alias("nested"), F.posexplode(items).alias("byte_offset", "payload"))
-    own, outer = at(F.col("payload"), "session_id"), at(F.col("value"), "session_id")
-    named = F.to_json(F.map_concat(F.from_json("payload", "map<string,string>"), F.create_map(F.lit("session_id"), outer)))
-    lacks = F.col("nested") & own.isNull() & outer.isNotNull()
-    return rows.select(F.lit(tool).alias("tool"), "source_path", F.col("byte_offset").cast("long"), F.when(lacks & ~F.col("payload").rlike(r":\s*[\[{]"), named).otherwise(F.col("payload")).alias("payload"), F.when(lacks, outer).alias("outer_session"))
+    box = F.coalesce(*(F.when(raw_at(F.col("value"), b).startswith("["), raw_at(F.col("value"), b)) for b in boxes))
+    whole = whole.withColumn("box", F.when(F.col("value").startswith("{"), box))
+    items = F.when(F.col("value").startswith("["), _elements(F.col("value"))).when(F.col("box").isNotNull(), _elements(F.col("box"))).when(F.col("value").startswith("{"), F.array("value")).otherwise(F.array().cast("array<string>"))
+    return whole.select("source_path", "value", F.col("box").isNotNull().alias("nested"), F.posexplode(items).alias("byte_offset", "payload"))
 
 
 def path_session_id(path: "F.Column") -> "F.Column":
@@ -71,7 +85,8 @@ def path_session_id(path: "F.Column") -> "F.Column":
 
 def named(records: DataFrame, worktrees: DataFrame | None = None) -> DataFrame:
     """records with session_id and source_event_type. worktrees (session_id, worktree) fill root and folder where payloads lack them."""
-    p, tool, path = F.col("payload"), F.col("tool"), F.col("source_path")
+    records = records.withColumn(canonical.PARSED, parsed(F.col("payload")))
+    p, tool, path = F.col(canonical.PARSED), F.col("tool"), F.col("source_path")
     kind = storage_kind(path)
     meta = F.when((tool == "codex") & (at(p, "type") == "session_meta"), text_at(p, "payload.id"))
     stored = F.when((tool == "opencode") & (kind == "session"), text_at(p, *canonical.STORAGE_SESSION_PATHS))
@@ -94,41 +109,113 @@ def named(records: DataFrame, worktrees: DataFrame | None = None) -> DataFrame:
 
 def opencode_worktrees(records: DataFrame) -> DataFrame:
     """(session_id, worktree) from session files; the first file of a session counts."""
-    p = F.col("payload")
-    rows = records.where(storage_kind(F.col("source_path")) == "session")
+    p = F.col(canonical.PARSED)
+    rows = records.where(storage_kind(F.col("source_path")) == "session").withColumn(canonical.PARSED, parsed(F.col("payload")))
     found = rows.select(F.coalesce(text_at(p, *canonical.STORAGE_SESSION_PATHS), text_at(p, "id")).alias("session_id"), text_at(p, *canonical.WORKTREE_PATHS).alias("worktree"), "source_path")
     return found.where("worktree is not null").groupBy("session_id").agg(F.min_by("worktree", "source_path").alias("worktree"))
 
 
 def codex_stream(spark: SparkSession, source: str, *paths: str) -> DataFrame:
-    """Envelopes of an exec or app-server stream. A record without a session id has that of the record before it."""
-    records = jsonl_records(spark, "codex", *paths)
-    p = F.col("payload")
+    """Envelopes of an exec or app-server stream: JSONL, or a JSON list, or an object with events or notifications. A record without a
+    session id has that of the record before it."""
+    whole = [p for p in paths if p.endswith(".json")]
+    lined = [p for p in paths if not p.endswith(".json")]
+    tables = ([jsonl_records(spark, "codex", *lined)] if lined else []) + (
+        [_items(spark, ("events", "notifications"), *whole).select(F.lit("codex").alias("tool"), "source_path", F.col("byte_offset").cast("long"), "payload")] if whole else []
+    )
+    records = tables[0] if len(tables) == 1 else tables[0].unionByName(tables[1])
+    return codex_records(records, source)
+
+
+def codex_records(records: DataFrame, source: str) -> DataFrame:
+    """Envelopes of stream records (tool, source_path, byte_offset, payload)."""
+    p = F.col(canonical.PARSED)
     name = F.coalesce(text_at(p, *canonical.STREAM_NAME_PATHS), F.lit("codex.unknown"))
-    own = F.coalesce(text_at(p, *canonical.STREAM_SESSION_PATHS), F.when(name.isin("thread.started", "thread/started"), text_at(p, "id", "params.id")))
+    own = F.coalesce(text_at(p, *canonical.STREAM_SESSION_PATHS), F.when(F.col("source_event_type").isin("thread.started", "thread/started"), text_at(p, "id", "params.id")))
     w = Window.partitionBy("source_path").orderBy("byte_offset").rowsBetween(Window.unboundedPreceding, 0)
-    rows = records.withColumn("source_event_type", name).withColumn("own", own)
-    rows = rows.withColumn("session_id", F.coalesce(F.last("own", True).over(w), path_session_id(F.col("source_path")))).drop("own")
+    rows = records.withColumn(canonical.PARSED, parsed(F.col("payload"))).withColumn("source_event_type", name).withColumn("own", own)
+    rows = rows.withColumn("session_id", F.coalesce(F.last("own", True).over(w), path_session_id(F.col("source_path")))).drop("own", canonical.PARSED)
     return canonical.from_records(rows, source)
 
 
 def opencode_server(payloads: DataFrame, fallback_session: str) -> DataFrame:
     """Envelopes of server answers (payload): a row for a message that has text of its own or no parts, and one for each part."""
-    p = F.col("payload")
-    box = F.coalesce(at(p, "messages"), at(p, "data"), at(p, "result"))
-    inner = F.when(box.startswith("{"), at(box, "messages")).otherwise(box)
+    p, v = F.col("payload"), F.col(canonical.PARSED)
+    box = F.coalesce(*(raw_at(p, x) for x in ("messages", "data", "result")))
+    inner = F.when(box.startswith("{"), raw_at(box, "messages")).otherwise(box)
     items = F.when(F.trim(p).startswith("["), _elements(p)).when(inner.startswith("["), _elements(inner)).otherwise(F.array(p))
-    messages = payloads.select(F.posexplode(items).alias("i", "payload"))
-    parts = F.coalesce(*(_elements(at(p, x)) for x in ("parts", "message.parts", "payload.parts")), F.array().cast("array<string>"))
-    has_text = F.coalesce(*(F.nullif(F.trim(at(p, x)), F.lit("")) for x in ("text", "content", "message", "summary"))).isNotNull()
-    session = F.coalesce(text_at(p, "session_id", "sessionID", "sessionId", "message.sessionID", "payload.session_id"), F.lit(fallback_session))
-    messages = messages.withColumn("session_id", session).withColumn("parts", parts)
-    whole = messages.where(has_text | (F.size("parts") == 0)).select("session_id", F.col("i").cast("long").alias("byte_offset"), "payload", F.lit("message.updated").alias("source_event_type"))
-    each = messages.select("session_id", F.posexplode("parts").alias("byte_offset", "payload")).withColumn("source_event_type", F.coalesce(text_at(F.col("payload"), *canonical.PART_TYPE_PATHS), F.lit("message.part.updated")))
+    messages = payloads.select(F.posexplode(items).alias("i", "payload")).withColumn(canonical.PARSED, parsed(p))
+    parts = F.coalesce(*(F.when(raw_at(p, x).startswith("["), _elements(raw_at(p, x))) for x in ("parts", "message.parts", "payload.parts")), F.array().cast("array<string>"))
+    has_text = text_at(v, "text", "content", "message", "summary").isNotNull()
+    session = F.coalesce(text_at(v, "session_id", "sessionID", "sessionId", "message.sessionID", "payload.session_id"), F.lit(fallback_session))
+    messages = messages.withColumn("session_id", session).withColumn("parts", parts).withColumn("whole", has_text | (F.size("parts") == 0))
+    whole = messages.where("whole").select("session_id", F.col("i").cast("long").alias("byte_offset"), "payload", F.lit("message.updated").alias("source_event_type"))
+    each = messages.select("session_id", F.posexplode("parts").alias("byte_offset", "payload")).withColumn(canonical.PARSED, parsed(p))
+    each = each.withColumn("source_event_type", F.coalesce(text_at(v, *canonical.PART_TYPE_PATHS), F.lit("message.part.updated"))).drop(canonical.PARSED)
     rows = whole.unionByName(each.withColumn("byte_offset", F.col("byte_offset").cast("long")))
     return canonical.from_records(rows.withColumn("tool", F.lit("opencode")))
 
 
 def bench_events(spark: SparkSession, path: str) -> DataFrame:
     """(tool, payload) of a file of hook payloads; the tool is claude where none is named."""
-    return spark.read.text(path).where(F.trim("value") != "").select(F.coalesce(at(F.col("value"), "tool"), F.lit("claude")).alias("tool"), F.col("value").alias("payload"))
+    return spark.read.text(path).where(F.trim("value") != "").select(F.coalesce(raw_at(F.col("value"), "tool"), F.lit("claude")).alias("tool"), F.col("value").alias("payload"))
+
+
+# What a file's source may be called, and the tool and folders that each tool's transcripts lie in below the user's home.
+FILE_SOURCES = ("exec_json", "app_server", "transcript_tail", "event_stream", "sdk_session_store", "backfill", "hook")
+STREAM_SOURCES = ("exec_json", "app_server")
+NATIVE_ROOTS = {
+    "claude": (".claude/projects",),
+    "codex": (".codex/sessions", ".codex/archived_sessions"),
+    "opencode": (".local/share/opencode/storage", ".local/share/opencode/project"),
+}
+
+
+def ingest_file(spark: SparkSession, tool: str, path: str, source: str = "backfill") -> DataFrame:
+    """Envelopes of one file. Stream sources are Codex's alone; others are read by the file's ending."""
+    if source not in FILE_SOURCES:
+        raise ValidationError(f"unknown source: {source}")
+    if source in STREAM_SOURCES:
+        if tool != "codex":
+            raise ValidationError(f"{source} is a source of codex only")
+        return codex_stream(spark, source, path)
+    records = json_records(spark, tool, path) if path.endswith(".json") else jsonl_records(spark, tool, path)
+    return named(records).withColumn("source", F.lit(source))
+
+
+def source_kind(tool: "F.Column", path: "F.Column") -> "F.Column":
+    """What a source file is: an export of an interface, a raw log of this store, or a transcript."""
+    name = F.regexp_extract(path, "([^/]*)$", 1)
+    raw = name.rlike("^(codex|claude|opencode)_.*\\.jsonl$")
+    return F.when(raw, "raw_jsonl").when((tool == "opencode") & path.endswith(".json"), "api_export").otherwise("transcript")
+
+
+def native_records(spark: SparkSession, home: str, tools: tuple[str, ...] = ("claude", "codex", "opencode"), since: str | None = None) -> DataFrame | None:
+    """Envelopes of every tool's transcripts below a user's home; folders that are not there are passed over, None if there are none."""
+    jvm = spark._jvm.org.apache.hadoop.fs
+    out = None
+    for tool in tools:
+        there = [f"{home}/{r}" for r in NATIVE_ROOTS[tool] if jvm.Path(f"{home}/{r}").getFileSystem(spark._jsc.hadoopConfiguration()).exists(jvm.Path(f"{home}/{r}"))]
+        for root in there:
+            found = [r.source_path for r in files(spark, tool, root, since).select("source_path").collect()]  # a listing, as the reader makes one
+            lined, whole = ([f for f in found if f.endswith(e)] for e in (".jsonl", ".json"))
+            parts = ([jsonl_records(spark, tool, *lined)] if lined else []) + ([json_records(spark, tool, *whole)] if whole else [])
+            for records in parts:
+                trees = opencode_worktrees(records) if tool == "opencode" else None
+                rows = named(records, trees)
+                out = rows if out is None else out.unionByName(rows, allowMissingColumns=True)
+    return out
+
+
+def dry_run(records: DataFrame, stored: DataFrame, preview: int = 5, most: int = 160) -> tuple[DataFrame, DataFrame]:
+    """What an import of envelopes with documents would do: for each file and session its records on disk, captured and missing and whether
+    it is captured in part; and the first missing records of each file, their text cut."""
+    from ..functions.text import ellipsis
+
+    known = stored.select("dedupe_key").distinct().withColumn("__there", F.lit(True))
+    joined = records.join(known, "dedupe_key", "left").withColumn("__there", F.coalesce("__there", F.lit(False)))
+    counted = joined.groupBy("source_path", "tool", "session_id").agg(F.count(F.lit(1)).alias("on_disk"), F.count_if("__there").alias("captured"))
+    report = counted.withColumn("missing", F.col("on_disk") - F.col("captured")).withColumn("partial", (F.col("captured") > 0) & (F.col("missing") > 0))
+    w = Window.partitionBy("source_path").orderBy("byte_offset", "dedupe_key")
+    rows = joined.where("not __there").withColumn("place", F.row_number().over(w)).where(F.col("place") <= preview)
+    return report, rows.select("source_path", "place", "byte_offset", "session_id", "canonical_type", ellipsis(F.col("searchable_text"), most).alias("text"))
