@@ -115,10 +115,13 @@ class History:
             return "\n".join([maintain.markdown_head(tool, session_id, redacted), *(r.value for r in blocks)])
         if form != "jsonl" or self.lines is None:
             raise ValidationError("form must be markdown, or jsonl where the raw lines are at hand")
-        from .sources.raw import session_file
+        from .sources.raw import same_file, session_file
 
         file = session_file(self.tables.events, self._tool(tool), session_id)
-        return "".join(r.value + "\n" for r in maintain.export_jsonl(self.lines, file, redacted).toLocalIterator())
+        own = maintain.export_jsonl(self.lines, file, redacted)
+        ended = self.lines.where(same_file(F.col("raw_file"), file)).agg(F.max_by("complete", "raw_line")).head()[0]
+        out = "\n".join(r.value for r in own.toLocalIterator())
+        return out + "\n" * bool(ended)
 
     def recall_answer(self, query: str, filters: search.Filters | None = None, limit: int = 5, before: int = 2, after: int = 2) -> dict:
         found = sessions.recall_answer(self.tables, query, filters, limit, before, after, MOST_BYTES)

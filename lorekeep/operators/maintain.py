@@ -4,20 +4,28 @@ from __future__ import annotations
 
 import math
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..errors import NotFoundError
 from ..functions import redact as secrets
 from ..functions import times
+from ..sources.raw import same_file
+
+
+@F.pandas_udf(T.StringType())
+def _redacted_lines(lines: pd.Series) -> pd.Series:
+    return lines.map(secrets.redact_line, na_action="ignore")
 
 
 def export_jsonl(lines: DataFrame, raw_file: str, redacted: bool = False) -> DataFrame:
     """(raw_line, value): a session's log as it is, or with secrets replaced line by line."""
-    own = lines.where(F.col("raw_file").endswith(raw_file))
+    own = lines.where(same_file(F.col("raw_file"), raw_file))
     if own.isEmpty():
         raise NotFoundError(f"no log {raw_file}")
-    value = F.udf(secrets.redact_line, "string")("line") if redacted else F.col("line")
+    value = _redacted_lines("line") if redacted else F.col("line")
     return own.select("raw_line", value.alias("value")).orderBy("raw_line")
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..errors import ValidationError
-from ..functions.pointers import at, kind_at, parsed, raw_at, text_at
+from ..functions.pointers import at, parsed, raw_at, text_at
 from ..functions.text import is_uuid
 from ..operators import canonical
 from .raw import lines
@@ -161,14 +161,10 @@ def bench_events(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).where(F.trim("value") != "").select(F.coalesce(raw_at(F.col("value"), "tool"), F.lit("claude")).alias("tool"), F.col("value").alias("payload"))
 
 
-# What a file's source may be called, and the tool and folders that each tool's transcripts lie in below the user's home.
+# What a file's source may be called, and the folders below the user's home that each tool's transcripts lie in.
 FILE_SOURCES = ("exec_json", "app_server", "transcript_tail", "event_stream", "sdk_session_store", "backfill", "hook")
 STREAM_SOURCES = ("exec_json", "app_server")
-NATIVE_ROOTS = {
-    "claude": (".claude/projects",),
-    "codex": (".codex/sessions", ".codex/archived_sessions"),
-    "opencode": (".local/share/opencode/storage", ".local/share/opencode/project"),
-}
+NATIVE_ROOTS = {"codex": (".codex/sessions", ".codex/archived_sessions"), "claude": (".claude/projects",), "opencode": (".local/share/opencode",)}
 
 
 def ingest_file(spark: SparkSession, tool: str, path: str, source: str = "backfill") -> DataFrame:
@@ -184,10 +180,10 @@ def ingest_file(spark: SparkSession, tool: str, path: str, source: str = "backfi
 
 
 def source_kind(tool: "F.Column", path: "F.Column") -> "F.Column":
-    """What a source file is: an export of an interface, a raw log of this store, or a transcript."""
+    """What a source file is: a transcript, or of opencode an export of its server, else a raw log."""
     name = F.regexp_extract(path, "([^/]*)$", 1)
-    raw = name.rlike("^(codex|claude|opencode)_.*\\.jsonl$")
-    return F.when(raw, "raw_jsonl").when((tool == "opencode") & path.endswith(".json"), "api_export").otherwise("transcript")
+    export = name.contains("server") | name.contains("api")
+    return F.when(tool != "opencode", "transcript").when(export, "api_export").otherwise("raw_jsonl")
 
 
 def native_records(spark: SparkSession, home: str, tools: tuple[str, ...] = ("claude", "codex", "opencode"), since: str | None = None) -> DataFrame | None:
@@ -207,15 +203,18 @@ def native_records(spark: SparkSession, home: str, tools: tuple[str, ...] = ("cl
     return out
 
 
-def dry_run(records: DataFrame, stored: DataFrame, preview: int = 5, most: int = 160) -> tuple[DataFrame, DataFrame]:
-    """What an import of envelopes with documents would do: for each file and session its records on disk, captured and missing and whether
-    it is captured in part; and the first missing records of each file, their text cut."""
-    from ..functions.text import ellipsis
-
+def dry_run(records: DataFrame, stored: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What an import of keyed envelopes would do: for each file and session its records on disk, captured and missing and whether it is
+    captured in part; and the records that would be imported."""
     known = stored.select("dedupe_key").distinct().withColumn("__there", F.lit(True))
     joined = records.join(known, "dedupe_key", "left").withColumn("__there", F.coalesce("__there", F.lit(False)))
     counted = joined.groupBy("source_path", "tool", "session_id").agg(F.count(F.lit(1)).alias("on_disk"), F.count_if("__there").alias("captured"))
     report = counted.withColumn("missing", F.col("on_disk") - F.col("captured")).withColumn("partial", (F.col("captured") > 0) & (F.col("missing") > 0))
-    w = Window.partitionBy("source_path").orderBy("byte_offset", "dedupe_key")
-    rows = joined.where("not __there").withColumn("place", F.row_number().over(w)).where(F.col("place") <= preview)
-    return report, rows.select("source_path", "place", "byte_offset", "session_id", "canonical_type", ellipsis(F.col("searchable_text"), most).alias("text"))
+    preview = joined.where("not __there").select("source_path", "session_id", "canonical_type", "source_event_type", "source_event_id", "sequence", "captured_at")
+    return report, preview
+
+
+def merged(reports: DataFrame) -> DataFrame:
+    """One row for all files and sessions of dry_run() reports: sums, files, sessions and how many are captured in part."""
+    sums = (F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("on_disk", "captured", "missing"))
+    return reports.agg(*sums, F.count_distinct("source_path").alias("files"), F.count_distinct("tool", "session_id").alias("sessions"), F.count_if("partial").alias("partial"))

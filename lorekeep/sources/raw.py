@@ -1,23 +1,154 @@
-"""Raw JSONL logs with pointers to every line."""
+"""Raw JSONL logs with pointers to every line.
+
+Logs are listed first and read in ranges of RANGE bytes, so a log of any size is read by many tasks and none holds more than some
+lines of it. Files are opened by pyarrow's file systems: local paths, hdfs, s3 and gs.
+"""
 
 from __future__ import annotations
 
+import hashlib
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..errors import NotFoundError
 from ..schema import ENVELOPE, envelope_faults
 
+#: Bytes of a log that one row of work stands for, and bytes read at once.
+RANGE, BLOCK = 64 << 20, 1 << 20
+
+LISTED = "raw_file string, size long, modified timestamp"
+LINES = "raw_file string, raw_line long, raw_offset long, line string, complete boolean"
+
+
+def listing(spark: SparkSession, *paths: str) -> DataFrame:
+    """(raw_file, size, modified) of the files that paths and patterns name; contents are not read."""
+    found = spark.read.format("binaryFile").load(list(paths))
+    return found.select(F.col("path").alias("raw_file"), F.col("length").alias("size"), F.col("modificationTime").alias("modified"))
+
+
+def opened(path: str):
+    """A file to read at any place."""
+    from pyarrow import fs
+
+    local = re.sub("^file:/+", "/", path)
+    if local.startswith("/"):
+        return fs.LocalFileSystem().open_input_file(local)
+    system, inner = fs.FileSystem.from_uri(path)
+    return system.open_input_file(inner)
+
+
+def _starts(f, a: int, b: int) -> Iterator[tuple[int, bytes, bool]]:
+    """(offset, line, ended) of the lines that start in [a, b); a line starts at 0 or after a newline."""
+    at = max(a - 1, 0)
+    f.seek(at)
+    held, skip, size = b"", a > 0, f.size()
+    while at < size:
+        if at >= b and not held:
+            return
+        block = f.read(BLOCK)
+        if not block:
+            break
+        data, start = held + block, at - len(held)
+        at += len(block)
+        *lines, held = data.split(b"\n")
+        for line in lines:
+            if skip:
+                skip = False
+            elif start >= b:
+                return
+            else:
+                yield start, line, True
+            start += len(line) + 1
+        if skip:  # still inside the line of the range before
+            held, skip = b"", True
+            if at > b:
+                return
+        elif at - len(held) >= b:
+            return
+    if held and not skip and at - len(held) < b:
+        yield at - len(held), held, False
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        n = []
+        for path, a, b in zip(*(batch.column(i).to_pylist() for i in (0, 1, 2)), strict=True):
+            with opened(path) as f:
+                n.append(sum(1 for _ in _starts(f, a, b)))
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(n, pa.int64())], ["raw_file", "a", "b", "n"])
+
+
+def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def packed(rows: list) -> pa.RecordBatch:
+        kinds = (pa.string(), pa.int64(), pa.int64(), pa.string(), pa.bool_())
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["raw_file", "raw_line", "raw_offset", "line", "complete"])
+
+    for batch in batches:
+        for path, a, b, before in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+            rows, held = [], 0
+            with opened(path) as f:
+                for i, (start, line, ended) in enumerate(_starts(f, a, b)):
+                    rows.append((path, before + i + 1, start, line.decode("utf-8", "replace"), ended))
+                    held += len(line) + 64
+                    if held > 4 * BLOCK:
+                        yield packed(rows)
+                        rows, held = [], 0
+            if rows:
+                yield packed(rows)
+
+
+def lines_from(files: DataFrame) -> DataFrame:
+    """Lines of (raw_file, size, resume_offset, last_line): those from resume_offset on, numbered after last_line. Only files of more than
+    one range are read twice, once to count the lines before each range."""
+    step = F.sequence(F.col("resume_offset"), F.greatest("resume_offset", F.col("size") - 1), F.lit(RANGE).cast("long"))
+    ranges = files.where("size > resume_offset").select("raw_file", "size", "last_line", F.posexplode(step).alias("k", "a"))
+    ranges = ranges.withColumn("b", F.least(F.col("a") + RANGE, F.col("size"))).withColumn("many", F.col("size") > F.col("a") - F.col("k") * RANGE + RANGE)
+    spread = ranges.repartition("raw_file", "k")
+    counted = spread.where("many").select("raw_file", "a", "b").mapInArrow(_counted, "raw_file string, a long, b long, n long")
+    w = Window.partitionBy("raw_file").orderBy("a").rowsBetween(Window.unboundedPreceding, -1)
+    upto = counted.select("raw_file", "a", F.coalesce(F.sum("n").over(w), F.lit(0)).alias("upto"))
+    first = ranges.join(upto, ["raw_file", "a"], "left").select("raw_file", "a", "b", (F.col("last_line") + F.coalesce("upto", F.lit(0))).cast("long").alias("before"))
+    return first.repartition("raw_file", "a").mapInArrow(_read, LINES).where("complete or line <> ''")
+
 
 def lines(spark: SparkSession, *paths: str) -> DataFrame:
-    """(raw_file, raw_line from 1, raw_offset in bytes, line, complete). A file is one row while it is read; only lines that end in a
-    newline are complete, so a line that is being written is seen but not consumed."""
-    whole = spark.read.text(list(paths), wholetext=True).select(F.col("_metadata.file_path").alias("raw_file"), "value")
-    split = whole.select("raw_file", F.posexplode(F.split("value", "\n")).alias("at", "line"), F.size(F.split("value", "\n")).alias("n"))
-    w = Window.partitionBy("raw_file").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
-    offset = F.coalesce(F.sum(F.octet_length("line") + 1).over(w), F.lit(0)).cast("long")
-    rows = split.select("raw_file", (F.col("at") + 1).cast("long").alias("raw_line"), offset.alias("raw_offset"), "line", (F.col("at") + 1 < F.col("n")).alias("complete"))
-    return rows.where("complete or line <> ''")
+    """(raw_file, raw_line from 1, raw_offset in bytes, line, complete). Only lines that end in a newline are complete, so a line that is
+    being written is seen but not consumed."""
+    return lines_from(listing(spark, *paths).withColumns({"resume_offset": F.lit(0).cast("long"), "last_line": F.lit(0).cast("long")}))
+
+
+def line_hash(line: bytes) -> str:
+    return hashlib.sha256(line.rstrip()).hexdigest()
+
+
+def _still_there(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        same = []
+        for path, a, b, known in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+            with opened(path) as f:
+                f.seek(max(a - 1, 0))
+                raw = f.read(b - max(a - 1, 0))
+            before, line = (raw[:1], raw[1:]) if a else (b"\n", raw)
+            same.append(before == b"\n" and line.endswith(b"\n") and len(line) == b - a and line_hash(line[:-1]) == known)
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(same, pa.bool_())], ["raw_file", "same"])
+
+
+def still_there(files: DataFrame) -> DataFrame:
+    """(raw_file, same) of (raw_file, last_offset, byte_offset, last_line_hash): whether the line known last still stands where it did."""
+    return files.select("raw_file", "last_offset", "byte_offset", "last_line_hash").mapInArrow(_still_there, "raw_file string, same boolean")
+
+
+def same_file(column: "F.Column", name: str) -> "F.Column":
+    """Whether a path is that file: the whole path, or its end after a slash where the name is relative."""
+    plain = F.regexp_replace(column, "^file:/+", "/")
+    wanted = name if "://" in name else "/" + name.removeprefix("file:").lstrip("/") if name.startswith(("/", "file:")) else name
+    if wanted.startswith("/") or "://" in wanted:
+        return (plain == wanted) | (column == wanted)
+    return (plain == wanted) | plain.endswith("/" + wanted)
 
 
 def scan_home(spark: SparkSession, home: str) -> DataFrame:
@@ -39,7 +170,7 @@ def envelopes(found: DataFrame) -> DataFrame:
 
 def line_at(found: DataFrame, raw_file: str, raw_line: int | None = None, raw_offset: int | None = None) -> DataFrame:
     """The line that a pointer names. The offset must agree with the line's own; where it does not, the line number decides."""
-    own = found.where(F.col("raw_file").endswith(raw_file))
+    own = found.where(same_file(F.col("raw_file"), raw_file))
     if raw_offset is not None:
         by_offset = own.where((F.col("raw_offset") == raw_offset) & (F.lit(True) if raw_line is None else F.col("raw_line") == raw_line))
         if raw_line is None or not by_offset.isEmpty():
@@ -55,6 +186,4 @@ def session_file(sessions: DataFrame, tool: str, session_id: str) -> str:
 
 
 def raw_path(home: str, tool: str, session_id: str) -> str:
-    import re
-
     return f"{home}/raw/{tool}/{tool}_{re.sub('[^A-Za-z0-9._-]', '_', session_id) or '_'}.jsonl"

@@ -1,20 +1,30 @@
 """Incremental indexing: a store of events and checkpoints, passes over growing logs, and streams of landed files.
 
-A store is a folder: events/ (append only), checkpoints/<n>/ (the newest complete one counts). A pass lists the logs, compares
-each with its checkpoint, reads on from the last consumed line if that line is still there, else from the top, and appends the
-events whose key is new. Passing twice changes nothing.
+A store is a folder: events/ (append only), checkpoints/<n>/ (the newest complete one counts). A pass lists the logs and leaves
+those alone whose size and time of change are the checkpoint's; of the others it looks at the line consumed last, reads on behind
+it if it is still there, else from the top, and appends the events whose key is new. Passing twice changes nothing. A lock keeps
+two passes apart.
 """
 
 from __future__ import annotations
 
+import threading
+import time
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..errors import UnavailableError
 from ..operators import derive, document
 from ..schema import SCHEMA_VERSION, sanitize_session_id
 from ..sources import raw
 
-CHECKPOINT = "tool string, source_path string, session_id string, byte_offset long, last_line int, last_line_hash string"
+CHECKPOINT = (
+    "tool string, source_kind string, source_path string, session_id string, byte_offset long, source_size long, source_mtime timestamp, last_line long, last_offset long, last_line_hash string, imported_at timestamp"
+)
+#: Seconds after which a lock is taken to be left over from a pass that died.
+STALE = 3600
 
 
 class Store:
@@ -41,18 +51,42 @@ class Store:
         return self.spark.read.option("mergeSchema", True).parquet(f"{self.path}/events") if self.exists("events") else None
 
     def checkpoints(self) -> DataFrame:
+        """Checkpoints in today's columns; those that an older store lacks are null, so its logs are looked at again."""
         found = self.versions()
         if not found:
             return self.spark.createDataFrame([], CHECKPOINT)
         return self.spark.read.schema(CHECKPOINT).parquet(f"{self.path}/checkpoints/{found[-1]}")
 
-    def append(self, events: DataFrame) -> None:
-        """Events whose key is not in the store, the first of each key."""
+    def under(self, prefix: str) -> DataFrame:
+        """Checkpoints of the files below a folder."""
+        return self.checkpoints().where(F.col("source_path").startswith(prefix.rstrip("/") + "/"))
+
+    def put(self, rows: DataFrame) -> None:
+        """Checkpoints added, or put in place of those of the same tool and file."""
+        self.checkpoint(self.checkpoints().join(rows.select("tool", "source_path"), ["tool", "source_path"], "left_anti").unionByName(rows))
+
+    def drop(self, tool: str, source_path: str) -> None:
+        self.checkpoint(self.checkpoints().where(~((F.col("tool") == tool) & (F.col("source_path") == source_path))))
+
+    def lock(self) -> Lock:
+        return Lock(self)
+
+    def append(self, events: DataFrame) -> int:
+        """Events whose key is not in the store, the first of each key; how many these were. They are written aside first, so that
+        neither reading logs nor shaping documents is done twice."""
+        aside = f"{self.path}/incoming-{uuid.uuid4().hex}"
         fresh = derive.first_wins(events)
         stored = self.events()
         if stored is not None:
             fresh = derive.new_events(fresh, stored)
-        fresh.write.mode("append").parquet(f"{self.path}/events")
+        fresh.write.parquet(aside)
+        new = self.spark.read.schema(fresh.schema).parquet(aside)
+        added = new.count()
+        if added:
+            new.write.mode("append").parquet(f"{self.path}/events")
+        fs, p = self._fs(aside)
+        fs.delete(p, True)
+        return added
 
     def checkpoint(self, rows: DataFrame) -> None:
         """A new version beside the old one, which readers keep until the new one is complete."""
@@ -60,23 +94,44 @@ class Store:
         rows.write.mode("overwrite").parquet(f"{self.path}/checkpoints/{(found or [0])[-1] + 1}")
 
 
-def positions(lines: DataFrame, checkpoints: DataFrame) -> DataFrame:
-    """For each file: where to go on (resume_offset), and what happened to it: new, current, grown, truncated or rotated."""
-    done = lines.where("complete")
-    end = F.max(F.col("raw_offset") + F.octet_length("line") + 1)
-    files = done.groupBy("raw_file").agg(end.alias("size"))
-    own = checkpoints.select(F.col("source_path").alias("raw_file"), "byte_offset", "last_line", "last_line_hash", F.col("session_id").alias("known_session"))
-    last = done.select("raw_file", F.col("raw_line").cast("int").alias("last_line"), F.sha2(F.rtrim("line"), 256).alias("now_hash"), (F.col("raw_offset") + F.octet_length("line") + 1).alias("now_end"))
-    joined = files.join(own, "raw_file", "left").join(last, ["raw_file", "last_line"], "left")
-    same = (F.col("now_hash") == F.col("last_line_hash")) & (F.col("now_end") == F.col("byte_offset"))
+class Lock:
+    """One pass at a time: a file that only one can create, taken over when it is older than STALE seconds."""
+
+    def __init__(self, store: Store):
+        self.fs, self.path = store._fs(f"{store.path}/index.lock")
+        self.fs.mkdirs(self.path.getParent())
+
+    def __enter__(self) -> Lock:
+        if self.fs.exists(self.path) and time.time() - self.fs.getFileStatus(self.path).getModificationTime() / 1000 > STALE:
+            self.fs.delete(self.path, False)
+        if not self.fs.createNewFile(self.path):
+            raise UnavailableError("another pass is indexing this store")
+        return self
+
+    def __exit__(self, *_error) -> None:
+        self.fs.delete(self.path, False)
+
+
+def positions(listed: DataFrame, checkpoints: DataFrame) -> DataFrame:
+    """For each listed file: where to go on (resume_offset, last_line), and what happened to it: new, skipped (size and time as they were),
+    current, grown, truncated or rotated. Only files that are neither new nor skipped are opened, for one line."""
+    own = checkpoints.select(F.col("source_path").alias("raw_file"), "byte_offset", "source_size", "source_mtime", "last_line", "last_offset", "last_line_hash", F.col("session_id").alias("known_session"))
+    joined = listed.join(own, "raw_file", "left")
+    skipped = (F.col("size") == F.col("source_size")) & (F.col("modified") == F.col("source_mtime"))
+    joined = joined.withColumn("unchanged", F.coalesce(skipped, F.lit(False)))
+    looked = joined.where("not unchanged and byte_offset > 0 and byte_offset <= size and last_offset is not null")
+    joined = joined.join(raw.still_there(looked), "raw_file", "left")
     state = (
         F.when(F.col("byte_offset").isNull(), "new")
+        .when(F.col("unchanged"), "skipped")
         .when(F.col("byte_offset") > F.col("size"), "truncated")
-        .when(~F.coalesce(same, F.lit(False)), "rotated")
+        .when((F.col("byte_offset") > 0) & ~F.coalesce("same", F.lit(False)), "rotated")
         .when(F.col("byte_offset") == F.col("size"), "current")
         .otherwise("grown")
     )
-    return joined.withColumn("state", state).withColumn("resume_offset", F.when(state.isin("grown", "current"), F.col("byte_offset")).otherwise(F.lit(0)))
+    on = F.col("state").isin("grown", "current", "skipped")
+    out = joined.withColumn("state", state).withColumn("resume_offset", F.when(on, F.col("byte_offset")).otherwise(F.lit(0)))
+    return out.withColumn("last_line", F.when(on, F.col("last_line")).otherwise(F.lit(0).cast("long"))).drop("unchanged", "same")
 
 
 def discontinuities(files: DataFrame, deleted: DataFrame | None = None) -> DataFrame:
@@ -95,31 +150,68 @@ def discontinuities(files: DataFrame, deleted: DataFrame | None = None) -> DataF
 
 
 def index_once(spark: SparkSession, home: str, store: Store) -> dict[str, int]:
-    """One pass. Returns what it did: lines read, events added, faults and discontinuities."""
-    lines = raw.scan_home(spark, home)
-    before = store.events()
-    n_before = before.count() if before is not None else 0
+    """One pass. Returns what it did: files looked into, lines read, events added, faults and discontinuities."""
+    with store.lock():
+        return _pass(spark, home, store)
+
+
+def _pass(spark: SparkSession, home: str, store: Store) -> dict[str, int]:
+    aside = f"{store.path}/pass-{uuid.uuid4().hex}"
+    kept = lambda df, name: (df.write.parquet(f"{aside}/{name}"), spark.read.schema(df.schema).parquet(f"{aside}/{name}"))[1]
+    try:
+        listed = raw.listing(spark, f"{home}/raw/*/*.jsonl")
+    except Exception as e:  # no log yet
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        listed = spark.createDataFrame([], raw.LISTED)
     checkpoints = store.checkpoints()
-    files = positions(lines, checkpoints).cache()
-    deleted = checkpoints.join(lines.select(F.col("raw_file").alias("source_path")).distinct(), "source_path", "left_anti")
-    fresh = lines.where("complete").join(F.broadcast(files.where("state <> 'current'").select("raw_file", "resume_offset")), "raw_file").where("raw_offset >= resume_offset").drop("resume_offset")
-    parsed = raw.envelopes(fresh).cache()
+    files = kept(positions(listed, checkpoints), "files")
+    deleted = checkpoints.join(files.select(F.col("raw_file").alias("source_path")), "source_path", "left_anti")
+    work = files.where("state not in ('skipped', 'current')").select("raw_file", "size", "resume_offset", "last_line")
+    found = raw.lines_from(work).where("complete").withColumn("folder_tool", F.regexp_extract("raw_file", "/raw/([^/]+)/[^/]+$", 1))
+    found = kept(found, "lines")
+    parsed = raw.envelopes(found)
     good = parsed.where("fault is null").drop("fault", "line", "folder_tool")
-    key = F.col("dedupe_key")
-    events = document.with_documents(good).withColumn("dedupe_key", F.coalesce("dedupe_key", key))
+    events = document.with_documents(good.withColumnRenamed("dedupe_key", "__key")).withColumn("dedupe_key", F.coalesce("__key", "dedupe_key")).drop("__key")
     broken = document.with_documents(discontinuities(files, deleted))
-    both = events.unionByName(broken, allowMissingColumns=True)
-    store.append(both)
-    w = lines.where("complete").groupBy("raw_file").agg(F.max_by(F.struct(F.col("raw_line").cast("int").alias("last_line"), F.sha2(F.rtrim("line"), 256).alias("h"), (F.col("raw_offset") + F.octet_length("line") + 1).alias("end")), "raw_line").alias("l"))
-    session = F.regexp_extract("raw_file", "/([^/]+)\\.jsonl$", 1)
+    added = store.append(events.unionByName(broken, allowMissingColumns=True))
+    last = found.groupBy("raw_file").agg(F.max_by(F.struct("raw_line", "raw_offset", F.sha2(F.rtrim("line"), 256).alias("h"), (F.col("raw_offset") + F.octet_length("line") + 1).alias("end")), "raw_line").alias("l"))
+    old = checkpoints.select(F.col("source_path").alias("raw_file"), F.col("last_offset").alias("old_offset"), F.col("last_line_hash").alias("old_hash"), F.col("last_line").alias("old_line"))
+    now = files.select("raw_file", "size", "modified", "state", "resume_offset").join(last, "raw_file", "left").join(old, "raw_file", "left")
+    stays = F.col("state").isin("grown", "current", "skipped")
+    pick = lambda fresh, before: F.coalesce(F.col(fresh), F.when(stays, F.col(before)))
     tool = F.regexp_extract("raw_file", "/raw/([^/]+)/[^/]+$", 1)
-    store.checkpoint(w.select(tool.alias("tool"), F.col("raw_file").alias("source_path"), session.alias("session_id"), F.col("l.end").alias("byte_offset"), F.col("l.last_line").alias("last_line"), F.col("l.h").alias("last_line_hash")))
-    report = {"lines": parsed.count(), "faults": parsed.where("fault is not null").count(), "events": store.events().count() - n_before, "discontinuities": broken.count()}
-    files.unpersist()
-    parsed.unpersist()
+    stem = F.regexp_extract("raw_file", r"([^/]+)\.jsonl$", 1)
+    session = F.when(stem.startswith(F.concat(tool, F.lit("_"))), F.expr("substring(regexp_extract(raw_file, '([^/]+)[.]jsonl$', 1), length(regexp_extract(raw_file, '/raw/([^/]+)/[^/]+$', 1)) + 2)")).otherwise(stem)
+    store.checkpoint(
+        now.select(
+            tool.alias("tool"), F.lit("raw_jsonl").alias("source_kind"), F.col("raw_file").alias("source_path"), session.alias("session_id"), F.coalesce("l.end", "resume_offset").alias("byte_offset"),
+            F.col("size").alias("source_size"), F.col("modified").alias("source_mtime"), pick("l.raw_line", "old_line").alias("last_line"), pick("l.raw_offset", "old_offset").alias("last_offset"),
+            pick("l.h", "old_hash").alias("last_line_hash"), F.current_timestamp().alias("imported_at"),
+        )
+    )
+    counted = parsed.agg(F.count(F.lit(1)), F.count_if(F.col("fault").isNotNull())).head()
+    looked = files.agg(F.count_if(~F.col("state").isin("skipped", "current")), F.count_if(F.col("state").isin("truncated", "rotated"))).head()
+    report = {"files": looked[0], "lines": counted[0], "faults": counted[1], "events": added, "discontinuities": looked[1] + deleted.count()}
+    fs, p = store._fs(aside)
+    fs.delete(p, True)
     return report
 
 
+def detached(spark: SparkSession, home: str, store: Store) -> threading.Thread:
+    """Index beside what the caller goes on with; where a pass is running already, that one is enough."""
+
+    def run() -> None:
+        try:
+            drain(spark, home, store)
+        except UnavailableError:
+            pass
+
+    thread = threading.Thread(target=run, daemon=True)
+    thread.start()
+    return thread
+
+
 def drain(spark: SparkSession, home: str, store: Store, passes: int = 8) -> int:
     """Passes until one adds nothing, at most `passes`; events added in all."""
     total = 0
@@ -132,15 +224,21 @@ def drain(spark: SparkSession, home: str, store: Store, passes: int = 8) -> int:
 
 
 def follow(spark: SparkSession, landing: str, store: Store, checkpoint: str, once: bool = True):
-    """A stream over landed, immutable JSONL files of hook payloads (tool, payload per line): events append, repeated keys drop out.
-    Out-of-order and late events are taken as they come."""
+    """A stream over landed, immutable JSONL files of hook payloads (tool, payload per line): events append with the file and line they
+    came from, repeated keys drop out. Out-of-order and late events are taken as they come."""
     from ..operators import canonical
 
-    rows = spark.readStream.schema("tool string, payload string").json(landing)
+    rows = spark.readStream.schema("value string").text(landing).select(F.col("_metadata.file_path").alias("raw_file"))
 
     def add(batch: DataFrame, _epoch: int) -> None:
-        named = document.with_documents(canonical.from_hooks(batch)).withColumn("raw_file", F.lit(landing)).withColumn("raw_line", F.monotonically_increasing_id())
-        store.append(named)
+        # a landed file does not change, so a line's place among the file's lines is the same in every batch that reads it
+        files = [r.raw_file for r in batch.select("raw_file").distinct().collect()]  # files of one batch
+        if not files:
+            return
+        landed = raw.lines(batch.sparkSession, *files)
+        pair = F.from_json("line", "tool string, payload string")
+        named = landed.where(F.trim("line") != "").select("raw_file", "raw_line", "raw_offset", pair.alias("p")).select("raw_file", "raw_line", "raw_offset", "p.tool", "p.payload")
+        store.append(document.with_documents(canonical.from_hooks(named)))
 
     writer = rows.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime="2 seconds")).start()

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lorekeep import schema
-from lorekeep.errors import NotFoundError
+from lorekeep.errors import NotFoundError, UnavailableError
 from lorekeep.operators import canonical, derive, document, maintain, search, sessions, vector
 from lorekeep.sources import native, raw
 from lorekeep.streaming import incremental
@@ -103,6 +103,61 @@ def test_raw_pointers_and_faults(spark, tmp_path):
     assert raw.line_at(raw.scan_home(spark, str(tmp_path)), "claude_s1.jsonl", 5).head().line == envelope(2)
 
 
+@pytest.mark.parametrize(("size", "block"), [(1, 3), (7, 2), (64, 5), (1 << 20, 1 << 20)])
+def test_lines_of_ranges(spark, tmp_path, monkeypatch, size, block):
+    """Logs read range by range: each line once, numbered and placed as in the file."""
+    texts = ["", "\n", "a", "a\n", "\n\n", "one\ntwo é\n\n" + "x" * 50 + "\nend", "long" * 40 + "\n" + "b\n" * 9]
+    for i, t in enumerate(texts):
+        (tmp_path / f"f {i}.jsonl").write_text(t, encoding="utf-8")
+        monkeypatch.setattr(raw, "BLOCK", block)
+        data, got, n = t.encode(), [], len(t.encode())
+        with raw.opened(str(tmp_path / f"f {i}.jsonl")) as f:
+            for a in range(0, max(n, 1), size):
+                got += list(raw._starts(f, a, min(a + size, n)))
+        want, at = [], 0
+        *ended, last = data.split(b"\n")
+        for line in ended:
+            want.append((at, line, True))
+            at += len(line) + 1
+        assert got == want + [(at, last, False)] * bool(last), (i, t)
+    monkeypatch.setattr(raw, "RANGE", max(size, 40))
+    found = raw.lines(spark, str(tmp_path / "*.jsonl")).collect()
+    for i, t in enumerate(texts):
+        own = sorted((r.raw_line, r.raw_offset, r.line, r.complete) for r in found if r.raw_file.endswith(f"f {i}.jsonl"))
+        want = [(k + 1, len("\n".join([*t.split("\n")[:k], ""]).encode()), x, k + 1 < len(t.split("\n"))) for k, x in enumerate(t.split("\n"))]
+        assert own == [w for w in want if w[3] or w[2]], (i, t)
+
+
+def test_unchanged_logs_are_not_opened(spark, tmp_path):
+    home, store = str(tmp_path / "home"), incremental.Store(spark, str(tmp_path / "store"))
+    for k in (1, 2):
+        write(f"{home}/raw/claude/claude_s{k}.jsonl", [envelope(i + 100 * k, f"s{k}") for i in range(3)])
+    assert incremental.index_once(spark, home, store) == {"files": 2, "lines": 6, "faults": 0, "events": 6, "discontinuities": 0}
+    with open(f"{home}/raw/claude/claude_s1.jsonl", "a", encoding="utf-8") as f:
+        f.write(envelope(3, "s1") + "\n" + envelope(4, "s1"))
+    assert incremental.index_once(spark, home, store) == {"files": 1, "lines": 1, "faults": 0, "events": 1, "discontinuities": 0}
+    with open(f"{home}/raw/claude/claude_s1.jsonl", "a", encoding="utf-8") as f:
+        f.write("\n")
+    assert incremental.index_once(spark, home, store)["events"] == 1
+    lines = {(r.session_id, r.raw_line) for r in store.events().collect()}
+    assert lines == {("s1", i) for i in range(1, 6)} | {("s2", i) for i in range(1, 4)}
+    write(f"{home}/raw/claude/claude_s2.jsonl", [envelope(i + 20, "s2") for i in range(4)])
+    assert incremental.index_once(spark, home, store)["discontinuities"] == 1
+    kinds = {r.source_path.rpartition("_")[2]: (r.session_id, r.last_line, r.byte_offset == r.source_size) for r in store.checkpoints().collect()}
+    assert kinds == {"s1.jsonl": ("s1", 5, True), "s2.jsonl": ("s2", 4, True)}
+    with store.lock(), pytest.raises(UnavailableError):
+        incremental.index_once(spark, home, store)
+    assert store.under(f"file:{home}/raw").count() == 2 and store.under(f"file:{home}/ra").count() == 0
+    path = store.checkpoints().where("session_id = 's2'").head().source_path
+    store.drop("claude", path)
+    assert store.checkpoints().count() == 1
+    store.put(store.checkpoints().withColumn("byte_offset", F.lit(0).cast("long")))
+    assert [r.byte_offset for r in store.checkpoints().collect()] == [0]
+    thread = incremental.detached(spark, home, store)
+    thread.join()
+    assert store.checkpoints().count() == 2
+
+
 def test_incremental_index(spark, tmp_path):
     home, store = str(tmp_path / "home"), incremental.Store(spark, str(tmp_path / "store"))
     log = f"{home}/raw/claude/claude_s1.jsonl"
@@ -134,7 +189,7 @@ def test_follow_stream(spark, tmp_path):
     incremental.follow(spark, str(landing), store, str(tmp_path / "cp")).awaitTermination()
     write(str(landing / "b.json"), [json.dumps(rows[0])])
     incremental.follow(spark, str(landing), store, str(tmp_path / "cp")).awaitTermination()
-    assert store.events().count() == 2
+    assert sorted((r.raw_file.rpartition("/")[2], r.raw_line) for r in store.events().collect()) == [("a.json", 1), ("a.json", 2)]
 
 
 def indexed(spark, tmp_path):
