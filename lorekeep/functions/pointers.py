@@ -5,6 +5,8 @@ A path reaches a value by type: text is only what is text in the JSON, a whole n
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -29,15 +31,22 @@ def kind_at(v: Column, path: str) -> Column:
     return F.schema_of_variant(F.try_variant_get(v, "$." + path, "variant"))
 
 
+def _first(v: Column, paths: tuple[str, ...], pick: Callable[[Column], Column]) -> Column:
+    """What pick makes of the first path for which it is not null. One array of values keeps the generated code small."""
+    values = F.array(*(F.try_variant_get(v, "$." + p, "variant") for p in paths))
+    return F.get(F.filter(F.transform(values, pick), lambda x: x.isNotNull()), F.lit(0))
+
+
 def text_at(v: Column, *paths: str) -> Column:
     """The first of the paths that holds text, trimmed; empty text counts as absent, and so does what is not text."""
-    return F.coalesce(*(F.when(kind_at(v, p) == "STRING", F.nullif(F.trim(at(v, p)), F.lit(""))) for p in paths))
+    said = lambda x: F.when(F.schema_of_variant(x) == "STRING", F.nullif(F.trim(F.try_variant_get(x, "$", "string")), F.lit("")))
+    return _first(v, paths, said)
 
 
 def long_at(v: Column, *paths: str) -> Column:
     """The first of the paths that holds a whole number, written as a number or as text."""
-    whole = lambda p: kind_at(v, p).isin("BIGINT", "STRING") & at(v, p).rlike(r"^\s*[+-]?[0-9]+\s*$")
-    return F.coalesce(*(F.when(whole(p), F.trim(at(v, p)).try_cast("long")) for p in paths))
+    spelled = lambda x: F.trim(F.when(F.schema_of_variant(x).isin("BIGINT", "STRING"), F.try_variant_get(x, "$", "string")))
+    return _first(v, paths, lambda x: F.when(spelled(x).rlike("^[+-]?[0-9]+$"), spelled(x).try_cast("long")))
 
 
 def true_at(v: Column, path: str) -> Column:

@@ -16,7 +16,7 @@ from ..sources.raw import same_file
 
 
 @F.pandas_udf(T.StringType())
-def _redacted_lines(lines: pd.Series) -> pd.Series:
+def redacted_lines(lines: pd.Series) -> pd.Series:
     return lines.map(secrets.redact_line, na_action="ignore")
 
 
@@ -25,7 +25,7 @@ def export_jsonl(lines: DataFrame, raw_file: str, redacted: bool = False) -> Dat
     own = lines.where(same_file(F.col("raw_file"), raw_file))
     if own.isEmpty():
         raise NotFoundError(f"no log {raw_file}")
-    value = _redacted_lines("line") if redacted else F.col("line")
+    value = redacted_lines("line") if redacted else F.col("line")
     return own.select("raw_line", value.alias("value")).orderBy("raw_line")
 
 

@@ -1,0 +1 @@
+"""Queries of stores and their upkeep."""
