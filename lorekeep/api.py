@@ -79,7 +79,9 @@ class History:
             payloads = {r.dedupe_key: r.payload for r in search.hydrate(page.rows.select("dedupe_key"), self.tables.events).collect()}
             rows = [r | {"payload": redact.redact_line(payloads[r["dedupe_key"]] or "") if redacted else payloads[r["dedupe_key"]]} for r in rows]
         if check_repository:
-            rows = [r | {"corroboration": corroborate.corroborate(r["snippet"])} for r in rows]
+            keys = page.rows.select("dedupe_key")
+            whole = {r.dedupe_key: r for r in self.tables.events.join(F.broadcast(keys), "dedupe_key", "left_semi").select("dedupe_key", "searchable_text", "cwd", "project_root").collect()}
+            rows = [r | {"corroboration": corroborate.corroborate((w := whole[r["dedupe_key"]]).searchable_text or "", w.cwd, w.project_root)} for r in rows]
         answer = fitted({"mode": page.mode, "results": rows, "total_estimated": page.total, "truncated": False}, "results")
         shown = len(answer["results"])
         answer["next_cursor"] = cursor + shown if shown < len(rows) else page.next_cursor

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import re
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -18,6 +19,8 @@ RULES = (
     (r"\bxox[baprs]-[A-Za-z0-9-]{20,}\b", "[REDACTED:API_KEY]"),
     (r"\bAKIA[0-9A-Z]{16}\b", "[REDACTED:API_KEY]"),
 )
+#: For each rule, texts of which every match holds one, in lower case where the rule takes any case.
+NEEDED = (("PRIVATE KEY",), ("bearer",), ("sk-",), ("ghp_", "gho_", "ghu_", "ghs_", "ghr_"), ("github_pat_",), ("xox",), ("AKIA",))
 ASSIGNMENT = r"""(?i)\b([A-Z0-9_]*(?:API|TOKEN|SECRET|KEY|PASSWORD)[A-Z0-9_]*\s*=\s*)(['"]?)[^\s'"#]{8,}(['"]?)"""
 ENV_VALUE = "[REDACTED:ENV_VALUE]"
 SENSITIVE_PARTS = ("api_key", "apikey", "access_token", "auth_token", "bearer", "secret", "password", "private_key")
@@ -25,10 +28,20 @@ SENSITIVE_ENDS = ("_key", "token")
 
 
 def redact(col: Column) -> Column:
-    """text with every secret replaced."""
-    for pattern, instead in RULES:
-        col = F.regexp_replace(col, pattern, instead)
-    return F.regexp_replace(col, ASSIGNMENT, "$1" + ENV_VALUE)
+    """text with every secret replaced. A rule's pattern runs only on texts that hold a text which all its matches hold."""
+    for (pattern, instead), needs in zip((*RULES, (ASSIGNMENT, "$1" + ENV_VALUE)), (*NEEDED, ("=",)), strict=True):
+        col = _where_needed(col, pattern, instead, needs)
+    return col
+
+
+def _where_needed(col: Column, pattern: str, instead: str, needs: tuple[str, ...]) -> Column:
+    # the text is bound to a name, as it is needed three times
+    def one(x: Column) -> Column:
+        held = F.lower(x) if pattern.startswith("(?i)") else x
+        there = reduce(lambda a, b: a | b, (held.contains(n) for n in needs))
+        return F.when(there, F.regexp_replace(x, pattern, instead)).otherwise(x)
+
+    return F.transform(F.array(col), one)[0]
 
 
 _COMPILED = tuple((re.compile(p), r) for p, r in RULES)

@@ -18,7 +18,12 @@ def extract(col: Column) -> Column:
     digits alone is no commit."""
     text = F.coalesce(col, F.lit(""))
     number = lambda x: F.concat(F.lit("#"), F.regexp_replace(x, "^0+(?=[0-9])", ""))
-    prs = F.transform(F.array_union(F.regexp_extract_all(text, F.lit(PR_URL), F.lit(1)), F.regexp_extract_all(text, F.lit(PR_HASH), F.lit(1))), number)
+    none = F.array().cast("array<string>")
+    # only lines with the mark can match; none of the patterns spans a line break but for white space after PR, which its number does not need
+    marked = lambda mark: F.array_join(F.filter(F.split(text, "\n"), lambda x: x.contains(mark)), "\n")
+    urls = F.when(F.lower(text).contains("/pull/"), F.regexp_extract_all(text, F.lit(PR_URL), F.lit(1))).otherwise(none)
+    hashes = F.when(text.contains("#"), F.regexp_extract_all(marked("#"), F.lit(PR_HASH), F.lit(1))).otherwise(none)
+    prs = F.transform(F.array_union(urls, hashes), number)
     commits = F.transform(F.filter(F.regexp_extract_all(text, F.lit(COMMIT), F.lit(1)), lambda x: x.rlike("[A-Fa-f]")), F.lower)
     named = lambda kind, values: F.transform(values, lambda v: F.struct(F.lit(kind).alias("kind"), v.alias("value")))
     return F.array_sort(F.array_distinct(F.concat(named("commit", commits), named("pr", prs))))

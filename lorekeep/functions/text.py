@@ -102,16 +102,17 @@ def utf8_prefix(text: str, most: int) -> str:
 
 
 def snippet(text: str, terms: list[str], most: int) -> str:
-    """About `most` bytes around the first term found, whole characters, trimmed; short texts whole."""
-    if len(text) <= most:
-        return text.strip()
-    low = text.lower().encode()
-    found = [at for t in terms if (at := low.find(t.lower().encode())) >= 0]
+    """At most `most` bytes around the first term found, whole characters, trimmed; short texts whole. Terms are found in the text as it
+    is, whatever the case, so places need no mapping between a text and its lower-cased form."""
     raw = text.encode()
-    start = min(max(0, min(found, default=0) - most // 2), len(raw))
-    while start > 0 and start < len(raw) and raw[start] & 0xC0 == 0x80:
-        start -= 1
-    end = min(start + most, len(raw))
-    while start < end < len(raw) and raw[end] & 0xC0 == 0x80:
-        end -= 1
-    return raw[start:end].decode("utf-8", "ignore").strip()
+    if len(raw) <= most:
+        return text.strip()
+    found = [m for t in terms if t and (m := re.search(re.escape(t), text, re.IGNORECASE))]
+    at, size = 0, 0
+    if found:
+        first = min(found, key=lambda m: m.start())
+        at, size = len(text[: first.start()].encode()), len(first[0].encode())
+    start = max(0, min(at - max(0, most - size) // 2, len(raw) - most))
+    while start < len(raw) and raw[start] & 0xC0 == 0x80:
+        start += 1
+    return raw[start : start + most].decode("utf-8", "ignore").strip()

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import refs
@@ -12,9 +12,9 @@ MESSAGES = ("user.message", "assistant.delta", "assistant.message", "tool.result
 
 
 def first_wins(events: DataFrame, key: str = "dedupe_key", order: tuple[str, ...] = ("raw_file", "raw_line")) -> DataFrame:
-    """One row for each key, the first that arrived. The window sorts only rows that share a key."""
-    w = Window.partitionBy(key).orderBy(*order)
-    return events.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n")
+    """One row for each key, the first that arrived. Rows that share a key are combined before they are shuffled, however many there are."""
+    row = F.struct(*events.columns)
+    return events.groupBy(F.col(key).alias("__key")).agg(F.min_by(row, F.struct(*order)).alias("__row")).select("__row.*")
 
 
 def new_events(events: DataFrame, stored: DataFrame, key: str = "dedupe_key") -> DataFrame:

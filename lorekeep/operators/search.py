@@ -55,6 +55,7 @@ class Tables:
     tools: DataFrame | None = None
     refs: DataFrame | None = None
     units: DataFrame | None = None
+    index: lexical.Index | None = None
     key: str = "dedupe_key"
     extra: dict = field(default_factory=dict)
 
@@ -150,19 +151,24 @@ def search(t: Tables, query: str, filters: Filters | None = None, mode: str = "a
     filters = filters or Filters()
     if mode not in ("auto", "lexical", "hybrid"):
         raise ValidationError(f"unknown mode: {mode}")
-    able = embedder is not None and t.units is not None
+    able = embedder is not None and t.units is not None and not t.units.limit(1).isEmpty()
     if mode == "hybrid" and not able:
         raise UnavailableError("hybrid search needs an embedder and embedded units")
     used = "hybrid" if able and mode != "lexical" else "lexical"
     terms = text.query_terms(query)
     terms = concepts.expand(terms) if expand else terms
     fetch = overfetch(offset, limit)
-    scored = apply_filters(lexical.rank(lexical.tokenized(t.events), terms), filters, t)
+    scored = apply_filters(t.index.rank(terms) if t.index is not None else lexical.rank(lexical.tokenized(t.events), terms), filters, t)
     ranked = top(scored, fetch + 1)
     if used == "hybrid":
         near = apply_filters(t.events.join(t.units, t.key), filters, t)
-        near = vector.nearest(near, embedder.embed_query(vector.QUERY_PREFIX + query), 4 * fetch, key=t.key)
-        each = near.groupBy(t.key).agg(F.min("distance").alias("distance"))
+        point = embedder.embed_query(vector.QUERY_PREFIX + query)
+        for k in vector.adaptive_k(fetch, filters.count()):
+            units = vector.nearest(near, point, k, key=t.key).select(t.key, "distance").cache()
+            each = units.groupBy(t.key).agg(F.min("distance").alias("distance"))
+            if units.count() < k or each.count() >= fetch:
+                break
+            units.unpersist()
         near = each.withColumn("rank", F.row_number().over(Window.orderBy("distance", t.key)))
         fused = fuse(ranked, near, t.key)
         ranked = top(t.events.join(F.broadcast(fused), t.key), fetch + 1)

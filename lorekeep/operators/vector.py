@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+import time
+from collections.abc import Callable, Iterator
 from typing import Protocol
 
 import numpy as np
@@ -61,6 +63,25 @@ def truncate_and_normalize(vector: list[float], dimensions: int = DIMENSIONS) ->
     return (v / norm if norm else v).tolist()
 
 
+def to_blob(vector: list[float]) -> bytes:
+    """Single precision, least byte first."""
+    return np.asarray(vector, "<f4").tobytes()
+
+
+def from_blob(blob: bytes) -> list[float]:
+    if len(blob) % 4:
+        raise ValidationError("a vector's bytes come in fours")
+    return np.frombuffer(blob, "<f4").astype(float).tolist()
+
+
+def normalized(col: Column, dimensions: int = DIMENSIONS) -> Column:
+    """truncate_and_normalize() of a column; null where a vector is too short or not finite."""
+    first = F.transform(F.slice(col, 1, dimensions), lambda x: x.cast("double"))
+    good = (F.size(col) >= dimensions) & F.forall(first, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    norm = F.sqrt(dot(first, first))
+    return F.when(good, F.when(norm > 0, F.transform(first, lambda x: x / norm)).otherwise(first))
+
+
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0).cast("double"), lambda s, x: s + x)
 
@@ -78,7 +99,7 @@ def nearest(units: DataFrame, query: list[float], k: int, embedding: str = "embe
 
 
 def adaptive_k(fetch: int, n_filters: int) -> list[int]:
-    """Numbers of candidates to try when filters come after the search."""
+    """Numbers of units to try for `fetch` events: an event may have several units, and filters leave fewer events."""
     least = min(fetch, 1000)
     start = least * (4 if n_filters else 2)
     out = [start]
@@ -120,3 +141,31 @@ def embed(texts: DataFrame, embedder: Embedder, batch: int = 64) -> DataFrame:
             yield pd.DataFrame({"text_hash": frame["text_hash"], "embedding": vectors})
 
     return texts.withColumn("__b", length_bucket(F.col("text"))).sortWithinPartitions("__b").select("text_hash", "text").mapInPandas(run, "text_hash string, embedding array<double>")
+
+
+def progress(done: int, total: int, seconds: float) -> dict[str, float | int | None]:
+    """How far embedding is: texts a second, and seconds left, rounded up; null before the first."""
+    rate = done / seconds if seconds > 0 else 0.0
+    left = max(0, total - done)
+    return {"done": done, "total": total, "rate": rate, "eta_seconds": math.ceil(left / rate) if rate > 0 else None if left else 0}
+
+
+def embed_pending(units: DataFrame, path: str, embedder: Embedder | None, chunk: int = 100_000, report: Callable[[dict], None] | None = None) -> int:
+    """Append vectors of the texts that have none to the table at path, chunk by chunk; a run that stopped goes on where it did. Returns
+    how many were embedded, 0 without an embedder."""
+    if embedder is None:
+        return 0
+    spark, began, done, total = units.sparkSession, time.monotonic(), 0, None
+    schema = "text_hash string, embedding array<double>"
+    while True:
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        there = p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+        left = pending(units, spark.read.schema(schema).parquet(path) if there else spark.createDataFrame([], schema))
+        n = left.count()
+        total = n if total is None else total
+        if not n:
+            return done
+        embed(left.orderBy("text_hash").limit(chunk), embedder).write.mode("append").parquet(path)
+        done += min(n, chunk)
+        if report:
+            report(progress(done, total, time.monotonic() - began))

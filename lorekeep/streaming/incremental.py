@@ -88,6 +88,14 @@ class Store:
         fs.delete(p, True)
         return added
 
+    def replace(self, events: DataFrame) -> None:
+        """These events in place of all; the old ones stay until the new ones are written."""
+        aside = f"{self.path}/events-{uuid.uuid4().hex}"
+        events.write.parquet(aside)
+        fs, old = self._fs(f"{self.path}/events")
+        fs.delete(old, True)
+        fs.rename(self._fs(aside)[1], old)
+
     def checkpoint(self, rows: DataFrame) -> None:
         """A new version beside the old one, which readers keep until the new one is complete."""
         found = self.versions()
