@@ -12,8 +12,8 @@ import os
 import numpy as np
 import pyarrow as pa
 
-#: Distinct pieces of under 16 bytes kept from batch to batch; some 150 MB.
-CACHE = 500_000
+#: Distinct pieces of under 16 bytes kept from batch to batch; some 100 MB.
+CACHE = 600_000
 
 
 class Encoder:
@@ -26,7 +26,9 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
         self.model._resize_cache(0)  # pieces come once a batch, so the model's own cache only costs time
-        self.known: dict[bytes, tuple[int, ...]] = {}
+        # ids of the pieces kept, back to back, and where each piece's begin; known: place of a piece
+        self.known: dict[bytes, int] = {}
+        self.flat, self.ends = np.zeros(1 << 16, np.uint32), np.zeros(1 << 16, np.int64)
         self.plain = bytes_to_chars()
         self.added = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values() if t.content]
 
@@ -95,23 +97,37 @@ class Encoder:
         column = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(bounds), pa.py_buffer(np.ascontiguousarray(data))])
         coded = column.dictionary_encode()
         where = coded.indices.to_numpy()
-        known, flat, lengths = self.known, [], []
-        tokenize, plain = self.model.tokenize, self.plain
-        for word in coded.dictionary.to_pylist():
-            ids = known.get(word)
-            if ids is None:
-                ids = tuple([t.id for t in tokenize(word.decode("latin-1").translate(plain))])
-                if len(known) < CACHE and len(word) < 16:
-                    known[word] = ids
-            flat += ids
-            lengths.append(len(ids))
-        table, lengths = np.array(flat, np.uint32), np.array(lengths, np.int64)
-        firsts = np.cumsum(lengths) - lengths
+        own = self.places(coded.dictionary.to_pylist())
+        firsts, lengths = self.ends[own], self.ends[own + 1] - self.ends[own]
         sizes = lengths[where]
         ends = np.concatenate(([0], np.cumsum(sizes)))
         take = np.arange(ends[-1])
         take += np.repeat(firsts[where] - ends[:-1], sizes)
-        return table[take], ends[np.searchsorted(starts, offsets, side="left")]
+        return self.flat[take], ends[np.searchsorted(starts, offsets, side="left")]
+
+    def places(self, words: list[bytes]) -> np.ndarray:
+        """Where each word's ids lie; those of words that are not kept lie there until the next call."""
+        known = self.known
+        own = np.array([known.get(w, -1) for w in words], np.int64)
+        fresh = np.flatnonzero(own < 0).tolist()
+        if fresh:
+            fresh.sort(key=lambda i: len(words[i]) >= 16)  # what is kept comes first
+            ids, ends, tokenize, plain, at = [], [], self.model.tokenize, self.plain, len(known)
+            for n, i in enumerate(fresh):
+                word = words[i]
+                ids += [t.id for t in tokenize(word.decode("latin-1").translate(plain))]
+                ends.append(len(ids))
+                if len(word) < 16 and len(known) < CACHE:
+                    known[word] = at + n
+            start = int(self.ends[at])
+            while len(self.flat) < start + len(ids):
+                self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+            while len(self.ends) < at + len(fresh) + 1:
+                self.ends = np.concatenate([self.ends, np.zeros_like(self.ends)])
+            self.flat[start : start + len(ids)] = ids
+            self.ends[at + 1 : at + 1 + len(fresh)] = start + np.array(ends)
+            own[fresh] = at + np.arange(len(fresh))
+        return own
 
 
 def bytes_to_chars() -> dict[int, int]:
