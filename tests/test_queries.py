@@ -11,12 +11,12 @@ from pyspark.sql import functions as F
 
 from lorekeep.functions import text
 from lorekeep.operators import lexical
-from lorekeep.plans import queries as plans
+from lorekeep import plans
 from lorekeep.plans import views
 
 SF = "/root/testdata/sf0.001"
 #: Needs sessions that the smallest tables lack.
-LARGER = {"session_page", "session_window", "purge_session"}
+LARGER = {"session_page", "session_window", "session_page_without_deltas", "event_pointer", "purge_session"}
 
 
 @pytest.fixture(scope="module")
