@@ -6,7 +6,8 @@ its box allows, and it is left when that is under the query's kth score so far.
 the least of them goes to the other shards as their first bound.
 
 Queries go in blocks, so a task holds one shard and one block. Vectors that are null, empty or hold null or non-finite
-components take no part; vectors meet only those of their own dimension. Rows that repeat a vec_id are rows of their own, and a
+components take no part; vectors meet only those of their own dimension. Products that double precision cannot hold exactly are
+taken in whole numbers, and a score beyond a long is given as the longest one. Rows that repeat a vec_id are rows of their own, and a
 query leaves out all rows of its own id. Other columns are ignored. An empty table gives no rows.
 """
 
@@ -23,6 +24,7 @@ from pyspark.sql import functions as F
 from . import work
 
 K, EVERY = 5, 50
+LONGEST = (1 << 63) - 1
 #: Rows of a shard and of a leaf, and queries of a block.
 SHARD, LEAF, QUERIES = 16_384, 128, 2048
 
@@ -32,6 +34,7 @@ class Tree:
         self.x = x
         self.order = np.arange(len(x))
         self.low, self.high, self.span, self.child = [], [], [], []
+        self.whole = x.dtype == object  # whole numbers of any size; boxes are in double precision, a little wider
         if len(x):
             self._build(0, len(x), leaf)
             self.low, self.high = np.array(self.low), np.array(self.high)
@@ -39,14 +42,14 @@ class Tree:
 
     def _build(self, a: int, b: int, leaf: int) -> int:
         own = self.x[self.order[a:b]]
-        low, high = own.min(0), own.max(0)
+        low, high = own.min(0).astype(np.float64), own.max(0).astype(np.float64)
         node = len(self.span)
         self.low.append(low)
         self.high.append(high)
         self.span.append((a, b))
         self.child.append(None)
         if b - a > leaf and (high > low).any():
-            d = int((high - low).argmax())
+            d = int((high / 2 - low / 2).argmax())
             m = (b - a) // 2
             self.order[a:b] = self.order[a:b][np.argpartition(own[:, d], m)]
             self.child[node] = (self._build(a, a + m, leaf), self._build(a + m, b, leaf))
@@ -56,8 +59,14 @@ class Tree:
         """(score, id) of the k best at or over floor, best first; ties to smaller ids. ids are in the order of rows."""
         if not len(self.x):
             return []
-        bounds = np.maximum(q * self.low, q * self.high).sum(1)
-        heap = [(-int(bounds[0]), 0)]
+        at = q.astype(np.float64)
+        with np.errstate(all="ignore"):
+            parts = np.maximum(at * self.low, at * self.high)
+            bounds = parts.sum(1)
+            if self.whole:
+                bounds = bounds + 1e-9 * np.abs(parts).sum(1) + 1
+                bounds[np.isnan(bounds)] = np.inf
+        heap = [(-float(bounds[0]), 0)]
         best: list[tuple[int, int]] = []  # least first: (score, -id)
         while heap:
             bound, node = heapq.heappop(heap)
@@ -68,12 +77,12 @@ class Tree:
             if self.child[node]:
                 for c in self.child[node]:
                     if least is None or bounds[c] >= least:
-                        heapq.heappush(heap, (-int(bounds[c]), c))
+                        heapq.heappush(heap, (-float(bounds[c]), c))
                 continue
             a, b = self.span[node]
             scores = self.rows[a:b] @ q
             others = ids[a:b] != own_id
-            some = np.flatnonzero(others & (scores >= least) if least is not None else others)
+            some = np.flatnonzero(others & (scores >= least).astype(bool) if least is not None else others)
             if len(some) > 4 * k:
                 # ties at the kth score stay in
                 cut = np.partition(scores[some], len(some) - k)[len(some) - k]
@@ -96,11 +105,27 @@ def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if i is not None and v is not None and len(v) and all(x is not None for x in v):
                 x = np.array(v, np.float64)
                 if np.isfinite(x).all():
-                    out.append((i, len(x), np.floor(256 * x).astype(np.int64).tobytes()))
+                    whole = np.floor(256 * x)
+                # beyond a long, decimal numbers; 256 times a finite double may be none
+                small = np.abs(whole).max() < 2.0**62
+                body = whole.astype(np.int64).tobytes() if small else b",".join(str(256 * int(v) if abs(v) > 2.0**60 else int(np.floor(256 * v))).encode() for v in x) + b","
+                out.append((i, len(x), body))
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int32(), pa.binary()), strict=True)], ["vec_id", "width", "body"])
 
 
+def _numbers(bodies: list[bytes], width: int) -> np.ndarray:
+    """The vectors in double precision if that holds every product and sum of them exactly, else as whole numbers of any size."""
+    long = [len(b) != 8 * width or b[-1:] == b"," and b.count(b",") == width and b.replace(b",", b"").replace(b"-", b"").isdigit() for b in bodies]
+    if not any(long):
+        x = np.frombuffer(b"".join(bodies), np.int64).reshape(len(bodies), width)
+        if float(np.abs(x.astype(np.float64)).max()) ** 2 * width < 2.0**53:
+            return x.astype(np.float64)
+        return x.astype(object)
+    rows = [[int(v) for v in b.split(b",")[:-1]] if far else np.frombuffer(b, np.int64).tolist() for b, far in zip(bodies, long, strict=True)]
+    return np.array(rows, dtype=object).reshape(len(bodies), width)
+
+
 def _search(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in work.grouped(batches, ["width", "shard", "block"]):
@@ -108,13 +133,13 @@ def _search(k: int):
             query = np.array(t["query"].to_pylist(), bool)
             ids = t["vec_id"].to_numpy()
             floors = t["floor"].to_pylist()
-            x = np.frombuffer(b"".join(t["body"].to_pylist()), np.int64).reshape(len(ids), width).astype(np.float64)
+            x = _numbers(t["body"].to_pylist(), width)
             rows = np.flatnonzero(~query)
             tree = Tree(x[rows])
             in_order = ids[rows][tree.order]
             out = []
             for i in np.flatnonzero(query).tolist():
-                out += [(int(ids[i]), s, other) for s, other in tree.search(x[i], int(ids[i]), in_order, k, floors[i])]
+                out += [(int(ids[i]), max(-LONGEST, min(LONGEST, s)), other) for s, other in tree.search(x[i], int(ids[i]), in_order, k, floors[i])]
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], ["query_id", "score", "vec_id"])
 

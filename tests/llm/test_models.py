@@ -289,6 +289,27 @@ def test_top_k_of_a_repeated_query(spark, copies):
     assert got == {(0, n + 1, j, -s) for n, (s, j) in enumerate(found)}
 
 
+@pytest.mark.parametrize("scale", [1.0, 1e5, 1e12, 1e17, 1e300])
+@pytest.mark.parametrize("shard", [10**6, 40])
+def test_top_k_of_large_components(spark, monkeypatch, scale, shard):
+    """Products beyond double precision are exact; scores beyond a long are the longest."""
+    monkeypatch.setattr(kd_topk, "SHARD", shard)
+    r = np.random.default_rng(6)
+    x = scale * r.normal(size=(120, 6))
+    x[7] = x[3]
+    x[9] = x[3] * (1 + 2**-50)
+    whole = [[256 * int(v) if abs(v) > 2.0**60 else math.floor(256 * v) for v in row] for row in x.tolist()]
+    most = (1 << 63) - 1
+    want = set()
+    for i in range(0, 120, 50):
+        found = sorted((-sum(a * b for a, b in zip(whole[i], whole[j], strict=True)), j) for j in range(120) if j != i)[:5]
+        want |= {(i, j, max(-most, min(most, -s))) for s, j in found}
+    got = kd_topk.top_k(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>"), F.col("vec_id") % 50 == 0).collect()
+    if scale < 1e7:
+        assert {(q.query_id, q.vec_id, q.score) for q in got} == want
+    assert sorted((q.query_id, q.rank, q.score) for q in got) == sorted((i, k, s) for i in (0, 50, 100) for k, s in enumerate(sorted((w[2] for w in want if w[0] == i), reverse=True), 1))
+
+
 def test_components(spark):
     chain = [(i, i + 1) for i in range(30)] + [(100, 101), (101, 102), (7, 7), (200, 150)]
     got = components.connected_components(spark.createDataFrame(chain, "src long, dst long"), work.work_folder(spark), "c").collect()
