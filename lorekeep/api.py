@@ -71,8 +71,7 @@ class History:
                        redacted: bool = False, include_payload: bool = False, check_repository: bool = False) -> dict:
         search.bounded("limit", limit, strict=True)
         search.bounded("max_snippet_chars", max_snippet_chars, strict=True)
-        if cursor < 0:
-            raise ValidationError("cursor must not be negative")
+        search.bounded("cursor", cursor, strict=True)
         page = search.search(self.tables, query, filters, mode, limit, cursor, max_snippet_chars, expand_concepts, self.embedder, redacted)
         rows = [r.asDict(True) for r in page.rows.collect()]
         if include_payload and rows:

@@ -13,7 +13,7 @@ from ..schema import SUMMARY_KINDS, TOOLS
 from . import lexical, vector
 
 # Limits of the query surface.
-LIMITS = {"limit": (1, 50), "max_snippet_chars": (1, 1000), "sessions": (1, 100), "session_limit": (1, 500), "context": (0, 500)}
+LIMITS = {"limit": (1, 50), "max_snippet_chars": (1, 1000), "sessions": (1, 100), "session_limit": (1, 500), "context": (0, 500), "cursor": (0, 10_000)}
 SNIPPET = 500
 RRF_K = 60
 EXTRA = 500

@@ -19,7 +19,7 @@ from ..functions import times
 from ..schema import ENVELOPE, TOOLS
 from ..sources import raw
 from ..streaming import incremental
-from . import maintain
+from . import lexical, maintain
 
 #: What lies in a home, and what losing it means: authoritative cannot be made again, derived can, model and config are set up.
 ENTRIES = {"raw": "authoritative", "blobs": "authoritative", "index": "derived", "spool": "derived", "logs": "derived", "backups": "derived", "models": "model", "config.json": "config"}
@@ -182,6 +182,29 @@ class Home:
         counted = logs.join(keys.groupBy("raw_file").agg(F.count(F.lit(1)).alias("key_count")), "raw_file", "left")
         counted.select("raw_file", F.col("size").alias("raw_len"), F.coalesce("key_count", F.lit(0)).alias("key_count")).write.mode("overwrite").parquet(f"{self.path}/spool/dedupe/meta")
 
+    # search
+
+    def search_index(self) -> lexical.Index:
+        """The inverted index of the store's events, kept beside them. It is looked at again when a pass wrote checkpoints since: new events
+        become a segment, and it is built anew after a purge took some away."""
+        index = lexical.Index(self.spark, f"{self.store.path}/search")
+        version = (self.store.versions() or [0])[-1]
+        fs, mark = self.store._fs(f"{index.path}/version-{version}")
+        if fs.exists(mark):
+            return index
+        events = self.store.events()
+        if index.stats():
+            there = index.rows().select("dedupe_key")
+            if there.join(events, "dedupe_key", "left_anti").isEmpty():
+                events = events.join(there, "dedupe_key", "left_anti")
+            else:
+                fs.delete(self.store._fs(index.path)[1], True)
+                index = lexical.Index(self.spark, index.path)
+        if not events.isEmpty():
+            index.add(events)
+        fs.create(mark).close()
+        return index
+
     # purges
 
     def purge(self, tool: str | None = None, session_id: str | None = None, before: str | None = None) -> dict[str, int]:
