@@ -185,10 +185,25 @@ def search_top_k(spark, sf_dir):
     return hits(search.top(scored(spark, sf_dir, ["with", "from"]), 25), "rank")
 
 
-@query("search_snippet")
+def _page_sql(limit: int) -> str:
+    """Hits of a page of `the moron`: ranked, twins collapsed among what is fetched, then cut."""
+    return (
+        f"{oracle.bm25(views.CONVERSATIONS, TALK, ['the', 'moron'])}, r AS (SELECT *, row_number() OVER (ORDER BY {oracle.ORDER}) AS place FROM scored QUALIFY place <= {search.overfetch(0, limit)}),"
+        " o AS (SELECT *, row_number() OVER (PARTITION BY session_id, canonical_type, trim(regexp_replace(searchable_text, '\\s+', ' ', 'g')) ORDER BY place) AS twin FROM r),"
+        f" h AS (SELECT *, row_number() OVER (ORDER BY place) AS rank FROM o WHERE twin = 1 QUALIFY rank <= {limit})"
+    )
+
+
+@query("search_snippet", f"WITH {_page_sql(20)} SELECT session_id, raw_line, true AS fits, true AS holds FROM h")
 def search_snippet(spark, sf_dir):
     page = search.search(search.Tables(views.conversations(spark, sf_dir)), "the moron", limit=20, max_snippet_chars=80)
-    return page.rows.select(*KEY, "snippet")
+    return page.rows.select(*KEY, (F.octet_length("snippet") <= 80).alias("fits"), F.lower("snippet").rlike("the|moron").alias("holds"))
+
+
+@query("search_page_indexed", f"WITH {_page_sql(10)} SELECT session_id, raw_line, round(score, 6) AS score FROM h")
+def search_page_indexed(spark, sf_dir):
+    t = search.Tables(views.conversations(spark, sf_dir), index=index(spark, sf_dir, "conversations"))
+    return hits(search.search(t, "the moron").rows)
 
 
 # vectors
@@ -328,10 +343,14 @@ def recall_answer(spark, sf_dir):
     return sessions.context(_hits(spark, sf_dir), views.conversations(spark, sf_dir), 2, 2).select(*KEY, "hit_rank")
 
 
-@query("recall_answer_page")
+@query(
+    "recall_answer_page",
+    f"""WITH {_page_sql(5)}, c AS (SELECT ev.session_id, ev.raw_line, min(rank) AS rank FROM ev JOIN h ON ev.tool = h.tool AND ev.session_id = h.session_id AND ev.raw_line BETWEEN greatest(h.raw_line - 2, 1) AND h.raw_line + 2 GROUP BY ev.session_id, ev.raw_line)
+  SELECT h.rank, h.session_id, h.raw_line, (SELECT count(*) FROM c WHERE c.rank = h.rank) AS n_context FROM h""",
+)
 def recall_answer_page(spark, sf_dir):
     out = sessions.recall_answer(search.Tables(views.conversations(spark, sf_dir)), "the moron", limit=5)
-    return out.select("rank", *KEY, "snippet", F.size("context").alias("n_context"))
+    return out.select("rank", *KEY, F.coalesce(F.size("context"), F.lit(0)).cast("long").alias("n_context"))
 
 
 # shaping
