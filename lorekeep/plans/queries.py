@@ -239,6 +239,35 @@ def rrf_fuse(spark, sf_dir):
     return search.fuse(near, first, "vec_id").select("vec_id", F.round("score", 9).alias("score"))
 
 
+class _Point:
+    """An embedder that knows one vector."""
+
+    def __init__(self, vector: list[float]):
+        self.vector = vector
+
+    def embed_documents(self, texts: list[str]) -> list[list[float]]:
+        return [self.vector for _ in texts]
+
+    def embed_query(self, text: str) -> list[float]:
+        return self.vector
+
+
+@query(
+    "search_hybrid_page",
+    f"""WITH {oracle.bm25(views.CONVERSATIONS, TALK, ['the', 'moron'])}, x AS (SELECT dedupe_key, row_number() OVER (ORDER BY {oracle.ORDER}) AS rank FROM scored QUALIFY rank <= 21),
+  v AS (SELECT dedupe_key, row_number() OVER (ORDER BY d, dedupe_key) AS rank FROM ev JOIN (SELECT 'conv:' || vec_id || ':0' AS k, d FROM ({_VECTORS})) ON dedupe_key = k QUALIFY rank <= 40),
+  u AS (SELECT dedupe_key, sum(1.0 / (60 + rank)) AS score FROM (SELECT * FROM x UNION ALL SELECT * FROM v) GROUP BY dedupe_key),
+  r AS (SELECT ev.*, u.score, row_number() OVER (ORDER BY {oracle.ORDER.replace('score', 'u.score')}) AS place FROM ev JOIN u USING (dedupe_key) QUALIFY place <= 20),
+  o AS (SELECT *, row_number() OVER (PARTITION BY session_id, canonical_type, trim(regexp_replace(searchable_text, '\\s+', ' ', 'g')) ORDER BY place) AS twin FROM r)
+  SELECT session_id, raw_line, round(score, 6) AS score FROM o WHERE twin = 1 ORDER BY place LIMIT 10""",
+)
+def search_hybrid_page(spark, sf_dir):
+    rows = views.conversations(spark, sf_dir)
+    units = views.table(spark, sf_dir, "embeddings").select(F.concat(F.lit("conv:"), F.col("vec_id").cast("string"), F.lit(":0")).alias("dedupe_key"), "embedding")
+    page = search.search(search.Tables(rows, units=units, index=index(spark, sf_dir, "conversations")), "the moron", mode="hybrid", embedder=_Point(_point(spark, sf_dir)))
+    return hits(page.rows)
+
+
 @query(
     "embedding_units",
     f"""WITH {views.CONVERSATIONS}, u AS (SELECT dedupe_key, 'user_text' AS unit_kind, trim(user_text) AS t FROM ev UNION ALL SELECT dedupe_key, 'assistant_text', trim(assistant_text) FROM ev UNION ALL SELECT dedupe_key, 'metadata_text', trim(metadata_text) FROM ev)
