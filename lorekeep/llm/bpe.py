@@ -19,7 +19,7 @@ CACHE = 600_000
 class Encoder:
     """ids of every text of a batch, back to back, and where each text's ids end."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, cache: int = CACHE):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -28,6 +28,7 @@ class Encoder:
         self.model._resize_cache(0)  # pieces come once a batch, so the model's own cache only costs time
         # ids of the pieces kept, back to back, and where each piece's begin; known: place of a piece
         self.known: dict[bytes, int] = {}
+        self.cache = cache
         self.flat, self.ends = np.zeros(1 << 16, np.uint32), np.zeros(1 << 16, np.int64)
         self.plain = bytes_to_chars()
         self.added = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values() if t.content]
@@ -117,7 +118,7 @@ class Encoder:
                 word = words[i]
                 ids += [t.id for t in tokenize(word.decode("latin-1").translate(plain))]
                 ends.append(len(ids))
-                if len(word) < 16 and len(known) < CACHE:
+                if len(word) < 16 and len(known) < self.cache:
                     known[word] = at + n
             start = int(self.ends[at])
             while len(self.flat) < start + len(ids):

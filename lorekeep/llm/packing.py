@@ -22,6 +22,8 @@ from . import work
 from .bpe import Encoder
 
 LENGTH, OPEN = 1024, 4096
+#: Distinct pieces of text whose ids a task keeps; few, as earlier stages' memory may still be held by its worker.
+CACHE = 250_000
 #: Pieces that one packer takes; each packer leaves at most OPEN sequences part empty.
 PACKER_PIECES = 400_000
 
@@ -63,8 +65,8 @@ class BestFit:
 
 def _pieces(tokenizer: str, end_id: int, length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(tokenizer)
-        for batch in work.small_batches(batches, most=12_000_000):
+        encoder = Encoder(tokenizer, CACHE)
+        for batch in work.small_batches(batches, most=6_000_000):
             data, offsets = work.text_buffers(batch.column(1))
             ids, ends = encoder.encode(data, offsets)
             raw = memoryview(np.insert(ids, ends[1:], end_id).astype("<u4")).cast("B")
