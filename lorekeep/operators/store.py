@@ -6,6 +6,7 @@ All file work goes through the file systems of Hadoop on the driver (names and s
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -101,7 +102,7 @@ class Home:
     path: str
 
     def __post_init__(self):
-        self.path = self.path.rstrip("/")
+        self.path = re.sub("^file:/+", "file:/", self.path.rstrip("/"))  # as listings name local files
         self.store = incremental.Store(self.spark, f"{self.path}/index")
 
     def _fs(self, name: str = ""):
