@@ -97,32 +97,32 @@ class Tree:
 
 
 def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(vec_id, width, body): proper vectors as integers."""
+    """(vec_id, width, far, body): proper vectors as integers; those with a component beyond a long (far) as decimal numbers."""
     for batch in batches:
-        ids, rows = batch.column(0).to_pylist(), batch.column(1).to_pylist()
         out = []
-        for i, v in zip(ids, rows, strict=True):
-            if i is not None and v is not None and len(v) and all(x is not None for x in v):
-                x = np.array(v, np.float64)
-                if np.isfinite(x).all():
-                    whole = np.floor(256 * x)
-                # beyond a long, decimal numbers; 256 times a finite double may be none
-                small = np.abs(whole).max() < 2.0**62
-                body = whole.astype(np.int64).tobytes() if small else b",".join(str(256 * int(v) if abs(v) > 2.0**60 else int(np.floor(256 * v))).encode() for v in x) + b","
-                out.append((i, len(x), body))
+        for i, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            if i is None or not v or any(x is None for x in v):
+                continue
+            x = np.array(v, np.float64)
+            if not np.isfinite(x).all():
+                continue
+            with np.errstate(over="ignore"):  # 256 times a finite double may be none
+                whole = np.floor(256 * x)
+            far = bool(np.abs(whole).max() >= 2.0**62)
+            body = b",".join(str(256 * int(v) if abs(v) > 2.0**60 else int(np.floor(256 * v))).encode() for v in x) if far else whole.astype(np.int64).tobytes()
+            out.append((i, len(x), far, body))
         if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int32(), pa.binary()), strict=True)], ["vec_id", "width", "body"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int32(), pa.bool_(), pa.binary()), strict=True)], ["vec_id", "width", "far", "body"])
 
 
-def _numbers(bodies: list[bytes], width: int) -> np.ndarray:
+def _numbers(bodies: list[bytes], far: list[bool], width: int) -> np.ndarray:
     """The vectors in double precision if that holds every product and sum of them exactly, else as whole numbers of any size."""
-    long = [len(b) != 8 * width or b[-1:] == b"," and b.count(b",") == width and b.replace(b",", b"").replace(b"-", b"").isdigit() for b in bodies]
-    if not any(long):
+    if not any(far):
         x = np.frombuffer(b"".join(bodies), np.int64).reshape(len(bodies), width)
-        if float(np.abs(x.astype(np.float64)).max()) ** 2 * width < 2.0**53:
+        if float(np.abs(x.astype(np.float64)).max(initial=0)) ** 2 * width < 2.0**53:
             return x.astype(np.float64)
         return x.astype(object)
-    rows = [[int(v) for v in b.split(b",")[:-1]] if far else np.frombuffer(b, np.int64).tolist() for b, far in zip(bodies, long, strict=True)]
+    rows = [[int(v) for v in b.split(b",")] if f else np.frombuffer(b, np.int64).tolist() for b, f in zip(bodies, far, strict=True)]
     return np.array(rows, dtype=object).reshape(len(bodies), width)
 
 
@@ -133,7 +133,7 @@ def _search(k: int):
             query = np.array(t["query"].to_pylist(), bool)
             ids = t["vec_id"].to_numpy()
             floors = t["floor"].to_pylist()
-            x = _numbers(t["body"].to_pylist(), width)
+            x = _numbers(t["body"].to_pylist(), t["far"].to_pylist(), width)
             rows = np.flatnonzero(~query)
             tree = Tree(x[rows])
             in_order = ids[rows][tree.order]
@@ -153,12 +153,12 @@ def top_k(vectors: DataFrame, is_query: "F.Column", k: int = K) -> DataFrame:
     work.prepare(spark)
     folder = work.work_folder(spark)
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
-    whole = work.staged(rows.mapInArrow(_whole, "vec_id long, width int, body binary"), folder, "whole")
+    whole = work.staged(rows.mapInArrow(_whole, "vec_id long, width int, far boolean, body binary"), folder, "whole")
     n, n_queries = whole.count(), whole.where(is_query).select("vec_id").distinct().count()
     shards, blocks = max(1, -(-n // SHARD)), max(1, -(-n_queries // QUERIES))
     placed = whole.withColumn("shard", F.pmod(F.xxhash64("vec_id", "body"), F.lit(shards)).cast("int")).withColumn("query", F.lit(False)).withColumn("floor", F.lit(None).cast("long"))
     asked = whole.where(is_query).dropDuplicates(["vec_id", "width"]).withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int")).withColumn("query", F.lit(True))
-    columns = ["width", "shard", "block", "query", "vec_id", "body", "floor"]
+    columns = ["width", "shard", "block", "query", "vec_id", "far", "body", "floor"]
 
     def searched(queries: DataFrame, own: DataFrame) -> DataFrame:
         spread = own.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))

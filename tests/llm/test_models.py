@@ -310,6 +310,33 @@ def test_top_k_of_large_components(spark, monkeypatch, scale, shard):
     assert sorted((q.query_id, q.rank, q.score) for q in got) == sorted((i, k, s) for i in (0, 50, 100) for k, s in enumerate(sorted((w[2] for w in want if w[0] == i), reverse=True), 1))
 
 
+@pytest.mark.parametrize("bad", [math.nan, math.inf, -math.inf])
+@pytest.mark.parametrize("scale", [1.0, 1e17])
+def test_top_k_leaves_out_vectors_that_are_not_finite(spark, tmp_path, bad, scale):
+    """First in a batch, after large vectors, next to each other, last, and as queries: none takes part, and SQL agrees."""
+    r = np.random.default_rng(8)
+    x = (scale * r.normal(size=(220, 6))).tolist()
+    for i in (0, 1, 50, 60, 61, 150, 219):
+        x[i][i % 6] = bad
+    df = spark.createDataFrame(list(enumerate(x)), "vec_id long, embedding array<double>").coalesce(1)
+    whole = {i: [256 * int(c) if abs(c) > 2.0**60 else math.floor(256 * c) for c in v] for i, v in enumerate(x) if all(map(math.isfinite, v))}
+    most = (1 << 63) - 1
+    want = set()
+    for i in (100, 200):
+        found = sorted((-sum(a * b for a, b in zip(whole[i], w, strict=True)), j) for j, w in whole.items() if j != i)[:5]
+        want |= {(i, n, j, max(-most, min(most, -s))) for n, (s, j) in enumerate(found, 1)}
+    got = {tuple(q) for q in kd_topk.top_k(df, F.col("vec_id") % 50 == 0).collect()}
+    assert {(q[0], q[1], q[3]) for q in got} == {(q[0], q[1], q[3]) for q in want} and {q[2] for q in got} <= set(whole)
+    if scale == 1:
+        assert got == want
+        import duckdb
+
+        df.write.parquet(str(tmp_path / "e"))
+        con = duckdb.connect()
+        con.sql(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/e/*.parquet'")
+        assert set(con.sql(f"SELECT query_id, rank, vec_id, score FROM ({kd_topk.ORACLE_SQL})").fetchall()) == want
+
+
 def test_components(spark):
     chain = [(i, i + 1) for i in range(30)] + [(100, 101), (101, 102), (7, 7), (200, 150)]
     got = components.connected_components(spark.createDataFrame(chain, "src long, dst long"), work.work_folder(spark), "c").collect()
