@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import kd_topk, langid, minhash, packing, pii, pq_dedup, quality, token_store, toxicity, unigram
+from . import kd_topk, langid, minhash, packing, pii, pq_dedup, quality, token_store, toxicity, unigram, windows
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -23,6 +23,7 @@ def queries() -> dict[str, Query]:
         "op8_sentencepiece": unigram.query,
         "op9_quality_resampling": quality.query,
         "op10_pii": pii.query,
+        "op11_concatenate_and_cut": windows.query,
     }
 
 
