@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import kd_topk, langid, minhash, packing, periodic, pii, pq_dedup, quality, token_store, toxicity, unigram, windows
+from . import kd_topk, langid, minhash, packing, periodic, pii, pq_dedup, quality, token_store, toxicity, unigram, variants, windows
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -25,9 +25,16 @@ def queries() -> dict[str, Query]:
         "op10_pii": pii.query,
         "op11_concatenate_and_cut": windows.query,
         "op12_periodic_runs": periodic.query,
+        "op13_spelling_variants": variants.query,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     """Token ids, trained models and samples have no SQL; tests compare those with brute force."""
-    return {"op1_minhash_near_dedup": minhash.ORACLE_SQL, "op5_embedding_near_dedup": pq_dedup.ORACLE_SQL, "op7_exact_top_k": kd_topk.ORACLE_SQL, "op12_periodic_runs": periodic.ORACLE_SQL}
+    return {
+        "op1_minhash_near_dedup": minhash.ORACLE_SQL,
+        "op5_embedding_near_dedup": pq_dedup.ORACLE_SQL,
+        "op7_exact_top_k": kd_topk.ORACLE_SQL,
+        "op12_periodic_runs": periodic.ORACLE_SQL,
+        "op13_spelling_variants": variants.ORACLE_SQL,
+    }
