@@ -1,24 +1,16 @@
-"""Weighted BM25 over several text columns, from an inverted index in a folder or from tokens.
+"""Weighted BM25 over several text columns, from tokens.
 
 Statistics (number of rows, their mean length, rows of each phrase) cover every row given; filters belong on the result. One
-aggregation makes one row of statistics, whatever the input, which meets the rows again by broadcast. From tokens, a phrase is
-counted inside its row, so ranking shuffles nothing but that one row and the top; a table that is searched more than once is
-indexed.
+aggregation makes one row of statistics, whatever the input, which meets the rows again by broadcast. A phrase is counted inside
+its row, so ranking shuffles nothing but that one row and the top. A table that is searched more than once is indexed (index.py).
 """
 
 from __future__ import annotations
 
-import math
-import uuid
-from collections.abc import Iterator
 from functools import reduce
 
-import numpy as np
-import pyarrow as pa
-import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, Row, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions import text
 from ..schema import TEXT_COLUMNS, WEIGHTS
@@ -73,172 +65,3 @@ def rank(tokens: DataFrame, terms: list[str], weights: dict[str, float] | None =
         f = F.col(f"__f{i}")
         score = score + F.when(idf > 0, idf).otherwise(LEAST_IDF) * f * (K1 + 1) / (f + norm)
     return scored.select(*kept, score.alias("score"))
-
-
-#: Postings lie in so many folders by hash of their term; a folder's rows are ordered by term, so a scan for a term reads few pages.
-BUCKETS = 32
-#: Rows of the indexed table beside which a term's postings go to another file.
-SLICE = 1_000_000
-_DOC = ["seg", "__doc"]
-
-
-def _postings(columns: int):
-    """(doc, length, term, counts for each column, positions: column << 32 | place) from (doc, one array of tokens for each column)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            terms, doc, column, place = [], [], [], []
-            for c in range(columns):
-                tokens = batch.column(c + 1)
-                sizes = pc.list_value_length(tokens).to_numpy(zero_copy_only=False)
-                terms.append(tokens.flatten())
-                doc.append(np.repeat(np.arange(len(sizes)), sizes))
-                column.append(np.full(len(doc[-1]), c))
-                place.append(np.arange(len(doc[-1])) - np.repeat(np.cumsum(sizes) - sizes, sizes))
-            doc, column, place = (np.concatenate(x).astype(np.int64) for x in (doc, column, place))
-            if not len(doc):
-                continue
-            coded = pa.concat_arrays([t.cast(pa.large_string()) for t in terms]).dictionary_encode()
-            code = coded.indices.to_numpy()
-            order = np.lexsort((place, column, code, doc))
-            doc, code, column, place = doc[order], code[order], column[order], place[order]
-            new = np.concatenate(([True], (doc[1:] != doc[:-1]) | (code[1:] != code[:-1])))
-            first = np.flatnonzero(new)
-            length = np.bincount(doc, minlength=batch.num_rows)
-            counts = [pa.array(np.add.reduceat((column == c).astype(np.int32), first), pa.int32()) for c in range(columns)]
-            where = pa.ListArray.from_arrays(pa.array(np.append(first, len(doc)), pa.int32()), pa.array(column << 32 | place))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(pa.array(doc[first])), pa.array(length[doc[first]], pa.int64()), coded.dictionary.take(pa.array(code[first])).cast(pa.string()), *counts, where],
-                ["__doc", "__len", "term", *(f"n{c}" for c in range(columns)), "positions"],
-            )
-
-    return run
-
-
-class Index:
-    """Inverted index of a table of events in a folder: rows/, postings/, terms/ and stats/, each by segment.
-
-    add() writes a segment; one whose statistics are there is complete, and no other is read. rank() gives what rank() above gives
-    from tokens, but reads only the postings of the query's words: single words are scored posting by posting, and phrases from the
-    positions of their words.
-    """
-
-    def __init__(self, spark: SparkSession, path: str, columns: tuple[str, ...] = TEXT_COLUMNS):
-        self.spark, self.path, self.columns = spark, path.rstrip("/"), columns
-        self._stats: dict[int, Row] | None = None
-        self._df: dict[str, int] = {}
-
-    def _folder(self, name: str):
-        p = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
-        return p.getFileSystem(self.spark._jsc.hadoopConfiguration()), p
-
-    def stats(self) -> dict[int, Row]:
-        """(n, total) of each complete segment."""
-        if self._stats is None:
-            fs, p = self._folder("stats")
-            found = [s.getPath() for s in fs.listStatus(p)] if fs.exists(p) else []
-            done = [q for q in found if q.getName().startswith("seg=") and fs.exists(self.spark._jvm.org.apache.hadoop.fs.Path(q, "_SUCCESS"))]
-            names = [q.getName() for q in done]
-            read = lambda name: self.spark.read.schema("n long, total long, buckets int").parquet(f"{self.path}/stats/{name}").head()
-            self._stats = {int(name[4:]): read(name) for name in names}
-        return self._stats
-
-    def _table(self, name: str) -> DataFrame:
-        own = list(self.stats())
-        paths = [f"{self.path}/{name}/seg={s}" for s in own]
-        return self.spark.read.option("basePath", f"{self.path}/{name}").option("mergeSchema", len(own) > 1).parquet(*paths)
-
-    def rows(self) -> DataFrame:
-        return self._table("rows")
-
-    def add(self, events: DataFrame) -> None:
-        """A segment of these rows. Rows are taken as new; drop those already there before."""
-        seg = max(self.stats(), default=0) + 1
-        at = lambda name: f"{self.path}/{name}/seg={seg}"
-        events.withColumn("__doc", F.monotonically_increasing_id()).write.mode("overwrite").parquet(at("rows"))
-        rows = self.spark.read.schema(T.StructType([*events.schema.fields, T.StructField("__doc", T.LongType())])).parquet(at("rows"))
-        tokens = rows.select("__doc", *(text.tokens(F.col(c)).alias(f"t{i}") for i, c in enumerate(self.columns)))
-        counts = ", ".join(f"n{c} int" for c in range(len(self.columns)))
-        postings = tokens.mapInArrow(_postings(len(self.columns)), f"__doc long, __len long, term string, {counts}, positions array<long>")
-        n = rows.count()
-        slices = max(1, n // SLICE)
-        postings = postings.withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(BUCKETS)).cast("int")).withColumn("__slice", F.pmod(F.xxhash64("__doc"), F.lit(slices)))
-        postings = postings.repartition("bucket", "__slice").sortWithinPartitions("bucket", "term").drop("__slice")
-        postings.write.mode("overwrite").option("parquet.page.row.count.limit", 2000).partitionBy("bucket").parquet(at("postings"))
-        written = self.spark.read.parquet(at("postings")) if n and not self._empty(at("postings")) else None
-        if written is not None:
-            counted = written.groupBy("bucket", "term").agg(F.count(F.lit(1)).alias("df"))
-            counted.repartition("bucket").sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy("bucket").parquet(at("terms"))
-            total = written.select(F.explode(F.array(*(f"n{c}" for c in range(len(self.columns))))).alias("n")).agg(F.sum("n").cast("long").alias("total")).head().total
-        self.spark.createDataFrame([(n, int(total) if written is not None else 0, BUCKETS if written is not None else 0)], "n long, total long, buckets int").coalesce(1).write.mode("overwrite").parquet(at("stats"))
-        self._stats, self._df = None, {}
-
-    def _empty(self, path: str) -> bool:
-        fs, p = self._folder(path.removeprefix(f"{self.path}/"))
-        return not any(s.getPath().getName().startswith("bucket=") for s in fs.listStatus(p))
-
-    def rebuild(self, events: DataFrame) -> Index:
-        """A new index of these rows beside this one, for another folder name after a purge."""
-        fresh = Index(self.spark, f"{self.path}-{uuid.uuid4().hex[:8]}", self.columns)
-        fresh.add(events)
-        return fresh
-
-    def _of(self, name: str, words: list[str]) -> DataFrame:
-        """Rows of a table for these words: only their folders and pages are read."""
-        full = [s for s, r in self.stats().items() if r.buckets]
-        found = self.spark.read.option("basePath", f"{self.path}/{name}").parquet(*(f"{self.path}/{name}/seg={s}" for s in full))
-        buckets = [F.pmod(F.xxhash64(F.lit(w)), F.lit(BUCKETS)).cast("int") for w in words]
-        return found.where(F.col("bucket").isin(*buckets) & F.col("term").isin(*words))
-
-    def frequencies(self, words: list[str]) -> dict[str, int]:
-        """How many rows hold each word; a row for each word comes to the driver, once."""
-        fresh = [w for w in words if w not in self._df]
-        if fresh:
-            got = {r.term: r.df for r in self._of("terms", fresh).groupBy("term").agg(F.sum("df").alias("df")).collect()}
-            self._df |= {w: got.get(w, 0) for w in fresh}
-        return {w: self._df[w] for w in words}
-
-    def scores(self, terms: list[str], weights: dict[str, float] | None = None) -> DataFrame | None:
-        """(seg, __doc, score) of the rows that hold a phrase; None if no row can."""
-        weights = [float((weights or WEIGHTS)[c]) for c in self.columns]
-        wanted = text.phrases(terms)
-        if not wanted or not any(r.buckets for r in self.stats().values()):
-            return None
-        n, total = (sum(r[k] for r in self.stats().values()) for k in ("n", "total"))
-        norm = K1 * ((1 - B) + B * F.col("__len") * (n / total))
-        share = lambda df, f: F.lit(max(math.log((n - df + 0.5) / (df + 0.5)), 0) or LEAST_IDF) * f * (K1 + 1) / (f + norm)
-        words = sorted({w for p in wanted for w in p})
-        found = self._of("postings", words)
-        if all(len(p) == 1 for p in wanted):
-            df = self.frequencies(words)
-            f = sum((F.col(f"n{c}") * F.lit(weights[c]) for c in range(len(weights))), F.lit(0.0))
-            score = F.lit(None).cast("double")
-            for w in words:
-                times = sum(p == [w] for p in wanted)
-                score = F.when(F.col("term") == w, times * share(df[w], f)).otherwise(score)
-            return found.select(*_DOC, score.alias("score")).groupBy(*_DOC).agg(F.sum("score").alias("score"))
-        distinct = [list(p) for p in dict.fromkeys(map(tuple, wanted))]
-        at = {w: f"p{i}" for i, w in enumerate(words)}
-        # a word has one posting for each row, so max takes what is there
-        by_doc = found.groupBy(*_DOC).agg(F.first("__len").alias("__len"), *(F.max(F.when(F.col("term") == w, F.col("positions"))).alias(at[w]) for w in words))
-        none = F.array().cast("array<long>")
-        back = lambda places, k: F.transform(places, lambda x: x - k)
-        hits = {}
-        for i, p in enumerate(distinct):
-            places = [F.coalesce(F.col(at[w]), none) for w in p]
-            hits[f"h{i}"] = reduce(F.array_intersect, [places[0], *(back(x, k) for k, x in enumerate(places[1:], 1))])
-        by_doc = by_doc.withColumns(hits).select(*_DOC, "__len", *hits)
-        many = by_doc.agg(*(F.count_if(F.size(h) > 0).alias(h) for h in hits)).head()  # a number for each phrase
-        score = F.lit(0.0)
-        for p in wanted:
-            h = f"h{distinct.index(p)}"
-            f = F.aggregate(F.col(h), F.lit(0.0), lambda s, x: s + F.element_at(F.array(*map(F.lit, weights)), (F.shiftright(x, 32) + 1).cast("int")))
-            score = score + F.when(F.size(h) > 0, share(many[h], f)).otherwise(0.0)
-        return by_doc.where(" or ".join(f"size({h}) > 0" for h in hits)).select(*_DOC, score.alias("score"))
-
-    def rank(self, terms: list[str], weights: dict[str, float] | None = None) -> DataFrame:
-        """Indexed rows that hold a phrase, with `score`."""
-        scores = self.scores(terms, weights)
-        if scores is None:
-            return self.rows().limit(0).drop(*_DOC).withColumn("score", F.lit(0.0))
-        return self.rows().join(scores, _DOC).drop(*_DOC)

@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from ..errors import UnavailableError, ValidationError
 from ..functions import concepts, redact, refs, text, times
-from ..schema import SUMMARY_KINDS, TOOLS
+from ..schema import CANONICAL_TYPES, SUMMARY_KINDS, TOOLS
 from . import lexical, vector
+from .index import Index
 
 # Limits of the query surface.
 LIMITS = {"limit": (1, 50), "max_snippet_chars": (1, 1000), "sessions": (1, 100), "session_limit": (1, 500), "context": (0, 500), "cursor": (0, 10_000)}
@@ -55,7 +56,7 @@ class Tables:
     tools: DataFrame | None = None
     refs: DataFrame | None = None
     units: DataFrame | None = None
-    index: lexical.Index | None = None
+    index: Index | None = None
     key: str = "dedupe_key"
     extra: dict = field(default_factory=dict)
 
@@ -118,6 +119,19 @@ def top(rows: DataFrame, n: int, score: str = "score") -> DataFrame:
     return best.withColumn("rank", F.row_number().over(Window.orderBy(*order(score))))
 
 
+def indexed(t: Tables, terms: list[str], f: Filters, n: int) -> list[tuple[int, int, float]]:
+    """Keys and scores of indexed rows that pass every filter, the n best among them. Tool, type, deltas and time are tested beside the postings; the
+    other filters name the rows that count."""
+    tool = f.tool if f.tool and f.tool != "all" else None
+    if tool is not None and tool not in TOOLS:
+        raise ValidationError(f"unknown tool: {tool}")
+    kind = f.canonical_type if f.canonical_type in CANONICAL_TYPES else None
+    members = None
+    if f.session or f.cwd or f.file or f.command or f.ref or (f.canonical_type and kind is None):
+        members = apply_filters(t.index.rows(), f, t).select("seg", "__doc")
+    return t.index.best(terms, n, tool=tool, canonical_type=kind, deltas=f.include_deltas, since=times.threshold(f.since) if f.since else None, members=members)
+
+
 def fuse(lexical_rows: DataFrame, vector_rows: DataFrame, key: str) -> DataFrame:
     """(key, score): reciprocal ranks of both lists summed. Each has (key, rank)."""
     both = lexical_rows.select(key, "rank").unionByName(vector_rows.select(key, "rank"))
@@ -158,8 +172,11 @@ def search(t: Tables, query: str, filters: Filters | None = None, mode: str = "a
     terms = text.query_terms(query)
     terms = concepts.expand(terms) if expand else terms
     fetch = overfetch(offset, limit)
-    scored = apply_filters(t.index.rank(terms) if t.index is not None else lexical.rank(lexical.tokenized(t.events), terms), filters, t)
-    ranked = top(scored, fetch + 1)
+    if t.index is not None:
+        best = indexed(t, terms, filters, fetch + 1)
+        ranked, overflow = top(t.index.fetched(best), fetch + 1), len(best) > fetch
+    else:
+        ranked, overflow = top(apply_filters(lexical.rank(lexical.tokenized(t.events), terms), filters, t), fetch + 1), None
     if used == "hybrid":
         near = apply_filters(t.events.join(t.units, t.key), filters, t)
         point = embedder.embed_query(vector.QUERY_PREFIX + query)
@@ -171,9 +188,10 @@ def search(t: Tables, query: str, filters: Filters | None = None, mode: str = "a
             units.unpersist()
         near = each.withColumn("rank", F.row_number().over(Window.orderBy("distance", t.key)))
         fused = fuse(ranked, near, t.key)
-        ranked = top(t.events.join(F.broadcast(fused), t.key), fetch + 1)
-    ranked = ranked.cache()
-    overflow = ranked.count() > fetch
+        ranked, overflow = top(t.events.join(F.broadcast(fused), t.key), fetch + 1), None
+    if overflow is None:
+        ranked = ranked.cache()
+        overflow = ranked.count() > fetch
     kept = collapse(ranked.where(F.col("rank") <= fetch)).orderBy("rank").collect()
     page = kept[offset : offset + limit]
     rows = []
@@ -184,7 +202,6 @@ def search(t: Tables, query: str, filters: Filters | None = None, mode: str = "a
     schema = f"tool string, session_id string, raw_file string, raw_line long, captured_at string, canonical_type string, summary_kind string, score double, snippet string, also_at array<long>, {t.key} string"
     following = offset + len(page)
     more = following < len(kept) or overflow
-    ranked.unpersist()
     return Page(t.events.sparkSession.createDataFrame(rows, schema), None if overflow else len(kept), len(page), following if more and page else None, used)
 
 

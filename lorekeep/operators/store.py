@@ -20,7 +20,8 @@ from ..functions import times
 from ..schema import ENVELOPE, TOOLS
 from ..sources import raw
 from ..streaming import incremental
-from . import lexical, maintain
+from . import maintain
+from .index import Index
 
 #: What lies in a home, and what losing it means: authoritative cannot be made again, derived can, model and config are set up.
 ENTRIES = {"raw": "authoritative", "blobs": "authoritative", "index": "derived", "spool": "derived", "logs": "derived", "backups": "derived", "models": "model", "config.json": "config"}
@@ -185,10 +186,10 @@ class Home:
 
     # search
 
-    def search_index(self) -> lexical.Index:
+    def search_index(self) -> Index:
         """The inverted index of the store's events, kept beside them. It is looked at again when a pass wrote checkpoints since: new events
         become a segment, and it is built anew after a purge took some away."""
-        index = lexical.Index(self.spark, f"{self.store.path}/search")
+        index = Index(self.spark, f"{self.store.path}/search")
         version = (self.store.versions() or [0])[-1]
         fs, mark = self.store._fs(f"{index.path}/version-{version}")
         if fs.exists(mark):
@@ -200,7 +201,7 @@ class Home:
                 events = events.join(there, "dedupe_key", "left_anti")
             else:
                 fs.delete(self.store._fs(index.path)[1], True)
-                index = lexical.Index(self.spark, index.path)
+                index = Index(self.spark, index.path)
         if not events.isEmpty():
             index.add(events)
         fs.create(mark).close()

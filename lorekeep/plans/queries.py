@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from .. import paths
 from ..functions import concepts, redact, refs, text
 from ..operators import derive, document, lexical, maintain, search, sessions, vector
+from ..operators.index import Index
 from ..schema import sanitize_session_id, SUMMARY_KINDS
 from ..streaming import incremental
 from . import oracle, views
@@ -34,7 +35,7 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return keep
 
 
-_INDEXES: dict[tuple[str, ...], lexical.Index] = {}
+_INDEXES: dict[tuple[str, ...], Index] = {}
 
 VIEWS = {
     "conversations": (views.conversations, tuple(TALK)),
@@ -43,7 +44,7 @@ VIEWS = {
 }
 
 
-def index(spark: SparkSession, sf_dir: str, view: str) -> lexical.Index:
+def index(spark: SparkSession, sf_dir: str, view: str) -> Index:
     """The view's index in the shared folder, built where a session first asks for it."""
     key = (spark.sparkContext.applicationId, sf_dir, view)
     if key not in _INDEXES:
@@ -51,9 +52,9 @@ def index(spark: SparkSession, sf_dir: str, view: str) -> lexical.Index:
     return _INDEXES[key]
 
 
-def build_index(spark: SparkSession, sf_dir: str, view: str) -> lexical.Index:
+def build_index(spark: SparkSession, sf_dir: str, view: str) -> Index:
     rows, columns = VIEWS[view]
-    built = lexical.Index(spark, f"{paths.shared_folder(spark)}/index-{view}-{uuid.uuid4().hex}", columns)
+    built = Index(spark, f"{paths.shared_folder(spark)}/index-{view}-{uuid.uuid4().hex}", columns)
     built.add(rows(spark, sf_dir))
     return built
 
@@ -95,8 +96,7 @@ def search_bm25_unindexed(spark, sf_dir):
 def search_index_terms(spark, sf_dir):
     """Builds the index anew; its terms, with their rows and occurrences."""
     built = build_index(spark, sf_dir, "documents")
-    counted = built._table("postings").groupBy("term").agg(F.sum("n0").alias("occurrences"))
-    return built._table("terms").join(counted, "term").select("term", "df", "occurrences")
+    return built.terms().select("term", "df").join(built.occurrences(), "term")
 
 
 @query("search_repeated_term", hits_sql(["idiot", "that", "idiot"]))
@@ -176,13 +176,14 @@ def search_twin_collapse(spark, sf_dir):
 
 @query("search_page", f"WITH {oracle.bm25(views.CONVERSATIONS, TALK, WORDS)}, r AS (SELECT *, row_number() OVER (ORDER BY {oracle.ORDER}) AS rank FROM scored) SELECT rank, session_id, raw_line, round(score, 6) AS score FROM r WHERE rank > 10 AND rank <= 20")
 def search_page(spark, sf_dir):
-    ranked = search.top(scored(spark, sf_dir, WORDS), search.overfetch(10, 10))
+    n = search.overfetch(10, 10)
+    ranked = search.top(index(spark, sf_dir, "conversations").top(WORDS, n), n)
     return hits(ranked.where("rank > 10 and rank <= 20"), "rank")
 
 
 @query("search_top_k", f"WITH {oracle.bm25(views.CONVERSATIONS, TALK, ['with', 'from'])}, r AS (SELECT *, row_number() OVER (ORDER BY {oracle.ORDER}) AS rank FROM scored) SELECT rank, session_id, raw_line, round(score, 6) AS score FROM r WHERE rank <= 25")
 def search_top_k(spark, sf_dir):
-    return hits(search.top(scored(spark, sf_dir, ["with", "from"]), 25), "rank")
+    return hits(search.top(index(spark, sf_dir, "conversations").top(["with", "from"], 25), 25), "rank")
 
 
 def _page_sql(limit: int) -> str:
