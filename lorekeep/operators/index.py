@@ -18,7 +18,7 @@ from __future__ import annotations
 import json
 import math
 from collections.abc import Callable, Iterator
-from dataclasses import asdict, dataclass
+from dataclasses import asdict, dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -149,7 +149,7 @@ STORED = "bucket int, term string, shard long, first_doc long, last_doc long, n
 
 @dataclass
 class Segment:
-    """Statistics of a segment; gone and gone_total: rows that are deleted, and their lengths."""
+    """Statistics of a segment and the schema of its rows; gone and gone_total: rows that are deleted, and their lengths."""
 
     n: int
     total: int
@@ -157,6 +157,7 @@ class Segment:
     gone: int = 0
     gone_total: int = 0
     deletes: int = 0
+    schema: str = ""
 
 
 @dataclass
@@ -366,7 +367,8 @@ class Index:
         order = tie_order(events.columns)
         ordered = events.orderBy(*order) if order else events
         ordered.withColumn("__doc", F.monotonically_increasing_id()).write.parquet(at("rows"))
-        rows = self.spark.read.schema(T.StructType([*events.schema.fields, T.StructField("__doc", T.LongType())])).parquet(at("rows"))
+        schema = T.StructType([T.StructField(f.name, f.dataType) for f in events.schema.fields] + [T.StructField("__doc", T.LongType())])
+        rows = self.spark.read.schema(schema).parquet(at("rows"))
         tokens = rows.select("__doc", kind_code(events.columns).alias("kind"), *(text.tokens(F.col(c)).alias(f"t{i}") for i, c in enumerate(self.columns)))
         counts = ", ".join(f"n{c} int" for c in range(width))
         postings = tokens.mapInArrow(_postings(width), f"__doc long, kind int, length int, term string, {counts}, positions array<long>")
@@ -382,7 +384,7 @@ class Index:
             counted.repartition("bucket").sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(at("terms"))
         lengths = self._of([seg], [""], "length_sum", "shard") if n else None
         total, shards = lengths.agg(F.sum("length_sum"), F.countDistinct("shard")).head() if n else (0, 0)
-        return seg, Segment(n, int(total or 0), int(shards))
+        return seg, Segment(n, int(total or 0), int(shards), schema=schema.json())
 
     def add(self, events: DataFrame, notes: dict | None = None) -> None:
         """A segment of these rows. Rows are taken as new; drop those already there before."""
@@ -410,7 +412,7 @@ class Index:
             merged.write.mode("overwrite").parquet(f"{self.path}/deletes/seg={seg}/{version}")
             own = self.spark.read.schema("shard long, ids array<long>").parquet(f"{self.path}/deletes/seg={seg}/{version}").select(F.lit(seg).cast("long").alias("seg"), "shard", "ids")
             sizes = self._with_roles(self._of([seg], [""], *BLOCK_COLUMNS), own).groupBy("seg", "shard").applyInArrow(_gone_lengths, "n long, total long").agg(F.sum("n"), F.sum("total")).head()
-            segments[seg] = Segment(s.n, s.total, s.shards, int(sizes[0] or 0), int(sizes[1] or 0), version)
+            segments[seg] = replace(s, gone=int(sizes[0] or 0), gone_total=int(sizes[1] or 0), deletes=version)
         self._fs("")[0].delete(self._fs(first.removeprefix(f"{self.path}/"))[1], True)
         if touched:
             self._publish(segments)
@@ -459,10 +461,19 @@ class Index:
             out = p if out is None else out.unionByName(p)
         return out
 
+    def _stored(self, segments: list[int]) -> DataFrame:
+        """The rows of segments as they were written, in the columns of all of them."""
+        fields: dict[str, T.StructField] = {}
+        for s in segments:
+            for f in T.StructType.fromJson(json.loads(self.stats()[s].schema)).fields:
+                fields.setdefault(f.name, f)
+        schema = T.StructType([*fields.values(), T.StructField("seg", T.LongType())])
+        return self.spark.read.schema(schema).option("basePath", f"{self.path}/rows").parquet(*(f"{self.path}/rows/seg={s}" for s in segments))
+
     def rows(self, segments: list[int] | None = None) -> DataFrame:
         """The indexed rows with seg and __doc, without those that are gone."""
         own = [s for s in (segments or self.stats())]
-        read = self.spark.read.option("basePath", f"{self.path}/rows").option("mergeSchema", len(own) > 1).parquet(*(f"{self.path}/rows/seg={s}" for s in own)).withColumn("seg", F.col("seg").cast("long"))
+        read = self._stored(own)
         gone = self._deleted(own)
         return read if gone is None else read.join(gone.select("seg", F.explode("ids").alias("__doc")), _DOC, "left_anti")
 
@@ -538,7 +549,7 @@ class Index:
             return self.rows().limit(0).drop(*_DOC).withColumn("score", F.lit(0.0))
         # gone rows have no score, so the join needs no look at them
         own = [seg for seg, s in self.stats().items() if s.n > s.gone]
-        rows = self.spark.read.option("basePath", f"{self.path}/rows").option("mergeSchema", len(own) > 1).parquet(*(f"{self.path}/rows/seg={s}" for s in own)).withColumn("seg", F.col("seg").cast("long"))
+        rows = self._stored(own)
         return rows.join(found, _DOC).drop(*_DOC)
 
     def shard_bounds(self, q: _Query, segments: list[int]) -> DataFrame:
@@ -573,17 +584,28 @@ class Index:
         cut = lambda found: sorted(found, key=lambda r: (-round(r[2], 9), r[1]))
         take = lambda df: [(r.seg, r["__doc"], r.score) for r in df.select("seg", "__doc", "score", F.round("score", 9).alias("r")).withColumn("n", F.row_number().over(Window.partitionBy("seg").orderBy(F.desc("r"), "__doc"))).where(F.col("n") <= k).collect()]
         if sum(self.stats()[s].shards for s in segments) <= first:
-            return cut(take(self._run(q, segments, k, **given)))
+            return cut(self._first(self._run(q, segments, k, **given), k))
         bounds = self.shard_bounds(q, segments)
         head = [(r.seg, r.shard) for r in bounds.orderBy(F.desc("bound"), "seg", "shard").limit(first).collect()]
         one = lambda pairs: F.expr(" OR ".join(f"(seg = {s} AND shard = {h})" for s, h in pairs) or "false")
-        found = take(self._run(q, segments, k, shards=lambda b: b.where(one(head)), **given))
+        found = self._first(self._run(q, segments, k, shards=lambda b: b.where(one(head)), **given), k)
         scores = sorted((s for _, _, s in found), reverse=True)
         floor = scores[k - 1] if len(scores) >= k else None
         rest = bounds.where(~one(head)) if floor is None else bounds.where(~one(head) & (F.col("bound") + 2e-9 >= floor))
         found += take(self._run(q, segments, k, floor=None if floor is None else floor - 1e-9, shards=lambda b: b.join(rest.select("seg", "shard"), ["seg", "shard"], "left_semi"), **given))
         return cut(found)
 
+    @staticmethod
+    def _first(found: DataFrame, k: int) -> list[tuple[int, int, float]]:
+        """Each segment's k best of some shards' k best: at most FIRST times k rows."""
+        rows = sorted(((r.seg, r["__doc"], r.score) for r in found.select("seg", "__doc", "score").collect()), key=lambda r: (r[0], -round(r[2], 9), r[1]))
+        out, seen = [], {}
+        for r in rows:
+            seen[r[0]] = seen.get(r[0], 0) + 1
+            if seen[r[0]] <= k:
+                out.append(r)
+        return out
+
     def top(self, terms: list[str], k: int, **given) -> DataFrame:
         """The k best rows with `score`, and their ties; only they are read. given: as best() takes it."""
         found = self.best(terms, k, **given)
@@ -595,27 +617,20 @@ class Index:
 
     def fetched(self, found: list[tuple[int, int, float]]) -> DataFrame:
         """Rows of these keys with their scores: files and pages that hold none are not read."""
-        by: dict[int, list[int]] = {}
-        for seg, doc, _ in found:
-            by.setdefault(seg, []).append(doc)
-        own = list(by)
-        rows = self.spark.read.option("basePath", f"{self.path}/rows").option("mergeSchema", len(own) > 1).parquet(*(f"{self.path}/rows/seg={s}" for s in own)).withColumn("seg", F.col("seg").cast("long"))
-        docs = sorted({d for ds in by.values() for d in ds})
-        wanted = F.col("__doc").isin(docs) if len(docs) > 200 else _any([F.col("__doc") == d for d in docs])
-        keys = self.spark.createDataFrame(pa.table({"seg": pa.array([s for s, _, _ in found], pa.int64()), "__doc": pa.array([d for _, d, _ in found], pa.int64()), "score": pa.array([float(x) for _, _, x in found])}))
-        return rows.where(wanted).join(F.broadcast(keys), _DOC).drop(*_DOC)  # as many keys as a page has
+        rows = self._stored(sorted({s for s, _, _ in found}))
+        if len(found) > FEW:
+            keys = self.spark.createDataFrame(pa.table({"seg": pa.array([s for s, _, _ in found], pa.int64()), "__doc": pa.array([d for _, d, _ in found], pa.int64()), "score": pa.array([float(x) for _, _, x in found])}))
+            return rows.where(F.col("__doc").isin(sorted({d for _, d, _ in found}))).join(F.broadcast(keys), _DOC).drop(*_DOC)  # as many keys as a page has
+        wanted = F.expr(" OR ".join(f"__doc = {d}" for d in sorted({d for _, d, _ in found})))  # equalities reach the scan, a long IN does not
+        score = F.expr(f"try_element_at(map({', '.join(f'{chr(39)}{s}/{d}{chr(39)}, {float(x)!r}D' for s, d, x in found)}), concat(seg, '/', __doc))")
+        return rows.where(wanted).withColumn("score", score).where("score is not null").drop(*_DOC)
 
 
+#: Keys of a page that are looked up by value rather than by a join.
+FEW = 200
 BLOCK_COLUMNS = ("shard", "term", "first_doc", "last_doc", "most", "least", "docs", "lengths", "counts", "kinds", "positions")
 
 
-def _any(tests: list[Column]) -> Column:
-    """A balanced disjunction: pushed down whole, however many there are."""
-    while len(tests) > 1:
-        tests = [tests[i] | tests[i + 1] if i + 1 < len(tests) else tests[i] for i in range(0, len(tests), 2)]
-    return tests[0]
-
-
 def _gone_lengths(_key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
     """How many rows of a shard are gone, and their lengths."""
     role = table.column("role").to_numpy()
