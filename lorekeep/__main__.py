@@ -58,9 +58,7 @@ def history(home: Home, lines: bool = False) -> api.History:
         embedder = vector.HashingEmbedder()
         vectors = home.spark.read.parquet(f"{home.store.path}/vectors")
         units = vector.embedding_units(events).select("dedupe_key", "text_hash").join(vectors, "text_hash")
-    found = api.History(events, raw.scan_home(home.spark, home.path).where("complete") if lines else None, units, embedder)
-    found.tables.index = home.search_index()
-    return found
+    return api.History(events, raw.scan_home(home.spark, home.path).where("complete") if lines else None, units, embedder, home.tables())
 
 
 def _keyed(envelopes: DataFrame) -> DataFrame:

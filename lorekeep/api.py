@@ -54,9 +54,13 @@ def failure(error: Exception) -> dict:
 class History:
     """events: the table that document.with_documents() gives, with raw_file, raw_line and raw_offset."""
 
-    def __init__(self, events: DataFrame, lines: DataFrame | None = None, units: DataFrame | None = None, embedder: vector.Embedder | None = None):
+    def __init__(self, events: DataFrame, lines: DataFrame | None = None, units: DataFrame | None = None, embedder: vector.Embedder | None = None, tables: search.Tables | None = None):
+        """tables: what a store keeps beside its events; without them all are derived at each answer."""
         self.lines, self.embedder = lines, embedder
-        self.tables = search.Tables(events, events.select("tool", "session_id", "filename_session_id").distinct(), derive.event_files(events), derive.tool_events(events), derive.event_refs(events), units)
+        if tables is not None:
+            tables.units = units
+        self.kept = tables is not None
+        self.tables = tables or search.Tables(events, events.select("tool", "session_id", "filename_session_id").distinct(), derive.event_files(events), derive.tool_events(events), derive.event_refs(events), units)
 
     @classmethod
     def of(cls, envelopes: DataFrame, **more) -> History:
@@ -88,7 +92,7 @@ class History:
 
     def list_sessions(self, tool: str | None = None, cwd: str | None = None, since: str | None = None, limit: int = 20) -> dict:
         search.bounded("sessions", limit, strict=True)
-        found = sessions.triage(self.tables.events, self.tables.tools, self.tables.files, tool, cwd, since, limit)
+        found = sessions.triage(self.tables.events, self.tables.tools, self.tables.files, tool, cwd, since, limit, self.tables.sessions if self.kept else None)
         return fitted({"sessions": [r.asDict(True) for r in found.collect()]}, "sessions")
 
     def get_session(self, tool: str, session_id: str, redacted: bool = False, **window) -> dict:

@@ -11,3 +11,7 @@ class NotFoundError(LookupError):
 
 class UnavailableError(RuntimeError):
     """A search mode was forced that the store cannot serve."""
+
+
+class DamagedError(RuntimeError):
+    """A file does not hold what was written to it; what can be made anew is."""

@@ -27,8 +27,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..errors import UnavailableError
 from ..functions import text
+from ..manifests import Manifest
 from ..schema import CANONICAL_TYPES, TEXT_COLUMNS, TOOLS, WEIGHTS
 from .lexical import K1, B, LEAST_IDF
 
@@ -304,48 +304,27 @@ def _scored(q: _Query, columns: int, k: int | None, floor: float | None, kinds:
 class Index:
     def __init__(self, spark: SparkSession, path: str, columns: tuple[str, ...] = TEXT_COLUMNS):
         self.spark, self.path, self.columns = spark, path.rstrip("/"), columns
+        self._manifest = Manifest(spark, f"{self.path}/manifest")
         self._known: tuple[int, dict[int, Segment], dict] | None = None
         self._df: dict[tuple[str, ...], int] = {}
 
     # manifest
 
     def _fs(self, name: str):
-        p = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
+        p = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}".rstrip("/"))
         return p.getFileSystem(self.spark._jsc.hadoopConfiguration()), p
 
     def manifest(self) -> tuple[int, dict[int, Segment], dict]:
         """(version, live segments, notes of who writes it)."""
         if self._known is None:
-            fs, p = self._fs("manifest")
-            found = sorted((int(s.getPath().getName().removesuffix(".json")) for s in fs.listStatus(p) if s.getPath().getName().endswith(".json")), reverse=True) if fs.exists(p) else []
-            self._known = (0, {}, {})
-            for v in found:
-                _, q = self._fs(f"manifest/{v}.json")
-                stream = fs.open(q)
-                read = bytes(stream.readAllBytes()).decode()
-                stream.close()
-                try:
-                    said = json.loads(read)
-                except ValueError:  # being written
-                    continue
-                self._known = (v, {int(k): Segment(**s) for k, s in said["segments"].items()}, said["notes"])
-                break
+            version, said = self._manifest.read()
+            self._known = (version, {int(k): Segment(**s) for k, s in said.get("segments", {}).items()}, said.get("notes", {}))
         return self._known
 
     def _publish(self, segments: dict[int, Segment], notes: dict | None = None) -> None:
-        """The next manifest. Two writers cannot both write it: the later one fails and leaves the index as it was."""
         version, _, old = self.manifest()
-        fs, p = self._fs(f"manifest/{version + 1}.json")
-        try:
-            out = fs.create(p, False)
-        except Exception as e:
-            if "exist" not in str(e):
-                raise
-            self._known = None
-            raise UnavailableError("another writer has changed this index") from None
-        out.write(bytearray(json.dumps({"segments": {str(k): asdict(s) for k, s in segments.items()}, "notes": old if notes is None else notes}).encode()))
-        out.close()
         self._known, self._df = None, {}
+        self._manifest.write(version, {"segments": {str(k): asdict(s) for k, s in segments.items()}, "notes": old if notes is None else notes})
 
     def note(self, **notes) -> None:
         """Keep notes with the index, such as how far its source has been read."""

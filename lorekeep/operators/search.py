@@ -174,7 +174,7 @@ def search(t: Tables, query: str, filters: Filters | None = None, mode: str = "a
     fetch = overfetch(offset, limit)
     if t.index is not None:
         best = indexed(t, terms, filters, fetch + 1)
-        ranked, overflow = top(t.index.fetched(best), fetch + 1), len(best) > fetch
+        ranked, overflow = (top(t.index.fetched(best), fetch + 1) if best else t.events.limit(0).withColumns({"score": F.lit(0.0), "rank": F.lit(0)})), len(best) > fetch
     else:
         ranked, overflow = top(apply_filters(lexical.rank(lexical.tokenized(t.events), terms), filters, t), fetch + 1), None
     if used == "hybrid":

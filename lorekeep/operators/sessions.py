@@ -42,6 +42,33 @@ def last_types(events: DataFrame) -> DataFrame:
     return events.groupBy(*SESSION).agg(F.max_by("canonical_type", at).alias("last_event_type"))
 
 
+def partials(events: DataFrame) -> DataFrame:
+    """Facts of each session in a batch of events, in a form that merges with those of other batches: counts, and extremes with where they stand."""
+    kind = F.col("canonical_type")
+    optional = lambda c: F.col(c) if c in events.columns else F.lit(None).cast("string")
+    arrival = [F.col("raw_file").alias("f"), F.col("raw_line").alias("l")]
+    first = lambda c: F.min(F.when(optional(c).isNotNull(), F.struct(*arrival, optional(c).alias("v")))).alias(c)
+    prompt = F.struct(F.col("sequence").isNull().alias("none"), F.col("sequence").alias("s"), *arrival, F.col("user_text").alias("v"))
+    last = F.struct(F.col("captured_at").alias("t"), F.col("raw_line").alias("l"), F.coalesce("raw_offset", F.lit(-1)).alias("o"), kind.alias("v"))
+    return events.groupBy(*SESSION).agg(
+        F.min("filename_session_id").alias("filename_session_id"), F.count(F.lit(1)).alias("event_count"), F.count_if(kind.isin("user.message", "assistant.delta", "assistant.message", "tool.result")).alias("message_count"),
+        F.count_if(kind.isin("tool.call", "tool.result")).alias("tool_event_count"), F.count_if(kind.isin("compaction.before", "compaction.after")).alias("compaction_count"),
+        F.min("captured_at").alias("started_at"), F.max("captured_at").alias("updated_at"), first("project_root"), first("cwd"), first("raw_file"),
+        F.min(F.when(kind == "user.message", prompt)).alias("prompt"), F.max(last).alias("last"),
+    )
+
+
+def merged(parts: DataFrame) -> DataFrame:
+    """Sessions from the facts of their batches."""
+    sums = [F.sum(c).alias(c) for c in ("event_count", "message_count", "tool_event_count", "compaction_count")]
+    least = [F.min(c).alias(c) for c in ("filename_session_id", "started_at", "project_root", "cwd", "raw_file", "prompt")]
+    out = parts.groupBy(*SESSION).agg(*sums, *least, F.max("updated_at").alias("updated_at"), F.max("last").alias("last"))
+    return out.select(
+        *SESSION, "filename_session_id", "event_count", "message_count", "tool_event_count", "compaction_count", "started_at", "updated_at", F.col("project_root.v").alias("project_root"), F.col("cwd.v").alias("cwd"),
+        F.col("raw_file.v").alias("raw_file"), text.ellipsis(F.col("prompt.v"), PROMPT).alias("first_user_prompt"), F.col("last.v").alias("last_event_type"),
+    )
+
+
 def latest_per_tool(events: DataFrame) -> DataFrame:
     at = F.struct("captured_at", "raw_file", "raw_line")
     return events.groupBy("tool").agg(F.max(F.struct(at.alias("at"), F.col("session_id"), F.col("canonical_type"))).alias("m")).select("tool", "m.session_id", "m.at.captured_at", "m.at.raw_line", "m.canonical_type")
@@ -60,10 +87,12 @@ def listed(values: DataFrame, column: str, name: str) -> DataFrame:
     return values.groupBy(*SESSION).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", one.alias("v")))), lambda x: x["v"]), ",").alias(name))
 
 
-def triage(events: DataFrame, tools: DataFrame | None = None, files: DataFrame | None = None, tool: str | None = None, cwd: str | None = None, since: str | None = None, limit: int = 50) -> DataFrame:
-    """Sessions, latest first, with what one needs to tell them apart; one grouped pass for each fact instead of a query a session."""
+def triage(events: DataFrame, tools: DataFrame | None = None, files: DataFrame | None = None, tool: str | None = None, cwd: str | None = None, since: str | None = None, limit: int = 50, kept: DataFrame | None = None) -> DataFrame:
+    """Sessions, latest first, with what one needs to tell them apart; one grouped pass for each fact instead of a query a session. kept: facts of
+    sessions that a store keeps, so that events need not be read."""
     limit = search.bounded("sessions", limit)
-    out = counts(events).join(bounds(events), SESSION)
+    facts = ["event_count", "message_count", "tool_event_count", "compaction_count", "started_at", "updated_at", "project_root", "cwd", "raw_file"]
+    out = counts(events).join(bounds(events), SESSION) if kept is None else kept.select(*SESSION, *facts, "first_user_prompt", "last_event_type")
     if tool and tool != "all":
         out = out.where(F.col("tool") == tool)
     if cwd:
@@ -71,8 +100,11 @@ def triage(events: DataFrame, tools: DataFrame | None = None, files: DataFrame |
     if since:
         out = out.where(F.col("updated_at") >= times.threshold(since))
     out = out.orderBy(F.desc("updated_at"), *SESSION).limit(limit)
-    for more in (first_prompts(events), last_types(events)):
+    for more in (first_prompts(events), last_types(events)) if kept is None else ():
         out = out.join(more, SESSION, "left")
+    if kept is not None:  # a page of sessions meets the tables
+        page = F.broadcast(out.select(*SESSION))
+        tools, files = (x if x is None else x.join(page, SESSION, "left_semi") for x in (tools, files))
     if tools is not None:
         out = out.join(listed(top_values(tools, "tool_name"), "tool_name", "top_tools"), SESSION, "left")
     if files is not None:

@@ -7,11 +7,12 @@ from __future__ import annotations
 
 import json
 import re
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import paths
@@ -20,13 +21,16 @@ from ..functions import times
 from ..schema import ENVELOPE, TOOLS
 from ..sources import raw
 from ..streaming import incremental
-from . import maintain
+from . import maintain, search
 from .index import Index
+from .ledger import Ledger
 
 #: What lies in a home, and what losing it means: authoritative cannot be made again, derived can, model and config are set up.
 ENTRIES = {"raw": "authoritative", "blobs": "authoritative", "index": "derived", "spool": "derived", "logs": "derived", "backups": "derived", "models": "model", "config.json": "config"}
 FOLDERS = (*(f"raw/{t}" for t in TOOLS), "blobs/sha256", "index", "spool/dedupe", "logs", "backups", "models")
-KEYS = "raw_file string, dedupe_key string"
+WRITTEN = "raw_file string, lines long, bytes long, last_offset long, last_hash string, end long, torn boolean"
+#: Seconds that an append or a purge waits for another writer.
+WAIT = 60
 
 
 def _filesystem(path: str):
@@ -37,41 +41,81 @@ def _filesystem(path: str):
     return fs.FileSystem.from_uri(path)
 
 
+def _local(path: str) -> bool:
+    return path.startswith(("/", "file:"))
+
+
+class _Tail:
+    """The end of a log from `base` on, written by one task. Whatever an earlier attempt has written there is written over by the same bytes;
+    a file system that cannot do that gets the log as a new file, moved into place when it is whole."""
+
+    def __init__(self, path: str, base: int, torn: bool):
+        self.system, self.inner = _filesystem(path)
+        self.lines = self.size = self.last = 0
+        self.base, self.torn, self.line = base + torn, torn, b""
+        if _local(path):
+            self.out = open(self.inner, "r+b" if base else "wb")  # noqa: SIM115
+            self.out.seek(base)
+        else:
+            self.aside = f"{self.inner}.{uuid.uuid4().hex}"
+            self.out = self.system.open_output_stream(self.aside)
+            if base:
+                with self.system.open_input_file(self.inner) as old:
+                    for at in range(0, base, 1 << 20):
+                        self.out.write(old.read(min(1 << 20, base - at)))
+        if torn:  # a line that was never ended stays a line of its own
+            self.out.write(b"\n")
+
+    def write(self, line: str) -> None:
+        body = line.encode() + b"\n"
+        self.out.write(body)
+        self.last, self.line = self.base + self.size, body
+        self.lines, self.size = self.lines + 1, self.size + len(body)
+
+    def close(self) -> None:
+        if hasattr(self, "aside"):
+            self.out.close()
+            self.system.move(self.aside, self.inner)
+        else:
+            self.out.truncate()
+            self.out.close()
+
+
 def _appended(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Lines in order of file go to the end of their files. A task that runs again may write lines twice; their keys make that harmless."""
-    counts: dict[str, list[int]] = {}
+    """Lines in order of file go to the end of their files."""
+    tail, now = None, None
+
+    def close() -> pa.RecordBatch:
+        tail.close()
+        row = (now, tail.lines, tail.size, tail.last, raw.line_hash(tail.line), tail.base + tail.size, tail.torn)
+        kinds = (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.bool_())
+        return pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(row, kinds, strict=True)], [f.split()[0] for f in WRITTEN.split(", ")])
+
     for batch in batches:
-        files, lines = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-        at = 0
-        while at < len(files):
-            to = at
-            while to < len(files) and files[to] == files[at]:
-                to += 1
-            body = "".join(x + "\n" for x in lines[at:to]).encode()
-            system, inner = _filesystem(files[at])
-            with system.open_append_stream(inner) as out:
-                out.write(body)
-            n = counts.setdefault(files[at], [0, 0])
-            n[0] += to - at
-            n[1] += len(body)
-            at = to
-    if counts:
-        yield pa.RecordBatch.from_arrays([pa.array(list(counts)), pa.array([n for n, _ in counts.values()], pa.int64()), pa.array([b for _, b in counts.values()], pa.int64())], ["raw_file", "lines", "bytes"])
+        for path, base, torn, line in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+            if path != now:
+                if tail is not None:
+                    yield close()
+                tail, now = _Tail(path, base, torn), path
+            tail.write(line)
+    if tail is not None:
+        yield close()
 
 
 def _rewritten(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Files in order, each with the lines that stay: written aside and moved into place; a file without lines goes. A row without a line
     only names its file."""
-    now, out, lines = None, None, 0
+    now, out, lines, aside = None, None, 0, None
 
     def close():
         system, inner = _filesystem(now)
         out.close()
         if lines:
-            system.move(inner + ".purging", inner)
+            system.move(aside, inner)
         else:
-            system.delete_file(inner + ".purging")
-            system.delete_file(inner)
+            system.delete_file(aside)
+            if system.get_file_info(inner).is_file:  # an earlier attempt may have done it
+                system.delete_file(inner)
         return pa.RecordBatch.from_arrays([pa.array([now]), pa.array([lines], pa.int64())], ["raw_file", "lines"])
 
     for batch in batches:
@@ -80,7 +124,8 @@ def _rewritten(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if now is not None:
                     yield close()
                 system, inner = _filesystem(path)
-                now, out, lines = path, system.open_output_stream(inner + ".purging"), 0
+                aside = f"{inner}.{uuid.uuid4().hex}.purging"
+                now, out, lines = path, system.open_output_stream(aside), 0
             if line is not None:
                 out.write(line.encode() + b"\n" * ended)
                 lines += 1
@@ -105,6 +150,7 @@ class Home:
     def __post_init__(self):
         self.path = re.sub("^file:/+", "file:/", self.path.rstrip("/"))  # as listings name local files
         self.store = incremental.Store(self.spark, f"{self.path}/index")
+        self.ledger = Ledger(self.spark, f"{self.path}/spool/dedupe")
 
     def _fs(self, name: str = ""):
         return self.store._fs(f"{self.path}/{name}".rstrip("/"))
@@ -131,29 +177,46 @@ class Home:
 
     def append(self, envelopes: DataFrame) -> DataFrame:
         """(raw_file, lines, bytes): keyed envelopes whose key no log of their session holds, each session's at the end of its log in order of
-        sequence. Sessions are dealt to tasks, so a log has one writer."""
+        sequence. Sessions are dealt to tasks, so a log has one writer, and one append or pass runs at a time. Logs are read only where they
+        grew since the ledger saw them."""
         columns = [F.col(c) if c in envelopes.columns else F.lit(None).cast(ENVELOPE[c].dataType).alias(c) for c in ENVELOPE.names if c not in ("raw_file", "raw_offset")]
-        rows = envelopes.select(*columns).withColumn("__file", self.raw_file(F.col("tool"), F.col("filename_session_id")))
-        w = Window.partitionBy("__file", "dedupe_key").orderBy(F.asc_nulls_last("sequence"), "captured_at")
-        rows = rows.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n")
-        rows = rows.join(self.keys().withColumnRenamed("raw_file", "__file"), ["__file", "dedupe_key"], "left_anti")
-        # the payload goes into the line as it is, not as text
-        names = [c for c in rows.columns if c not in ("__file", "payload")]
-        head = F.to_json(F.struct(*names))
-        line = F.when(F.col("payload").isNull(), head).otherwise(F.concat(F.expr("substring(__head, 1, length(__head) - 1)"), F.lit(',"payload":'), F.col("payload"), F.lit("}")))
-        rows = rows.withColumn("__head", head).withColumn("__line", line)
-        written = rows.repartition("__file").sortWithinPartitions("__file", F.asc_nulls_last("sequence"), "captured_at", "dedupe_key").select("__file", "__line").mapInArrow(_appended, "raw_file string, lines long, bytes long")
-        report = paths.staged(written, "appended")
-        self.rebuild_keys()
-        return report
+        rows = envelopes.select(*columns).withColumn("raw_file", self.raw_file(F.col("tool"), F.col("filename_session_id")))
+        rows = paths.staged(rows, "envelopes")  # shaping them may be dear
+        # the first of a key, combined before the shuffle
+        row = F.struct(*rows.columns)
+        arrival = F.struct(F.col("sequence").isNull(), "sequence", "captured_at", F.xxhash64(*(c for c in rows.columns)))
+        keyed = rows.where("dedupe_key is not null").groupBy("raw_file", "dedupe_key").agg(F.min_by(row, arrival).alias("__row")).select("__row.*")
+        rows = keyed.unionByName(rows.where("dedupe_key is null"))
+        with self.store.lock(WAIT):
+            logs = self.logs()
+            self.ledger.refresh(logs)
+            rows = self.ledger.unseen(rows, logs)
+            # the payload goes into the line as it is, not as text
+            names = [c for c in rows.columns if c not in ("raw_file", "payload")]
+            head = F.to_json(F.struct(*names))
+            line = F.when(F.col("payload").isNull(), head).otherwise(F.concat(F.expr("substring(__head, 1, length(__head) - 1)"), F.lit(',"payload":'), F.col("payload"), F.lit("}")))
+            ends = self.ledger.covered().where("source_size >= 0").select(F.col("source_path").alias("raw_file"), "source_size", "byte_offset")
+            rows = rows.withColumn("__head", head).withColumn("__line", line).join(ends, "raw_file", "left")
+            base = F.coalesce("source_size", F.lit(0)).alias("base")
+            lines = rows.select("raw_file", base, F.coalesce(F.col("source_size") > F.col("byte_offset"), F.lit(False)).alias("torn"), "__line", "sequence", "captured_at", "dedupe_key", "tool", "session_id", "payload_ref")
+            lines = paths.staged(lines, "lines")
+            if lines.isEmpty():
+                return self.spark.createDataFrame([], "raw_file string, lines long, bytes long")
+            ordered = lines.repartition("raw_file").sortWithinPartitions("raw_file", F.asc_nulls_last("sequence"), "captured_at", "dedupe_key", "__line").select("raw_file", "base", "torn", "__line")
+            report = paths.staged(ordered.mapInArrow(_appended, WRITTEN), "appended")
+            self.ledger.record(lines, report, self.logs())
+        return report.select("raw_file", "lines", "bytes")
 
     # keys beside the logs
 
     def keys(self) -> DataFrame:
-        """(raw_file, dedupe_key) of every log, from the table beside them; one that no longer fits its logs is made anew first."""
-        if not self.keys_fit():
-            self.rebuild_keys()
-        return self.spark.read.schema(KEYS).parquet(f"{self.path}/spool/dedupe/keys")
+        """(raw_file, dedupe_key) of every log; logs that grew or changed are looked at first."""
+        self.ledger.refresh(self.logs())
+        return self.ledger.keys()
+
+    def keys_fit(self) -> bool:
+        """Whether the ledger covers the logs as they are."""
+        return self.ledger.fits(self.logs())
 
     def logs(self) -> DataFrame:
         """(raw_file, size, modified) of the logs, with names as append() writes them."""
@@ -166,86 +229,108 @@ class Home:
         plain = F.regexp_replace("raw_file", "^file:/+", "/") if self.path.startswith("/") else F.col("raw_file")
         return listed.withColumn("raw_file", plain)
 
-    def keys_fit(self) -> bool:
-        """Whether the table of keys was made from the logs as they are: the same files at the same sizes."""
-        fs, p = self._fs("spool/dedupe/meta/_SUCCESS")
-        if not fs.exists(p):
-            return False
-        meta = self.spark.read.schema("raw_file string, raw_len long, key_count long").parquet(f"{self.path}/spool/dedupe/meta")
-        both = self.logs().join(meta, "raw_file", "full").where("size is null or raw_len is null or size <> raw_len")
-        return both.isEmpty()
-
-    def rebuild_keys(self) -> None:
-        logs = self.logs()
-        found = raw.lines_from(logs.withColumns({"resume_offset": F.lit(0).cast("long"), "last_line": F.lit(0).cast("long")}))
-        keys = found.select("raw_file", F.get_json_object("line", "$.dedupe_key").alias("dedupe_key")).where("dedupe_key is not null").distinct()
-        keys = paths.staged(keys, "keys")
-        keys.write.mode("overwrite").parquet(f"{self.path}/spool/dedupe/keys")
-        counted = logs.join(keys.groupBy("raw_file").agg(F.count(F.lit(1)).alias("key_count")), "raw_file", "left")
-        counted.select("raw_file", F.col("size").alias("raw_len"), F.coalesce("key_count", F.lit(0)).alias("key_count")).write.mode("overwrite").parquet(f"{self.path}/spool/dedupe/meta")
-
     # search
 
     def search_index(self) -> Index:
-        """The inverted index of the store's events, kept beside them. It is looked at again when a pass wrote checkpoints since: new events
-        become a segment, and it is built anew after a purge took some away."""
+        """The inverted index of the store's events, kept beside them. It follows the store: batches that it has not seen become a segment, events
+        that a purge took away or moved are marked as gone, and tiers are merged."""
         index = Index(self.spark, f"{self.store.path}/search")
-        version = (self.store.versions() or [0])[-1]
-        fs, mark = self.store._fs(f"{index.path}/version-{version}")
-        if fs.exists(mark):
-            return index
-        events = self.store.events()
-        if index.stats():
-            there = index.rows().select("dedupe_key")
-            if there.join(events, "dedupe_key", "left_anti").isEmpty():
-                events = events.join(there, "dedupe_key", "left_anti")
-            else:
-                fs.delete(self.store._fs(index.path)[1], True)
-                index = Index(self.spark, index.path)
-        if not events.isEmpty():
-            index.add(events)
-        fs.create(mark).close()
+        state, notes = self.store.state(), {"seen": [], "purges": []} | index.manifest()[2]
+        for number in (p for p in state["purges"] if p not in notes["purges"]):
+            changed = self.store.purged(number)
+            index.delete(changed)
+            moved = self.store.events().join(changed.where("not gone"), "dedupe_key", "left_semi") if state["batches"] else None
+            # of batches that the index is yet to see, moved events come with them
+            moved = None if moved is None or not notes["seen"] else moved
+            if moved is not None and not moved.isEmpty():
+                index.add(moved)
+            index.note(purges=[*index.manifest()[2].get("purges", []), number])
+        new, mixed = self.store.unseen(notes["seen"])
+        if mixed is not None:
+            mixed = mixed.join(index.rows().select("dedupe_key"), "dedupe_key", "left_anti") if index.stats() else mixed
+            new = mixed if new is None else new.unionByName(mixed, allowMissingColumns=True)
+        seen = sorted({*notes["seen"], *state["batches"], *(x for b in state["batches"].values() for x in b["from"])}, key=int)
+        if new is not None and not new.isEmpty():
+            index.add(new, {"seen": seen})
+            index.compact()
+        elif seen != notes["seen"]:
+            index.note(seen=seen)
         return index
 
+    def tables(self) -> search.Tables:
+        """The store's events with what passes derived from them, and the index."""
+        view = self.store.view
+        return search.Tables(self.store.events(), view("sessions"), view("event_files"), view("tool_events"), view("event_refs"), index=self.search_index())
+
     # purges
 
     def purge(self, tool: str | None = None, session_id: str | None = None, before: str | None = None) -> dict[str, int]:
-        """Remove a session, or what was captured before an instant, from the logs, the store and the blobs. The lines that stay are kept
-        aside before any file changes; logs left without lines go; logs that changed are indexed anew, as their lines moved."""
+        """Remove a session, or what was captured before an instant, from the logs, the store and the blobs. Only logs are opened whose zones
+        may hold such lines. The lines that stay are kept aside before any file changes; logs left without lines go; in the store, batches
+        that hold events of such logs are written anew, with the new places of the events that stay."""
         if (session_id is None) == (before is None) or (session_id is not None and tool not in TOOLS):
             raise ValidationError("name a session of a tool, or an instant")
-        found = raw.lines_from(self.logs().withColumns({"resume_offset": F.lit(0).cast("long"), "last_line": F.lit(0).cast("long")}))
+        with self.store.lock(WAIT):
+            return self._purge(tool, session_id, before)
+
+    def _purge(self, tool: str | None, session_id: str | None, before: str | None) -> dict[str, int]:
+        logs = self.logs()
+        self.ledger.refresh(logs)
+        limit = None if before is None else times.threshold(before, "before")
+        may = F.array_contains("sessions", f"{tool}\0{session_id}") if session_id is not None else F.col("least") < limit
+        opened = self.ledger.zones().where(may).select("raw_file").distinct()
+        found = raw.lines_from(logs.join(opened, "raw_file", "left_semi").withColumns({"resume_offset": F.lit(0).cast("long"), "last_line": F.lit(0).cast("long")}))
         e = F.from_json("line", ENVELOPE)
-        doomed = (e["tool"] == tool) & (e["session_id"] == session_id) if session_id is not None else e["captured_at"] < times.threshold(before, "before")
-        marked = paths.staged(found.withColumn("doomed", F.coalesce(doomed, F.lit(False))), "purge")
+        doomed = (e["tool"] == tool) & (e["session_id"] == session_id) if session_id is not None else e["captured_at"] < limit
+        marked = paths.staged(found.withColumn("doomed", F.coalesce(doomed, F.lit(False))).withColumn("dedupe_key", e["dedupe_key"]), "purge")
         touched = marked.where("doomed").select("raw_file").distinct()
         gone = marked.where("doomed").count()
+        if not gone:
+            return {"lines": 0, "files": 0, "emptied": 0, "blobs": self.collect_blobs()}
         staying = marked.where("not doomed").join(touched, "raw_file", "left_semi").select("raw_file", "raw_line", "line", "complete")
         named = touched.select("raw_file", F.lit(0).cast("long").alias("raw_line"), F.lit(None).cast("string").alias("line"), F.lit(False).alias("complete"))
         rows = staying.unionByName(named).repartition("raw_file").sortWithinPartitions("raw_file", "raw_line").select("raw_file", "line", "complete")
         files = paths.staged(rows.mapInArrow(_rewritten, "raw_file string, lines long"), "rewritten")
-        events = self.store.events()
-        if events is not None and gone:
-            plain = F.regexp_replace(F.col("raw_file"), "^file:/+", "/") if self.path.startswith("/") else F.col("raw_file")
-            kept = events.withColumn("__file", plain).join(touched.withColumnRenamed("raw_file", "__file"), "__file", "left_anti").drop("__file")
-            self.store.replace(kept)
-            source = F.regexp_replace(F.col("source_path"), "^file:/+", "/") if self.path.startswith("/") else F.col("source_path")
-            left = self.store.checkpoints().withColumn("raw_file", source).join(touched, "raw_file", "left_anti").drop("raw_file")
-            self.store.checkpoint(left)
-            incremental.index_once(self.spark, self.path, self.store)
-        self.rebuild_keys()
+        self.ledger.refresh(self.logs())
+        self._forget(marked, touched)
+        incremental._pass(self.spark, self.path, self.store)
         return {"lines": gone, "files": files.count(), "emptied": files.where("lines = 0").count(), "blobs": self.collect_blobs()}
 
+    def _plain(self, column: str) -> "F.Column":
+        return F.regexp_replace(F.col(column), "^file:/+", "/") if self.path.startswith("/") else F.col(column)
+
+    def _forget(self, marked: DataFrame, touched: DataFrame) -> None:
+        """Take events of lines that went out of the store, and give those behind them their new places."""
+        batches = list(self.store.state()["batches"])
+        if not batches:
+            return
+        touched = paths.staged(touched.withColumnRenamed("raw_file", "__file"), "touched")
+        # an event that another log holds too may be stored from that one
+        gone = marked.where("doomed").select(F.col("raw_file").alias("__file"), "dedupe_key").distinct()
+        own = [b for b in batches if not self.store.events([b]).select(self._plain("raw_file").alias("__file")).join(touched, "__file", "left_semi").isEmpty()]
+        if own:
+            again = raw.lines_from(self.logs().join(touched.withColumnRenamed("__file", "raw_file"), "raw_file", "left_semi").withColumns({"resume_offset": F.lit(0).cast("long"), "last_line": F.lit(0).cast("long")}))
+            places = again.select(F.col("raw_file").alias("__file"), F.get_json_object("line", "$.dedupe_key").alias("dedupe_key"), F.col("raw_line").alias("__line"), F.coalesce(F.get_json_object("line", "$.raw_offset").cast("long"), "raw_offset").alias("__offset"))
+            places = places.where("dedupe_key is not null").groupBy("__file", "dedupe_key").agg(F.min(F.struct("__line", "__offset")).alias("__place"))
+            events = self.store.events(own).withColumn("__file", self._plain("raw_file"))
+            kept = events.join(gone, ["__file", "dedupe_key"], "left_anti").join(places, ["__file", "dedupe_key"], "left")
+            kept = paths.staged(kept.withColumn("__moved", F.coalesce(F.col("__place.__line") != F.col("raw_line"), F.lit(False))), "kept")
+            changed = events.join(gone, ["__file", "dedupe_key"], "left_semi").select("dedupe_key", F.lit(True).alias("gone")).unionByName(kept.where("__moved").select("dedupe_key", F.lit(False).alias("gone")))
+            now = kept.withColumn("raw_line", F.when(F.col("__moved"), F.col("__place.__line")).otherwise(F.col("raw_line"))).withColumn("raw_offset", F.when(F.col("__moved"), F.col("__place.__offset")).otherwise(F.col("raw_offset")))
+            self.store.rewrite(own, now.drop("__file", "__place", "__moved"), paths.staged(changed, "changed"))
+        left = self.store.checkpoints().withColumn("__file", self._plain("source_path")).join(touched, "__file", "left_anti").drop("__file")
+        self.store.checkpoint(left)
+
     def collect_blobs(self) -> int:
-        """Delete the blobs that no line of a log refers to; how many."""
+        """Delete the blobs that no line of a log refers to, as the ledger's zones tell; how many."""
         try:
             blobs = self.spark.read.format("binaryFile").load(f"{self.path}/blobs/sha256/*").select("path", F.concat(F.lit("sha256:"), F.regexp_extract("path", "([^/]*)$", 1)).alias("payload_ref"))
         except Exception as e:  # none there
             if "PATH_NOT_FOUND" not in str(e):
                 raise
             return 0
-        found = raw.lines_from(self.logs().withColumns({"resume_offset": F.lit(0).cast("long"), "last_line": F.lit(0).cast("long")}))
-        orphans = maintain.orphans(blobs, found.select(F.get_json_object("line", "$.payload_ref").alias("payload_ref")))
+        self.ledger.refresh(self.logs())
+        orphans = maintain.orphans(blobs, self.ledger.zones().select(F.explode("refs").alias("payload_ref")))
         return paths.staged(orphans.select("path").mapInArrow(_deleted, "path string"), "blobs").count()
 
     def purge_all(self, dry_run: bool = True, keep: tuple[str, ...] = ()) -> list[dict]:

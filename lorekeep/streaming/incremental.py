@@ -1,13 +1,19 @@
 """Incremental indexing: a store of events and checkpoints, passes over growing logs, and streams of landed files.
 
-A store is a folder: events/ (append only), checkpoints/<n>/ (the newest complete one counts). A pass lists the logs and leaves
-those alone whose size and time of change are the checkpoint's; of the others it looks at the line consumed last, reads on behind
-it if it is still there, else from the top, and appends the events whose key is new. Passing twice changes nothing. A lock keeps
-two passes apart.
+A store is a folder: events/batch=<n>/, views/<name>/batch=<n>/ (what is derived from each batch: sessions, event_files, event_refs, tool_events),
+keys/ and filters/ (keys of all events), purged/<n>/ (keys of events that went or moved), checkpoints/<n>/ (the newest complete one counts)
+and manifest/. A manifest names the batches, generations of keys and purges that count, so a pass is seen whole or not at all, and readers keep
+what they read from while it is replaced.
+
+A pass lists the logs and leaves those alone whose size and time of change are the checkpoint's; of the others it looks at the line
+consumed last, reads on behind it if it is still there, else from the top, and appends the events whose key is new as one batch, with what
+is derived from them. Nothing that was written before is read but the keys' buckets that may hold a new one. Passing twice changes
+nothing. A lock keeps passes, appends and purges apart.
 """
 
 from __future__ import annotations
 
+import math
 import threading
 import time
 import uuid
@@ -15,8 +21,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..errors import UnavailableError
-from ..operators import derive, document
+from ..errors import DamagedError, UnavailableError
+from ..manifests import Manifest
+from ..operators import derive, document, sessions
+from ..operators.keys import KeyTable
 from ..schema import SCHEMA_VERSION, sanitize_session_id
 from ..sources import raw
 
@@ -27,9 +35,20 @@ CHECKPOINT = (
 STALE = 3600
 
 
+#: Batches of a tier that are merged, and events that batches of the first tier have at most.
+FAN, TIER = 8, 10_000
+
+
+def derived(events: DataFrame) -> dict[str, DataFrame]:
+    """What is kept for each batch of events."""
+    return {"sessions": sessions.partials(events), "event_files": derive.event_files(events), "event_refs": derive.event_refs(events), "tool_events": derive.tool_events(events)}
+
+
 class Store:
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
+        self.manifest = Manifest(spark, f"{self.path}/manifest")
+        self.keys = KeyTable(spark, self.path)
 
     def _fs(self, path: str):
         p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -47,8 +66,25 @@ class Store:
         done = [q for q in own if fs.exists(self.spark._jvm.org.apache.hadoop.fs.Path(q, "_SUCCESS"))]
         return sorted(int(q.getName()) for q in done)
 
-    def events(self) -> DataFrame | None:
-        return self.spark.read.option("mergeSchema", True).parquet(f"{self.path}/events") if self.exists("events") else None
+    def state(self) -> dict:
+        """batches: by number, how many events and from which batches they were taken; gens: keys; purges: numbers."""
+        return {"batches": {}, "gens": {}, "purges": []} | self.manifest.read()[1]
+
+    def _batches(self, name: str, batches: list[str]) -> DataFrame | None:
+        own = [f"{self.path}/{name}/batch={b}" for b in batches]
+        return self.spark.read.option("mergeSchema", len(own) > 1).option("basePath", f"{self.path}/{name}").parquet(*own) if own else None
+
+    def events(self, batches: list[str] | None = None) -> DataFrame | None:
+        """The events, or those of some batches."""
+        found = self._batches("events", list(self.state()["batches"]) if batches is None else batches)
+        return None if found is None else found.drop("batch")
+
+    def view(self, name: str) -> DataFrame | None:
+        """A derived table as the passes left it: event_files, event_refs, tool_events, or sessions with their facts."""
+        found = self._batches(f"views/{name}", list(self.state()["batches"]))
+        if found is None:
+            return None
+        return sessions.merged(found.drop("batch")) if name == "sessions" else found.drop("batch")
 
     def checkpoints(self) -> DataFrame:
         """Checkpoints in today's columns; those that an older store lacks are null, so its logs are looked at again."""
@@ -68,33 +104,89 @@ class Store:
     def drop(self, tool: str, source_path: str) -> None:
         self.checkpoint(self.checkpoints().where(~((F.col("tool") == tool) & (F.col("source_path") == source_path))))
 
-    def lock(self) -> Lock:
-        return Lock(self)
+    def lock(self, wait: float = 0) -> Lock:
+        return Lock(self, wait)
+
+    def _fresh(self) -> str:
+        fs, p = self._fs(f"{self.path}/events")
+        return str(1 + max([0, *(int(s.getPath().getName().removeprefix("batch=")) for s in fs.listStatus(p))] if fs.exists(p) else [0]))
+
+    def _write(self, events: DataFrame, batch: str) -> int:
+        """A batch and what is derived from it; how many events."""
+        path = f"{self.path}/events/batch={batch}"
+        events.write.parquet(path)
+        written = self.spark.read.schema(events.schema).parquet(path)
+        for name, rows in derived(written).items():
+            rows.write.parquet(f"{self.path}/views/{name}/batch={batch}")
+        return written.count()
 
     def append(self, events: DataFrame) -> int:
-        """Events whose key is not in the store, the first of each key; how many these were. They are written aside first, so that
+        """Events whose key is not in the store, the first of each key, as a batch; how many these were. They are written aside first, so that
         neither reading logs nor shaping documents is done twice."""
+        version, state = self.manifest.read()[0], self.state()
         aside = f"{self.path}/incoming-{uuid.uuid4().hex}"
         fresh = derive.first_wins(events)
-        stored = self.events()
-        if stored is not None:
-            fresh = derive.new_events(fresh, stored)
         fresh.write.parquet(aside)
-        new = self.spark.read.schema(fresh.schema).parquet(aside)
-        added = new.count()
-        if added:
-            new.write.mode("append").parquet(f"{self.path}/events")
+        rows = self.spark.read.schema(fresh.schema).parquet(aside)
+        try:
+            new = self.keys.unseen(rows, state["gens"], "dedupe_key")
+        except DamagedError:
+            state["gens"] = self.keys.add(self.events().select(F.col("dedupe_key").alias("key")), {})
+            new = self.keys.unseen(rows, state["gens"], "dedupe_key")
+        batch, added = self._fresh(), 0
+        if not new.isEmpty():
+            added = self._write(new, batch)
+            state["gens"] = self.keys.add(self.events([batch]).select(F.col("dedupe_key").alias("key")), state["gens"], added)
+            state["batches"] |= {batch: {"n": added, "from": []}}
+            self.manifest.write(version, state)
         fs, p = self._fs(aside)
         fs.delete(p, True)
         return added
 
-    def replace(self, events: DataFrame) -> None:
-        """These events in place of all; the old ones stay until the new ones are written."""
-        aside = f"{self.path}/events-{uuid.uuid4().hex}"
-        events.write.parquet(aside)
-        fs, old = self._fs(f"{self.path}/events")
-        fs.delete(old, True)
-        fs.rename(self._fs(aside)[1], old)
+    def rewrite(self, batches: list[str], events: DataFrame | None, changed: DataFrame | None = None) -> None:
+        """One batch of these events in place of some batches. changed: keys of events that went or are not what they were, for those who
+        follow the store."""
+        version, state = self.manifest.read()[0], self.state()
+        taken = {b: state["batches"].pop(b) for b in batches}
+        if events is not None:
+            batch = self._fresh()
+            n = self._write(events, batch)
+            if n:
+                state["batches"] |= {batch: {"n": n, "from": sorted({*taken, *(x for t in taken.values() for x in t["from"])}, key=int)}}
+        if changed is not None:
+            number = 1 + max([0, *state["purges"]])
+            changed.select("dedupe_key", "gone").distinct().write.mode("overwrite").parquet(f"{self.path}/purged/{number}")
+            state["purges"] = [*state["purges"], number]
+            gone = self.purged(number).where("gone").select(F.col("dedupe_key").alias("key"))
+            state["gens"] = self.keys.without(gone, state["gens"])
+        self.manifest.write(version, state)
+
+    def purged(self, number: int) -> DataFrame:
+        return self.spark.read.schema("dedupe_key string, gone boolean").parquet(f"{self.path}/purged/{number}")
+
+    def compact(self) -> int:
+        """Merge tiers that have FAN batches; how many batches that took away."""
+        taken = 0
+        while True:
+            tiers: dict[int, list[str]] = {}
+            for b, x in self.state()["batches"].items():
+                tiers.setdefault(max(0, math.ceil(math.log(max(x["n"], 1) / TIER, FAN))), []).append(b)
+            full = next((own for _, own in sorted(tiers.items()) if len(own) >= FAN), None)
+            if full is None:
+                return taken
+            self.rewrite(full, self.events(full))
+            taken += len(full) - 1
+
+    def unseen(self, seen: list[str]) -> tuple[DataFrame | None, DataFrame | None]:
+        """Events of batches that a follower has not seen: those that are surely new, and those of merged batches of which it saw a part."""
+        live, known = self.state()["batches"], set(seen)
+        new, mixed = [], []
+        for b, x in live.items():
+            parts = set(x["from"]) or {b}
+            if b in known or parts <= known:
+                continue
+            (mixed if parts & known else new).append(b)
+        return (self.events(new) if new else None), (self.events(mixed) if mixed else None)
 
     def checkpoint(self, rows: DataFrame) -> None:
         """A new version beside the old one, which readers keep until the new one is complete."""
@@ -103,17 +195,21 @@ class Store:
 
 
 class Lock:
-    """One pass at a time: a file that only one can create, taken over when it is older than STALE seconds."""
+    """One writer at a time: a file that only one can create, waited for `wait` seconds, taken over when it is older than STALE seconds."""
 
-    def __init__(self, store: Store):
+    def __init__(self, store: Store, wait: float = 0):
+        self.wait = wait
         self.fs, self.path = store._fs(f"{store.path}/index.lock")
         self.fs.mkdirs(self.path.getParent())
 
     def __enter__(self) -> Lock:
         if self.fs.exists(self.path) and time.time() - self.fs.getFileStatus(self.path).getModificationTime() / 1000 > STALE:
             self.fs.delete(self.path, False)
-        if not self.fs.createNewFile(self.path):
-            raise UnavailableError("another pass is indexing this store")
+        until = time.time() + self.wait
+        while not self.fs.createNewFile(self.path):
+            if time.time() >= until:
+                raise UnavailableError("another pass is indexing this store")
+            time.sleep(0.2)
         return self
 
     def __exit__(self, *_error) -> None:
