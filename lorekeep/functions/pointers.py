@@ -43,6 +43,11 @@ def text_at(v: Column, *paths: str) -> Column:
     return _first(v, paths, said)
 
 
+def bare_at(v: Column, *paths: str) -> Column:
+    """The first of the paths that holds text that is not empty, as it is written."""
+    return _first(v, paths, lambda x: F.when(F.schema_of_variant(x) == "STRING", F.nullif(F.try_variant_get(x, "$", "string"), F.lit(""))))
+
+
 def long_at(v: Column, *paths: str) -> Column:
     """The first of the paths that holds a whole number, written as a number or as text."""
     spelled = lambda x: F.trim(F.when(F.schema_of_variant(x).isin("BIGINT", "STRING"), F.try_variant_get(x, "$", "string")))
@@ -52,8 +57,3 @@ def long_at(v: Column, *paths: str) -> Column:
 def true_at(v: Column, path: str) -> Column:
     """Whether the path holds a true boolean."""
     return F.coalesce((kind_at(v, path) == "BOOLEAN") & (at(v, path) == "true"), F.lit(False))
-
-
-def spread(prefixes: str, names: str) -> list[str]:
-    """Every name below every prefix, prefix by prefix; `.` is the top."""
-    return [n if p == "." else f"{p}.{n}" for p in prefixes.split() for n in names.split()]

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.pointers import at, kind_at, long_at, parsed, spread, text_at, true_at
+from ..functions.pointers import at, bare_at, kind_at, long_at, parsed, text_at, true_at
 from ..schema import CANONICAL_TYPES, SCHEMA_VERSION, SUMMARY_KINDS, sanitize_session_id
 
 # Which event names mean what, for any tool and for one tool.
@@ -58,26 +58,67 @@ SIMPLE_NATIVE = {"summary": "compaction.after", "queue-operation": "session.resu
 # Where payloads keep what; the first path that holds something counts.
 ITEM_ROOTS = ("item", "payload.item", "params.item", "payload", "params")
 PART_EVENTS = ("message.part.updated", "message.part.removed")
-EVENT_ID_PATHS = [*spread(".", "event_id message_id turn_id id"), *spread("payload", "event_id message_id turn_id call_id id item.id item.message_id item.messageId"),
-                  *spread("params", "event_id message_id turn_id call_id id item.id item.message_id item.messageId"), *spread("item", "id message_id messageId"), "message.id", "messageID", "uuid", "attachment.toolUseID", "toolUseID"]
-PART_ID_PATHS = [*spread(".", "event_id id part_id"), *spread("payload", "event_id id part_id"), "part.id", "payload.part.id"]
-SEQUENCE_PATHS = spread(". payload params", "sequence index ordinal order")
-CODEX_SEQUENCE_PATHS = [*spread(".", "item_index item_ordinal turn_index turn_ordinal response_index output_index"),
-                        *spread("payload params", "item_index item_ordinal turn_index turn_ordinal response_index output_index item.index item.ordinal turn.index turn.ordinal"), *spread(".", "item.index item.ordinal turn.index turn.ordinal")]
-PART_SEQUENCE_PATHS = [*spread(". payload", "part_index part_sequence"), *spread(". payload", "part.index part.sequence"), *spread("params", "part_index part_sequence part.index part.sequence")]
-MESSAGE_ID_PATHS = [*spread(".", "message_id messageId message.id messageID"), *spread("payload params", "message_id messageId message.id item.message_id item.messageId item.id"), *spread("item", "message_id messageId id"), "uuid", "id"]
-TURN_ID_PATHS = [*spread(". payload params", "turn_id turnId turn.id"), "params.item.turn_id", "item.turn_id", "parentUuid", "parentID"]
-VERSION_PATHS = ["tool_version", "version", *spread("payload", "tool_version cli_version version"), *spread("params", "tool_version cli_version version")]
+EVENT_ID_PATHS = (
+    "event_id", "message_id", "turn_id", "id", "payload.event_id", "payload.message_id", "payload.turn_id", "payload.call_id", "payload.id",
+    "payload.item.id", "payload.item.message_id", "payload.item.messageId", "params.event_id", "params.message_id", "params.turn_id",
+    "params.call_id", "params.id", "params.item.id", "params.item.message_id", "params.item.messageId", "item.id", "item.message_id",
+    "item.messageId", "message.id", "messageID", "uuid", "attachment.toolUseID", "toolUseID",
+)
+# the first of the paths above and below lie at the top, and text there is taken as it is
+TOP_IDS = ("event_id", "message_id", "turn_id", "id")
+PART_TOP_IDS = ("event_id", "id", "part_id")
+PART_ID_PATHS = (
+    "event_id", "id", "part_id", "payload.event_id", "payload.id", "payload.part_id", "part.id", "payload.part.id",
+)
+SEQUENCE_PATHS = (
+    "sequence", "index", "ordinal", "order", "payload.sequence", "payload.index", "payload.ordinal", "payload.order", "params.sequence",
+    "params.index", "params.ordinal", "params.order",
+)
+CODEX_SEQUENCE_PATHS = (
+    "item_index", "item_ordinal", "turn_index", "turn_ordinal", "response_index", "output_index", "payload.item_index", "payload.item_ordinal",
+    "payload.turn_index", "payload.turn_ordinal", "payload.response_index", "payload.output_index", "payload.item.index", "payload.item.ordinal",
+    "payload.turn.index", "payload.turn.ordinal", "params.item_index", "params.item_ordinal", "params.turn_index", "params.turn_ordinal",
+    "params.response_index", "params.output_index", "params.item.index", "params.item.ordinal", "params.turn.index", "params.turn.ordinal",
+    "item.index", "item.ordinal", "turn.index", "turn.ordinal",
+)
+PART_SEQUENCE_PATHS = (
+    "part_index", "part_sequence", "payload.part_index", "payload.part_sequence", "part.index", "part.sequence", "payload.part.index",
+    "payload.part.sequence", "params.part_index", "params.part_sequence", "params.part.index", "params.part.sequence",
+)
+MESSAGE_ID_PATHS = (
+    "message_id", "messageId", "message.id", "messageID", "payload.message_id", "payload.messageId", "payload.message.id", "payload.item.message_id",
+    "payload.item.messageId", "payload.item.id", "params.message_id", "params.messageId", "params.message.id", "params.item.message_id",
+    "params.item.messageId", "params.item.id", "item.message_id", "item.messageId", "item.id", "uuid", "id",
+)
+TURN_ID_PATHS = (
+    "turn_id", "turnId", "turn.id", "payload.turn_id", "payload.turnId", "payload.turn.id", "params.turn_id", "params.turnId", "params.turn.id",
+    "params.item.turn_id", "item.turn_id", "parentUuid", "parentID",
+)
+VERSION_PATHS = (
+    "tool_version", "version", "payload.tool_version", "payload.cli_version", "payload.version", "params.tool_version", "params.cli_version",
+    "params.version",
+)
 WORKTREE_PATHS = ["worktree", "payload.worktree", "params.worktree", "project.worktree", "session.worktree"]
-ROOT_PATHS = [*spread(". payload params", "project_root"), "path.root", "params.path.root", *WORKTREE_PATHS]
-CWD_PATHS = [*spread(". payload params", "cwd"), "path.cwd", "params.path.cwd", *WORKTREE_PATHS]
-TIME_PATHS = ["captured_at", *spread(". payload params", "timestamp"), *spread(". payload params", "created_at")]
+ROOT_PATHS = (
+    "project_root", "payload.project_root", "params.project_root", "path.root", "params.path.root", "worktree", "payload.worktree", "params.worktree",
+    "project.worktree", "session.worktree",
+)
+CWD_PATHS = (
+    "cwd", "payload.cwd", "params.cwd", "path.cwd", "params.path.cwd", "worktree", "payload.worktree", "params.worktree", "project.worktree",
+    "session.worktree",
+)
+TIME_PATHS = (
+    "captured_at", "timestamp", "payload.timestamp", "params.timestamp", "created_at", "payload.created_at", "params.created_at",
+)
 MILLIS_PATHS = ["time.created", "params.time.created"]
 SESSION_PATHS = ["session_id", "payload.session_id", "sessionId", "sessionID"]
 STORAGE_SESSION_PATHS = ["session_id", "sessionID", "sessionId", "message.sessionID", "payload.session_id", "payload.sessionID", "payload.sessionId", "session.id"]
 HOOK_SESSION_PATHS = ["sessionID", "session_id", "sessionId", "info.sessionID", "part.sessionID", "properties.info.sessionID", "properties.part.sessionID", "payload.sessionID", "payload.session_id"]
 SESSION_OBJECT_PATHS = ["id", "info.id", "properties.info.id"]
-STREAM_SESSION_PATHS = ["session_id", "thread_id", "threadId", "thread.id", *spread("payload", "session_id thread_id thread.id"), *spread("params", "session_id sessionId thread_id threadId thread.id")]
+STREAM_SESSION_PATHS = (
+    "session_id", "thread_id", "threadId", "thread.id", "payload.session_id", "payload.thread_id", "payload.thread.id", "params.session_id",
+    "params.sessionId", "params.thread_id", "params.threadId", "params.thread.id",
+)
 STREAM_NAME_PATHS = ["type", "method", "params.type", "payload.type"]
 PART_TYPE_PATHS = ["part.type", "payload.part.type", "type", "payload.type"]
 
@@ -158,15 +199,17 @@ def sequence(tool: Column, name: Column, payload: Column, fallback: Column | Non
 
 
 def source_event_id(tool: Column, name: Column, payload: Column, seq: Column) -> Column:
-    """Id that the source itself gives the event; parts of a message add their place in it."""
-    message = text_at(payload, "message_id")
-    shown = F.concat_ws(":", message, F.coalesce(long_at(payload, "index").cast("string"), F.lit("unknown")), true_at(payload, "final").cast("string"))
+    """Id that the source itself gives the event; parts of a message add their place in it, where it is a number."""
+    message = F.when(kind_at(payload, "message_id") == "STRING", at(payload, "message_id"))
+    index = F.when(kind_at(payload, "index") == "BIGINT", at(payload, "index"))
+    shown = F.concat_ws(":", message, F.coalesce(index, F.lit("unknown")), true_at(payload, "final").cast("string"))
+    own = lambda top, paths: F.coalesce(bare_at(payload, *top), text_at(payload, *paths[len(top) :]))
     delta = text_at(payload, *MESSAGE_ID_PATHS)
     return (
         F.when((name == "MessageDisplay") & message.isNotNull(), shown)
         .when((name == "item/agentMessage/delta") & delta.isNotNull(), F.concat_ws(":", delta, F.coalesce(seq.cast("string"), F.lit("unknown")), F.lit("delta")))
-        .when((tool == "opencode") & name.isin(*PART_EVENTS), text_at(payload, *PART_ID_PATHS))
-        .otherwise(text_at(payload, *EVENT_ID_PATHS))
+        .when((tool == "opencode") & name.isin(*PART_EVENTS), own(PART_TOP_IDS, PART_ID_PATHS))
+        .otherwise(own(TOP_IDS, EVENT_ID_PATHS))
     )
 
 

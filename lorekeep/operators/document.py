@@ -34,11 +34,12 @@ RULES: dict[str, dict[str, tuple[str, ...]]] = {
 USAGE_KEYS = ("usage", "usage_metadata")
 WRAPPER_KEYS = ("workdir", "yield_time_ms", "timeout_ms", "with_escalated_permissions", "env")
 NARRATION_KEYS = ("justification", "description")
-VOLATILE = frozenset(
-    "captured_at timestamp created_at updated_at tool_version session_id filename_session_id project_root cwd source source_event_type source_event_id"
-    " hook_event_name event type dedupe_key raw_file raw_offset raw_line message_id event_id turn_id id".split()
-)
-PATH_KEYS = frozenset("file file_path filepath path source_path transcript_path".split())
+VOLATILE = {
+    "captured_at", "timestamp", "created_at", "updated_at", "tool_version", "session_id", "filename_session_id", "project_root", "cwd", "source",
+    "source_event_type", "source_event_id", "hook_event_name", "event", "type", "dedupe_key", "raw_file", "raw_offset", "raw_line", "message_id",
+    "event_id", "turn_id", "id",
+}
+PATH_KEYS = {"file", "file_path", "filepath", "path", "source_path", "transcript_path"}
 PATH_ENDS, PATH_STARTS = ("_file", "_path"), ("/", "./", "../", "~/")
 
 Walk = Iterator[str]

@@ -41,6 +41,38 @@ HOOKS = [
     ("opencode", '{"type":"file.edited","properties":{"info":{"sessionID":"o{k}"}},"file":"/e/{k}.txt","id":"f{id}"}'),
     ("opencode", '{"type":"tool.execute.after","sessionID":"o{k}","message_id":"m{id}","tool_name":"grep","output":"hit {k}","order":{k}}'),
     ("opencode", '{"type":"SubagentStart","sessionID":"o{k}","messageID":"z{id}","index":"{k}x"}'),
+    ("claude", '{"hook_event_name":"MessageDisplay","session_id":"s{k}","message_id":" m{id} ","index":"{k}","final":true,"delta":"said {id}"}'),
+    ("claude", '{"event":"Stop","session_id":"s{k}","event_id":"","turn_id":" e{id} "}'),
+]
+# What each of them must give, written out: canonical type, and the id that its source gives it.
+HOOKS_GIVE = [
+    ("user.message", None),
+    ("assistant.message", "m{id}:{k}:true"),
+    ("assistant.delta", "m{id}:unknown:false"),
+    ("assistant.delta", "x{id}"),
+    ("tool.call", "t{id}"),
+    ("tool.result", None),
+    ("session.ended", None),
+    ("compaction.before", None),
+    ("error", None),
+    ("session.ended", None),
+    ("user.message", None),
+    ("tool.call", "call{id}"),
+    ("assistant.delta", None),
+    ("tool.result", None),
+    ("error", None),
+    ("assistant.delta", "i{id}"),
+    ("user.message", None),
+    ("assistant.delta", "q{id}:{k}:delta"),
+    ("session.started", None),
+    ("session.started", "o{k}"),
+    ("session.resumed", None),
+    ("assistant.delta", "p{id}"),
+    ("file.changed", "f{id}"),
+    ("tool.result", "m{id}"),
+    ("error", "z{id}"),
+    ("assistant.message", " m{id} :unknown:true"),
+    ("session.ended", " e{id} "),
 ]
 # Records of imported transcripts: tool, path below the home, payload.
 RECORDS = [
@@ -63,6 +95,11 @@ RECORDS = [
     ("opencode", "/h/storage/session/p/o{k}.json", '{"id":"o{k}","sessionID":"o{k}","worktree":"/tree"}'),
     ("opencode", "/h/other/x{k}.json", '{"role":"user","text":"t"}'),
 ]
+# The canonical types that they must give, written out.
+RECORDS_GIVE = [
+    "user.message", "tool.result", "tool.call", "assistant.message", "tool.result", "compaction.after", "session.resumed", "error", "compaction.before", "error",
+    "session.started", "permission.requested", "error", "assistant.message", "tool.call", "assistant.delta", "session.started", "user.message",
+]
 
 
 def _quote(s: str) -> str:
@@ -87,6 +124,13 @@ def _chosen_sql(values: list[str]) -> str:
     return sql
 
 
+def _given_sql(values: list[str | None]) -> str:
+    """The event's own of a list of values with its numbers put in, null where it is None."""
+    nothing = [str(i) for i, v in enumerate(values) if v is None]
+    own = _chosen_sql([v or "" for v in values])
+    return f"CASE WHEN event_id % {len(values)} NOT IN ({', '.join(nothing)}) THEN {own} END" if nothing else own
+
+
 def hooks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views.table(spark, sf_dir, "events").select("event_id", _chosen([t for t, _ in HOOKS]).alias("tool"), _chosen([p for _, p in HOOKS]).alias("payload"))
 
@@ -101,6 +145,11 @@ def _text(*paths: str) -> str:
     return "coalesce(" + ", ".join(f"CASE WHEN json_type(p, '$.{x}') = 'VARCHAR' THEN nullif(trim(json_extract_string(p, '$.{x}')), '') END" for x in paths) + ", NULL)"
 
 
+def _bare(*paths: str) -> str:
+    """The first path that holds text that is not empty, as it is."""
+    return "coalesce(" + ", ".join(f"CASE WHEN json_type(p, '$.{x}') = 'VARCHAR' THEN nullif(json_extract_string(p, '$.{x}'), '') END" for x in paths) + ", NULL)"
+
+
 def _long(*paths: str) -> str:
     whole = "json_type(p, '$.{0}') IN ('BIGINT', 'UBIGINT', 'VARCHAR') AND regexp_full_match(trim(json_extract_string(p, '$.{0}')), '[+-]?[0-9]+')"
     return "coalesce(" + ", ".join(f"CASE WHEN {whole.format(x)} THEN try_cast(trim(json_extract_string(p, '$.{x}')) AS BIGINT) END" for x in paths) + ", NULL)"
@@ -141,9 +190,8 @@ def _sequence(fallback: str = "NULL") -> str:
     return f"coalesce({_long(*canonical.SEQUENCE_PATHS)}, CASE WHEN tool = 'codex' THEN {_long(*canonical.CODEX_SEQUENCE_PATHS)} END, CASE WHEN tool = 'opencode' AND name IN ({parts}) THEN {_long(*canonical.PART_SEQUENCE_PATHS)} END, {fallback})"
 
 
-_EVENT_ID = f"""CASE WHEN name = 'MessageDisplay' AND {_text('message_id')} IS NOT NULL THEN concat_ws(':', {_text('message_id')}, coalesce(cast({_long('index')} AS VARCHAR), 'unknown'), cast({_FINAL} AS VARCHAR))
-  WHEN name = 'item/agentMessage/delta' AND {_text(*canonical.MESSAGE_ID_PATHS)} IS NOT NULL THEN concat_ws(':', {_text(*canonical.MESSAGE_ID_PATHS)}, coalesce(cast(seq AS VARCHAR), 'unknown'), 'delta')
-  WHEN tool = 'opencode' AND name IN ('message.part.updated', 'message.part.removed') THEN {_text(*canonical.PART_ID_PATHS)} ELSE {_text(*canonical.EVENT_ID_PATHS)} END"""
+_EVENT_ID = f"""CASE WHEN name = 'item/agentMessage/delta' AND {_text(*canonical.MESSAGE_ID_PATHS)} IS NOT NULL THEN concat_ws(':', {_text(*canonical.MESSAGE_ID_PATHS)}, coalesce(cast(seq AS VARCHAR), 'unknown'), 'delta')
+  WHEN tool = 'opencode' AND name IN ('message.part.updated', 'message.part.removed') THEN coalesce({_bare('event_id', 'id', 'part_id')}, {_text(*canonical.PART_ID_PATHS[3:])}) ELSE coalesce({_bare('event_id', 'message_id', 'turn_id', 'id')}, {_text(*canonical.EVENT_ID_PATHS[4:])}) END"""
 _MILLIS = _long(*canonical.MILLIS_PATHS)
 _CAPTURED = f"coalesce({_text(*canonical.TIME_PATHS)}, strftime(make_timestamp(({_MILLIS} // 1000) * 1000000), '%Y-%m-%dT%H:%M:%SZ'))"
 
@@ -161,10 +209,10 @@ def hooked(name: str, sql: dict[str, str], more: str = "") -> None:
 
 
 hooked("hook_event_name", {"source_event_type": "name"})
-hooked("hook_canonical_type", {"canonical_type": _hook_type("name")})
+hooked("hook_canonical_type", {"canonical_type": _given_sql([t for t, _ in HOOKS_GIVE])})
 hooked("hook_session_id", {"session_id": _SESSION, "filename_session_id": f"regexp_replace({_SESSION}, '[^A-Za-z0-9._-]', '_', 'g')"})
 hooked("hook_sequence", {"sequence": _sequence()})
-hooked("hook_source_event_id", {"source_event_id": _EVENT_ID}, f", f AS (SELECT *, {_sequence()} AS seq FROM e)")
+hooked("hook_source_event_id", {"source_event_id": _given_sql([i for _, i in HOOKS_GIVE])})
 hooked(
     "hook_places",
     {"turn_id": _text(*canonical.TURN_ID_PATHS), "message_id": _text(*canonical.MESSAGE_ID_PATHS), "tool_version": _text(*canonical.VERSION_PATHS), "project_root": _text(*canonical.ROOT_PATHS), "cwd": _text(*canonical.CWD_PATHS)},
@@ -205,7 +253,7 @@ def recorded(name: str, sql: dict[str, str]) -> None:
 
 recorded("backfill_event_name", {"source_event_type": "name"})
 recorded("backfill_session_id", {"session_id": _RECORD_SESSION})
-recorded("backfill_canonical_type", {"canonical_type": _RECORD_TYPE})
+recorded("backfill_canonical_type", {"canonical_type": _given_sql(RECORDS_GIVE)})
 recorded("backfill_sequence", {"sequence": _sequence("event_id"), "source_event_id": _EVENT_ID.replace("cast(seq AS", f"cast({_sequence('event_id')} AS")})
 
 

@@ -195,10 +195,23 @@ def _page_sql(limit: int) -> str:
     )
 
 
-@query("search_snippet", f"WITH {_page_sql(20)} SELECT session_id, raw_line, true AS fits, true AS holds FROM h")
+#: A snippet by characters, where text is ASCII: the first place of a term in the middle of 80, or the text's end.
+_SNIPPET = """CASE WHEN strlen(searchable_text) <= 80 THEN trim(searchable_text) ELSE trim(substr(searchable_text, 1 + greatest(0, least(spot - (80 - size) // 2, strlen(searchable_text) - 80)), 80)) END"""
+
+
+@query(
+    "search_snippet",
+    f"""WITH {_page_sql(20)}, p AS (SELECT *, strpos(lower(searchable_text), 'the') AS a, strpos(lower(searchable_text), 'moron') AS b FROM h),
+  q AS (SELECT *, CASE WHEN a = 0 AND b = 0 THEN 0 WHEN b = 0 OR (a > 0 AND a < b) THEN a - 1 ELSE b - 1 END AS spot, CASE WHEN a = 0 AND b = 0 THEN 0 WHEN b = 0 OR (a > 0 AND a < b) THEN 3 ELSE 5 END AS size FROM p)
+  SELECT session_id, raw_line, CASE WHEN strlen(searchable_text) = length(searchable_text) THEN {_SNIPPET} END AS snippet, true AS fits FROM q""",
+)
 def search_snippet(spark, sf_dir):
-    page = search.search(search.Tables(views.conversations(spark, sf_dir)), "the moron", limit=20, max_snippet_chars=80)
-    return page.rows.select(*KEY, (F.octet_length("snippet") <= 80).alias("fits"), F.lower("snippet").rlike("the|moron").alias("holds"))
+    """Snippets of a page; SQL states those of texts in ASCII, tests those of others."""
+    t = search.Tables(views.conversations(spark, sf_dir), index=index(spark, sf_dir, "conversations"))
+    page = search.search(t, "the moron", limit=20, max_snippet_chars=80)
+    whole = t.events.select(*KEY, F.col("searchable_text").alias("whole")).join(F.broadcast(page.rows.select(*KEY, "snippet")), KEY)  # a page
+    plain = F.octet_length("whole") == F.char_length("whole")
+    return whole.select(*KEY, F.when(plain, F.col("snippet")).alias("snippet"), (F.octet_length("snippet") <= 80).alias("fits"))
 
 
 @query("search_page_indexed", f"WITH {_page_sql(10)} SELECT session_id, raw_line, round(score, 6) AS score FROM h")

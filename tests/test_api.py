@@ -68,3 +68,11 @@ def test_resolve(tmp_path):
     assert status("branch", "main") == "present" and status("branch", "nope") == "missing"
     assert [status("file", f) for f in ("d/in.py", "d/new.py", "d/gone.py", "/etc/x.conf")] == ["present", "untracked", "missing", "missing"]
     assert status("pr", "#1") == "unresolved" and corroborate.resolve(None, "commit", head)["status"] == "unresolved"
+
+
+def test_a_git_that_fails_is_not_a_missing_claim(tmp_path, monkeypatch):
+    subprocess.run(["git", "init", "-q", str(tmp_path)], check=True)
+    monkeypatch.setattr(corroborate, "GIT_SECONDS", 1e-9)
+    got = corroborate.resolve(str(tmp_path), "commit", "abcdef1")
+    assert (got["status"], got["reason"]) == ("unknown", "git_error")
+    assert corroborate.corroborate("branch main", project_root=str(tmp_path))[0]["status"] == "unknown"
