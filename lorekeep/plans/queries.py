@@ -99,6 +99,22 @@ def search_index_terms(spark, sf_dir):
     return built.terms().select("term", "df").join(built.occurrences(), "term")
 
 
+_LEFT = views.CONVERSATIONS.replace("ev AS", "ev0 AS", 1) + ", ev AS (SELECT * FROM ev0 WHERE raw_line % 7 <> 3)"
+
+
+@query("search_index_tiers", f"WITH {oracle.bm25(_LEFT, TALK, ['of_the', 'moron', 'that'])} SELECT session_id, raw_line, round(score, 6) AS score FROM scored")
+def search_index_tiers(spark, sf_dir):
+    """Ten appends with merges, deletions, and a merge after them: the scores of an index of what is left."""
+    rows = views.conversations(spark, sf_dir)
+    grown = Index(spark, f"{paths.shared_folder(spark)}/tiers-{uuid.uuid4().hex}", tuple(TALK))
+    for k in range(10):
+        grown.add(rows.where(F.pmod(F.hash("dedupe_key"), F.lit(10)) == k))
+        grown.compact()
+    grown.delete(rows.where("raw_line % 7 = 3"))
+    grown.compact()
+    return hits(grown.rank(["of_the", "moron", "that"]))
+
+
 @query("search_repeated_term", hits_sql(["idiot", "that", "idiot"]))
 def search_repeated_term(spark, sf_dir):
     return hits(scored(spark, sf_dir, ["idiot", "that", "idiot"]))

@@ -107,6 +107,19 @@ def index_resume(spark, sf_dir):
     return spark.createDataFrame([(first["events"], second["events"], second["lines"], third["files"], made.store.events().count())], "first_events long, second_events long, second_lines long, third_files int, stored long")
 
 
+@query("store_views", f"""SELECT {_TOOL} AS tool, event_type AS session_id, count(*) AS event_count, count(*) AS message_count, 0 AS tool_event_count, min(strftime(ts, '%Y-%m-%dT%H:%M:%S.%fZ')) AS started_at, max(strftime(ts, '%Y-%m-%dT%H:%M:%S.%fZ')) AS updated_at,
+  'é ' || min(event_id) AS first_user_prompt, 'user.message' AS last_event_type FROM events WHERE NOT ({_TOOL} = 'codex' AND event_type = 'view') GROUP BY ALL""")
+def store_views(spark, sf_dir):
+    """Sessions as three passes over growing logs and a purge leave them, from what each pass derived of its own events."""
+    rows = envelopes(spark, sf_dir)
+    made = home(spark)
+    for k in range(3):
+        made.append(rows.where(F.col("event_id") % 3 == k))
+        incremental.index_once(spark, made.path, made.store)
+    made.purge("codex", "view")
+    return made.store.view("sessions").select("tool", "session_id", "event_count", "message_count", "tool_event_count", "started_at", "updated_at", "first_user_prompt", "last_event_type")
+
+
 @query("index_drain", "SELECT count(*) AS added FROM events")
 def index_drain(spark, sf_dir):
     made = home(spark, envelopes(spark, sf_dir))
