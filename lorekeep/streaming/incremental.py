@@ -271,6 +271,12 @@ def _pass(spark: SparkSession, home: str, store: Store) -> dict[str, int]:
     checkpoints = store.checkpoints()
     files = kept(positions(listed, checkpoints), "files")
     deleted = checkpoints.join(files.select(F.col("raw_file").alias("source_path")), "source_path", "left_anti")
+    looked = files.agg(F.count_if(~F.col("state").isin("skipped", "current")), F.count_if(F.col("state").isin("truncated", "rotated")), F.count_if(F.col("state") != "skipped")).head()
+    went = deleted.count()
+    if not (looked[2] or went):  # nothing to do, and nothing to note
+        fs, p = store._fs(aside)
+        fs.delete(p, True)
+        return {"files": 0, "lines": 0, "faults": 0, "events": 0, "discontinuities": 0}
     work = files.where("state not in ('skipped', 'current')").select("raw_file", "size", "resume_offset", "last_line")
     found = raw.lines_from(work).where("complete").withColumn("folder_tool", F.regexp_extract("raw_file", "/raw/([^/]+)/[^/]+$", 1))
     found = kept(found, "lines")
@@ -295,8 +301,7 @@ def _pass(spark: SparkSession, home: str, store: Store) -> dict[str, int]:
         )
     )
     counted = parsed.agg(F.count(F.lit(1)), F.count_if(F.col("fault").isNotNull())).head()
-    looked = files.agg(F.count_if(~F.col("state").isin("skipped", "current")), F.count_if(F.col("state").isin("truncated", "rotated"))).head()
-    report = {"files": looked[0], "lines": counted[0], "faults": counted[1], "events": added, "discontinuities": looked[1] + deleted.count()}
+    report = {"files": looked[0], "lines": counted[0], "faults": counted[1], "events": added, "discontinuities": looked[1] + went}
     fs, p = store._fs(aside)
     fs.delete(p, True)
     return report
