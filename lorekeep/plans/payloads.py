@@ -280,6 +280,17 @@ def codex_stream_sessions(spark, sf_dir):
     return native.codex_records(rows, "exec_json").select("event_id", "session_id")
 
 
+@query("codex_stream_carried", "WITH r AS (SELECT event_id, CASE WHEN event_id % 97 = 0 THEN 'thread-' || event_id END AS own FROM events) SELECT event_id, coalesce(last_value(own IGNORE NULLS) OVER (ORDER BY event_id ROWS UNBOUNDED PRECEDING), 'whole') AS session_id FROM r")
+def codex_stream_carried(spark, sf_dir):
+    """One file with all events: ids are carried over ranges, most of which begin with one of an earlier range and many of which have none."""
+    id_ = F.col("event_id").cast("string")
+    own = F.concat(F.lit('{"type":"turn.started","thread_id":"thread-'), id_, F.lit('"}'))
+    rows = views.table(spark, sf_dir, "events").select(
+        "event_id", F.lit("codex").alias("tool"), F.lit("/c/whole.jsonl").alias("source_path"), F.col("event_id").alias("byte_offset"), F.when(F.col("event_id") % 97 == 0, own).otherwise('{"type":"turn.completed"}').alias("payload")
+    )
+    return native.codex_records(rows, "exec_json", span=64).select("event_id", "session_id")
+
+
 @query("opencode_server_rows", """WITH m AS (SELECT event_id, event_id % 3 AS n FROM events) SELECT 'srv-' || event_id AS session_id, -1 AS part, 'message.updated' AS source_event_type FROM m WHERE n = 0 OR event_id % 2 = 0
   UNION ALL SELECT 'srv-' || event_id, unnest(range(n)), CASE WHEN event_id % 2 = 0 THEN 'text' ELSE 'tool' END FROM m WHERE n > 0""")
 def opencode_server_rows(spark, sf_dir):

@@ -127,15 +127,34 @@ def codex_stream(spark: SparkSession, source: str, *paths: str) -> DataFrame:
     return codex_records(records, source)
 
 
-def codex_records(records: DataFrame, source: str) -> DataFrame:
+#: Bytes of a stream file in which a session id is carried forward by one task.
+SPAN = 64 << 20
+
+
+def carried(records: DataFrame, own: str, span: int = SPAN) -> DataFrame:
+    """records (source_path, byte_offset, ..) with `carried`: the last `own` that is not null at or before each record of its file.
+
+    A segmented scan: each range of `span` bytes gives its last id, a pass over these, one row a range, gives what each range begins with,
+    and ids are filled in within ranges. So a file of any size is dealt over tasks by its ranges.
+    """
+    rows = records.withColumn("__range", F.floor(F.col("byte_offset") / span))
+    place = F.when(F.col(own).isNotNull(), F.col("byte_offset"))
+    ends = rows.groupBy("source_path", "__range").agg(F.max_by(own, place).alias("__end"))
+    before = Window.partitionBy("source_path").orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    begins = ends.select("source_path", "__range", F.last("__end", True).over(before).alias("__begin"))
+    within = Window.partitionBy("source_path", "__range").orderBy("byte_offset").rowsBetween(Window.unboundedPreceding, 0)
+    filled = rows.join(begins, ["source_path", "__range"])
+    return filled.withColumn("carried", F.coalesce(F.last(own, True).over(within), F.col("__begin"))).drop("__range", "__begin")
+
+
+def codex_records(records: DataFrame, source: str, span: int = SPAN) -> DataFrame:
     """Envelopes of stream records (tool, source_path, byte_offset, payload)."""
     p = F.col(canonical.PARSED)
     name = F.coalesce(text_at(p, *canonical.STREAM_NAME_PATHS), F.lit("codex.unknown"))
     own = F.coalesce(text_at(p, *canonical.STREAM_SESSION_PATHS), F.when(F.col("source_event_type").isin("thread.started", "thread/started"), text_at(p, "id", "params.id")))
-    w = Window.partitionBy("source_path").orderBy("byte_offset").rowsBetween(Window.unboundedPreceding, 0)
-    rows = records.withColumn(canonical.PARSED, parsed(F.col("payload"))).withColumn("source_event_type", name).withColumn("own", own)
-    rows = rows.withColumn("session_id", F.coalesce(F.last("own", True).over(w), path_session_id(F.col("source_path")))).drop("own", canonical.PARSED)
-    return canonical.from_records(rows, source)
+    rows = records.withColumn(canonical.PARSED, parsed(F.col("payload"))).withColumn("source_event_type", name).withColumn("own", own).drop(canonical.PARSED)
+    rows = carried(rows, "own", span)
+    return canonical.from_records(rows.withColumn("session_id", F.coalesce("carried", path_session_id(F.col("source_path")))).drop("own", "carried"), source)
 
 
 def opencode_server(payloads: DataFrame, fallback_session: str) -> DataFrame:
