@@ -114,7 +114,7 @@ def nearest_rank(values: list[float], share: float) -> float:
 
 
 #: Points of the sketch that brackets a rank, and rows that a bracket is narrowed down to.
-GRID, FEW = 1000, 100_000
+GRID, FEW = 200, 100_000
 
 
 def _beside(rows: DataFrame, facts: DataFrame, keys: list[str]) -> DataFrame:
@@ -160,7 +160,7 @@ def nearest_rank_by_group(rows: DataFrame, keys: list[str], value: str, shares:
 
     Ranks of all groups are closed in upon at once: a mergeable sketch names two values around each rank, a count says how many rows lie
     below and between them, and the rows between go on to the next round, until no bracket of two different values holds over `few`
-    rows. Only these are sorted. A round leaves some 3 / GRID of the rows, so ten to the twelve rows take three.
+    rows. Only these are sorted. A round leaves some 3 / GRID of the rows, so ten to the twelve rows take four.
     """
     few = FEW if few is None else few
     own = [f"__k{i}" for i in range(len(keys))]

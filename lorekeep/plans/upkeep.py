@@ -13,7 +13,7 @@ from .. import paths
 from ..operators import corroborate, derive, document, maintain, search, sessions, vector
 from ..operators.store import Home
 from ..sources import native, raw
-from ..streaming import incremental
+from ..streaming import incremental, tailing
 from . import payloads, views
 from .queries import query
 
@@ -107,6 +107,18 @@ def index_resume(spark, sf_dir):
     return spark.createDataFrame([(first["events"], second["events"], second["lines"], third["files"], made.store.events().count())], "first_events long, second_events long, second_lines long, third_files int, stored long")
 
 
+@query("watch_growing_logs", _by_session_sql())
+def watch_growing_logs(spark, sf_dir):
+    """A stream over logs that grow between its runs; the second run starts from what the first one left."""
+    rows = envelopes(spark, sf_dir)
+    made = home(spark, rows.where("event_id % 2 = 0"))
+    checkpoint = folder(spark, "watch")
+    tailing.watch(spark, made.path, made.store, checkpoint, once=True).awaitTermination()
+    made.append(rows)
+    tailing.watch(spark, made.path, made.store, checkpoint, once=True).awaitTermination()
+    return _by_session(made.store.events())
+
+
 @query("store_views", f"""SELECT {_TOOL} AS tool, event_type AS session_id, count(*) AS event_count, count(*) AS message_count, 0 AS tool_event_count, min(strftime(ts, '%Y-%m-%dT%H:%M:%S.%fZ')) AS started_at, max(strftime(ts, '%Y-%m-%dT%H:%M:%S.%fZ')) AS updated_at,
   'é ' || min(event_id) AS first_user_prompt, 'user.message' AS last_event_type FROM events WHERE NOT ({_TOOL} = 'codex' AND event_type = 'view') GROUP BY ALL""")
 def store_views(spark, sf_dir):

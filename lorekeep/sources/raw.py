@@ -121,6 +121,18 @@ def lines(spark: SparkSession, *paths: str) -> DataFrame:
     return lines_from(listing(spark, *paths).withColumns({"resume_offset": F.lit(0).cast("long"), "last_line": F.lit(0).cast("long")}))
 
 
+def lines_before(files: DataFrame) -> DataFrame:
+    """(raw_file, n): how many lines start before the place `upto` of each file, counted by ranges."""
+    step = F.sequence(F.lit(0).cast("long"), F.greatest(F.col("upto") - 1, F.lit(0)), F.lit(RANGE).cast("long"))
+    ranges = files.select("raw_file", "upto", F.explode(step).alias("a")).select("raw_file", "a", F.least(F.col("a") + RANGE, F.col("upto")).alias("b"))
+    return ranges.repartition("raw_file", "a").mapInArrow(_counted, "raw_file string, a long, b long, n long").groupBy("raw_file").agg(F.sum("n").alias("n"))
+
+
+def folder_tool(path: "F.Column") -> "F.Column":
+    """The tool in whose folder a log lies."""
+    return F.regexp_extract(path, "/raw/([^/]+)/[^/]+$", 1)
+
+
 def line_hash(line: bytes) -> str:
     return hashlib.sha256(line.rstrip()).hexdigest()
 

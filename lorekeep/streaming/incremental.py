@@ -253,6 +253,12 @@ def discontinuities(files: DataFrame, deleted: DataFrame | None = None) -> DataF
     )
 
 
+def path_session(path: str) -> F.Column:
+    """The session that a log's name tells, without the tool before it."""
+    stem, tool = F.regexp_extract(path, r"([^/]+)\.jsonl$", 1), F.regexp_extract(path, "/raw/([^/]+)/[^/]+$", 1)
+    return F.when(stem.startswith(F.concat(tool, F.lit("_"))), F.substr(stem, F.length(tool) + 2)).otherwise(stem)
+
+
 def index_once(spark: SparkSession, home: str, store: Store) -> dict[str, int]:
     """One pass. Returns what it did: files looked into, lines read, events added, faults and discontinuities."""
     with store.lock():
@@ -291,8 +297,7 @@ def _pass(spark: SparkSession, home: str, store: Store) -> dict[str, int]:
     stays = F.col("state").isin("grown", "current", "skipped")
     pick = lambda fresh, before: F.coalesce(F.col(fresh), F.when(stays, F.col(before)))
     tool = F.regexp_extract("raw_file", "/raw/([^/]+)/[^/]+$", 1)
-    stem = F.regexp_extract("raw_file", r"([^/]+)\.jsonl$", 1)
-    session = F.when(stem.startswith(F.concat(tool, F.lit("_"))), F.expr("substring(regexp_extract(raw_file, '([^/]+)[.]jsonl$', 1), length(regexp_extract(raw_file, '/raw/([^/]+)/[^/]+$', 1)) + 2)")).otherwise(stem)
+    session = path_session("raw_file")
     store.checkpoint(
         now.select(
             tool.alias("tool"), F.lit("raw_jsonl").alias("source_kind"), F.col("raw_file").alias("source_path"), session.alias("session_id"), F.coalesce("l.end", "resume_offset").alias("byte_offset"),
