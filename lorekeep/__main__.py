@@ -17,7 +17,7 @@ from .operators import canonical, document, maintain, search, vector
 from .operators.store import Home
 from .schema import TOOLS, envelope_faults
 from .sources import native, raw
-from .streaming import incremental
+from .streaming import incremental, tailing
 
 WATCH_SECONDS, SNIPPET = 2, 240
 
@@ -81,6 +81,8 @@ def ingest(home: Home, a) -> dict:
 
 def index(home: Home, a) -> dict:
     done, n = {"events": 0}, 0
+    if a.watch and not a.passes:
+        tailing.watch(home.spark, home.path, home.store, f"{home.store.path}/watch", seconds=WATCH_SECONDS).awaitTermination()
     while True:
         done = incremental.index_once(home.spark, home.path, home.store) if not a.once else {"events": incremental.drain(home.spark, home.path, home.store)}
         n += 1
