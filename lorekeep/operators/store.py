@@ -289,7 +289,8 @@ class Home:
             return {"lines": 0, "files": 0, "emptied": 0, "blobs": self.collect_blobs()}
         staying = marked.where("not doomed").join(touched, "raw_file", "left_semi").select("raw_file", "raw_line", "line", "complete")
         named = touched.select("raw_file", F.lit(0).cast("long").alias("raw_line"), F.lit(None).cast("string").alias("line"), F.lit(False).alias("complete"))
-        rows = staying.unionByName(named).repartition("raw_file").sortWithinPartitions("raw_file", "raw_line").select("raw_file", "line", "complete")
+        # dealt by a hash of the name: a shuffle by the name itself is left out behind a join on it, whose tasks may share a log
+        rows = staying.unionByName(named).repartition(F.xxhash64("raw_file")).sortWithinPartitions("raw_file", "raw_line").select("raw_file", "line", "complete")
         files = paths.staged(rows.mapInArrow(_rewritten, "raw_file string, lines long"), "rewritten")
         self.ledger.refresh(self.logs())
         self._forget(marked, touched)

@@ -215,3 +215,19 @@ def test_blobs_by_zones(spark, home):
             f.write("{}")
     assert home.collect_blobs() == 1 and os.listdir(f"{home.path}/blobs/sha256") == ["aa"]
     assert home.purge("claude", "s1")["blobs"] == 1
+
+
+def test_a_purged_log_is_written_by_one_task(spark, home):
+    """A join on the log's name, turned into a broadcast while it runs, must not stand in for the shuffle that gives each log one writer."""
+    home.append(rows(spark, range(10), "s1").unionByName(rows(spark, range(10), "s2")))
+    static, running = "spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold"
+    try:
+        spark.conf.set(static, "-1")
+        spark.conf.set(running, "10MB")
+        report = home.purge(before="2024-01-03")
+    finally:
+        spark.conf.unset(static)
+        spark.conf.unset(running)
+    assert report["lines"] == 8 and report["files"] == 2 and report["emptied"] == 0
+    for s in ("s1", "s2"):
+        assert [json.loads(x)["sequence"] for x in log_of(home, s).splitlines()] == [2, 3, 4, 7, 8, 9]
