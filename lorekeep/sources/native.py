@@ -54,7 +54,7 @@ def json_records(spark: SparkSession, tool: str, *paths: str) -> DataFrame:
     """Whole-file JSON: a list gives its items, an object with messages these (with its session id where they have none), another
     object itself, a scalar nothing."""
     rows = _items(spark, ("messages",), *paths)
-    own, outer = raw_at(F.col("payload"), "session_id"), raw_at(F.col("value"), "session_id")
+    own, outer = raw_at(F.col("payload"), "session_id"), F.col("outer")
     lacks = F.col("nested") & own.isNull() & outer.isNotNull() & F.col("payload").startswith("{")
     return rows.select(F.lit(tool).alias("tool"), "source_path", F.col("byte_offset").cast("long"), F.when(lacks, _with_session(F.col("payload"), outer)).otherwise(F.col("payload")).alias("payload"), F.when(lacks, outer).alias("outer_session"))
 
@@ -67,13 +67,14 @@ def _with_session(payload: "F.Column", session: "F.Column") -> "F.Column":
 
 
 def _items(spark: SparkSession, boxes: tuple[str, ...], *paths: str) -> DataFrame:
-    """(source_path, value, nested, byte_offset: place, payload) of whole JSON files: a list gives its items, an object those of the first
-    box that holds a list, another object itself, a scalar nothing."""
+    """(source_path, outer: the file's own session id, nested, byte_offset: place, payload) of whole JSON files: a list gives its items, an
+    object those of the first box that holds a list, another object itself, a scalar nothing. An item does not carry its file's text."""
     whole = spark.read.text(list(paths), wholetext=True).select(F.col("_metadata.file_path").alias("source_path"), F.trim("value").alias("value"))
     box = F.coalesce(*(F.when(raw_at(F.col("value"), b).startswith("["), raw_at(F.col("value"), b)) for b in boxes))
     whole = whole.withColumn("box", F.when(F.col("value").startswith("{"), box))
     items = F.when(F.col("value").startswith("["), _elements(F.col("value"))).when(F.col("box").isNotNull(), _elements(F.col("box"))).when(F.col("value").startswith("{"), F.array("value")).otherwise(F.array().cast("array<string>"))
-    return whole.select("source_path", "value", F.col("box").isNotNull().alias("nested"), F.posexplode(items).alias("byte_offset", "payload"))
+    whole = whole.select("source_path", raw_at(F.col("value"), "session_id").alias("outer"), F.col("box").isNotNull().alias("nested"), items.alias("items"))
+    return whole.select("source_path", "outer", "nested", F.posexplode("items").alias("byte_offset", "payload"))
 
 
 def path_session_id(path: "F.Column") -> "F.Column":

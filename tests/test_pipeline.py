@@ -270,3 +270,16 @@ def test_envelope_rules(spark):
     assert schema.SUMMARY_KINDS["session.ended"] == "session_end"
     df = spark.createDataFrame([("a b/ü",), ("",)], "s string").select(schema.sanitize_session_id(F.col("s")).alias("n")).collect()
     assert [r.n for r in df] == ["a_b__", "_"]
+
+
+def test_items_of_whole_files_leave_the_file_behind(spark, tmp_path):
+    """An item that carried its file's text would have all of it parsed once for each item."""
+    items = [{"id": i, **({"session_id": "own"} if i % 2 else {})} for i in range(300)]
+    write(str(tmp_path / "m.json"), [json.dumps({"session_id": 'o"1', "messages": items})])
+    write(str(tmp_path / "l.json"), [json.dumps(items)])
+    assert "value" not in native._items(spark, ("messages",), str(tmp_path / "m.json")).columns
+    got = native.json_records(spark, "claude", str(tmp_path / "m.json")).orderBy("byte_offset").collect()
+    assert [json.loads(r.payload) for r in got] == [{"session_id": 'o"1'} | x for x in items]
+    assert [r.outer_session for r in got] == [None if i % 2 else 'o"1' for i in range(300)]
+    got = native.json_records(spark, "claude", str(tmp_path / "l.json")).orderBy("byte_offset").collect()
+    assert [json.loads(r.payload) for r in got] == items and not any(r.outer_session for r in got)
