@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import time
+import uuid
 from collections.abc import Callable, Iterator
 from typing import Protocol
 
@@ -12,6 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .. import paths
 from ..errors import ValidationError
 
 UNIT_KINDS = ("user_text", "assistant_text", "tool_intent", "metadata_text")
@@ -19,6 +21,8 @@ DIMENSIONS = 256
 # What a model's input begins with.
 DOCUMENT_PREFIX, QUERY_PREFIX = "search_document: ", "search_query: "
 BUCKETS = (64, 128, 256, 512, 1024, 2048)
+#: Chunks of texts that are embedded, and appended, at once.
+WAVE = 32
 
 
 class Embedder(Protocol):
@@ -151,21 +155,28 @@ def progress(done: int, total: int, seconds: float) -> dict[str, float | int | N
 
 
 def embed_pending(units: DataFrame, path: str, embedder: Embedder | None, chunk: int = 100_000, report: Callable[[dict], None] | None = None) -> int:
-    """Append vectors of the texts that have none to the table at path, chunk by chunk; a run that stopped goes on where it did. Returns
-    how many were embedded, 0 without an embedder."""
+    """Append vectors of the texts that have none to the table at path, in waves of WAVE tasks that take some `chunk` texts each; a run that
+    stopped goes on behind its last whole wave. What has no vector is looked up once and dealt to waves, so a wave reads its own texts only.
+    Returns how many were embedded, 0 without an embedder."""
     if embedder is None:
         return 0
-    spark, began, done, total = units.sparkSession, time.monotonic(), 0, None
+    spark, began, done = units.sparkSession, time.monotonic(), 0
     schema = "text_hash string, embedding array<double>"
-    while True:
-        p = spark._jvm.org.apache.hadoop.fs.Path(path)
-        there = p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
-        left = pending(units, spark.read.schema(schema).parquet(path) if there else spark.createDataFrame([], schema))
-        n = left.count()
-        total = n if total is None else total
-        if not n:
-            return done
-        embed(left.orderBy("text_hash").limit(chunk), embedder).write.mode("append").parquet(path)
-        done += min(n, chunk)
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    there = p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+    left = paths.staged(pending(units, spark.read.schema(schema).parquet(path) if there else spark.createDataFrame([], schema)), "pending")
+    total = left.count()
+    waves = math.ceil(total / (chunk * WAVE))
+    folder = f"{paths.shared_folder(spark)}/waves-{uuid.uuid4().hex}"
+    if waves > 1:
+        dealt = left.withColumn("wave", F.pmod(F.xxhash64("text_hash"), F.lit(waves)))
+        dealt.repartitionByRange("wave", "text_hash").write.partitionBy("wave").parquet(folder)
+        numbers = sorted(r.wave for r in dealt.select("wave").distinct().collect())
+    for wave in numbers if waves > 1 else range(waves):
+        own = spark.read.schema(left.schema).parquet(f"{folder}/wave={wave}") if waves > 1 else left
+        n = own.count()
+        embed(own.repartition(math.ceil(n / chunk), "text_hash"), embedder).write.mode("append").parquet(path)
+        done += n
         if report:
             report(progress(done, total, time.monotonic() - began))
+    return done

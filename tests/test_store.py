@@ -128,3 +128,16 @@ def test_vector_bytes_and_progress():
         vector.from_blob(b"abc")
     assert vector.progress(10, 25, 4.0) == {"done": 10, "total": 25, "rate": 2.5, "eta_seconds": 6}
     assert vector.progress(0, 5, 0.0)["eta_seconds"] is None and vector.embed_pending(None, "", None) == 0
+
+
+def test_texts_are_embedded_in_waves(spark, tmp_path, monkeypatch):
+    """A round for each chunk would look all texts up again each time."""
+    path, units = str(tmp_path / "vectors"), spark.range(500).selectExpr("concat('text ', id % 400) as text").selectExpr("text", "sha2(text, 256) as text_hash")
+    told = []
+    assert vector.embed_pending(units, path, vector.HashingEmbedder(8), 5, told.append) == 400
+    assert [(t["done"], t["total"]) for t in told][-1] == (400, 400) and len(told) == 3
+    assert vector.embed_pending(units, path, vector.HashingEmbedder(8), 5) == 0
+    more = units.unionByName(spark.range(7).selectExpr("concat('new ', id) as text").selectExpr("text", "sha2(text, 256) as text_hash"))
+    assert vector.embed_pending(more, path, vector.HashingEmbedder(8), 5) == 7
+    got = spark.read.parquet(path)
+    assert got.count() == got.select("text_hash").distinct().count() == 407
