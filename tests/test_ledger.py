@@ -231,3 +231,12 @@ def test_a_purged_log_is_written_by_one_task(spark, home):
     assert report["lines"] == 8 and report["files"] == 2 and report["emptied"] == 0
     for s in ("s1", "s2"):
         assert [json.loads(x)["sequence"] for x in log_of(home, s).splitlines()] == [2, 3, 4, 7, 8, 9]
+
+
+def test_ranges_are_read_by_many_tasks(spark, tmp_path, monkeypatch):
+    """Rows that name ranges are small, but what they stand for is not: they are not put together into one task."""
+    monkeypatch.setattr(raw, "RANGE", 1000)
+    write(str(tmp_path / "l.jsonl"), [f"{i:099d}" for i in range(300)])
+    found = raw.lines(spark, str(tmp_path / "l.jsonl")).withColumn("task", F.spark_partition_id()).collect()
+    assert [r.raw_line for r in sorted(found, key=lambda r: r.raw_offset)] == list(range(1, 301))
+    assert len({r.task for r in found}) > 1
