@@ -73,10 +73,11 @@ def _starts(f, a: int, b: int) -> Iterator[tuple[int, bytes, bool]]:
         yield at - len(held), held, False
 
 
-def _spread(rows: DataFrame, *columns: str) -> DataFrame:
-    """Ranges dealt over tasks. Their number is given: rows that are so small would else be taken for the work of one task."""
+def _spread(rows: DataFrame) -> DataFrame:
+    """Ranges dealt over tasks in turn. Their number is given: rows that are so small would else be taken for the work of one task. A shuffle by
+    columns is left out behind a join on them, whose few rows come in one task."""
     spark = rows.sparkSession
-    return rows.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism), *columns)
+    return rows.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism))
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -113,12 +114,12 @@ def lines_from(files: DataFrame) -> DataFrame:
     step = F.sequence(F.col("resume_offset"), F.greatest("resume_offset", F.col("size") - 1), F.lit(RANGE).cast("long"))
     ranges = files.where("size > resume_offset").select("raw_file", "size", "last_line", F.posexplode(step).alias("k", "a"))
     ranges = ranges.withColumn("b", F.least(F.col("a") + RANGE, F.col("size"))).withColumn("many", F.col("size") > F.col("a") - F.col("k") * RANGE + RANGE)
-    spread = _spread(ranges, "raw_file", "k")
+    spread = _spread(ranges)
     counted = spread.where("many").select("raw_file", "a", "b").mapInArrow(_counted, "raw_file string, a long, b long, n long")
     w = Window.partitionBy("raw_file").orderBy("a").rowsBetween(Window.unboundedPreceding, -1)
     upto = counted.select("raw_file", "a", F.coalesce(F.sum("n").over(w), F.lit(0)).alias("upto"))
     first = ranges.join(upto, ["raw_file", "a"], "left").select("raw_file", "a", "b", (F.col("last_line") + F.coalesce("upto", F.lit(0))).cast("long").alias("before"))
-    return _spread(first, "raw_file", "a").mapInArrow(_read, LINES).where("complete or line <> ''")
+    return _spread(first).mapInArrow(_read, LINES).where("complete or line <> ''")
 
 
 def lines(spark: SparkSession, *paths: str) -> DataFrame:
@@ -131,7 +132,7 @@ def lines_before(files: DataFrame) -> DataFrame:
     """(raw_file, n): how many lines start before the place `upto` of each file, counted by ranges."""
     step = F.sequence(F.lit(0).cast("long"), F.greatest(F.col("upto") - 1, F.lit(0)), F.lit(RANGE).cast("long"))
     ranges = files.select("raw_file", "upto", F.explode(step).alias("a")).select("raw_file", "a", F.least(F.col("a") + RANGE, F.col("upto")).alias("b"))
-    return _spread(ranges, "raw_file", "a").mapInArrow(_counted, "raw_file string, a long, b long, n long").groupBy("raw_file").agg(F.sum("n").alias("n"))
+    return _spread(ranges).mapInArrow(_counted, "raw_file string, a long, b long, n long").groupBy("raw_file").agg(F.sum("n").alias("n"))
 
 
 def folder_tool(path: "F.Column") -> "F.Column":
@@ -177,7 +178,8 @@ def scan_home(spark: SparkSession, home: str) -> DataFrame:
 
 def envelopes(found: DataFrame) -> DataFrame:
     """Parsed envelopes with `fault`: why a line is none, or null. The envelope's own offset wins over the scanned one."""
-    rows = found.where(F.trim("line") != "").withColumn("e", F.from_json("line", ENVELOPE))
+    # a filter on the fault is not moved below an explode, where it would parse the line again for each column that it names
+    rows = found.where(F.trim("line") != "").select("*", F.explode(F.array(F.from_json("line", ENVELOPE))).alias("e"))
     own = [c for c in ENVELOPE.names if c not in ("raw_file", "raw_offset")]
     flat = rows.select("raw_file", "raw_line", F.coalesce("e.raw_offset", "raw_offset").alias("raw_offset"), *(F.col(f"e.{c}").alias(c) for c in own), *(c for c in found.columns if c in ("folder_tool", "line")))
     out = envelope_faults(flat)

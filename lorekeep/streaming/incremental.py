@@ -337,6 +337,22 @@ def drain(spark: SparkSession, home: str, store: Store, passes: int = 8) -> int:
     return total
 
 
+def first_of_lines(spark: SparkSession, files: list[str]) -> DataFrame:
+    """(raw_file, raw_line, raw_offset, line): the lines of files that are not blank, of equal ones the first by file and line. Equal lines are
+    equal events, so only one of them is shaped. A place is one number, the file's rank times more than any file's bytes plus the line's number
+    or offset, so that equal lines are combined by hash before the shuffle, without sorting."""
+    listed = raw.listing(spark, *files)
+    known = sorted((r.raw_file, r.size) for r in listed.select("raw_file", "size").distinct().collect())
+    step = F.lit(max(size for _, size in known) + 2).cast("long")
+    ranks = F.broadcast(spark.createDataFrame([(name, i) for i, (name, _) in enumerate(known)], "raw_file string, rank long"))
+    found = raw.lines_from(listed.withColumns({"resume_offset": F.lit(0).cast("long"), "last_line": F.lit(0).cast("long")})).where(F.trim("line") != "").join(ranks, "raw_file")
+    place = lambda c: F.min(F.col("rank") * step + F.col(c)).alias(c)
+    firsts = found.groupBy("line").agg(place("raw_line"), place("raw_offset"))
+    own = F.broadcast(ranks.select("raw_file", (F.col("rank") * step).alias("__base")))
+    firsts = firsts.withColumn("__base", F.col("raw_offset") - F.pmod("raw_offset", step)).join(own, "__base")
+    return firsts.select("raw_file", (F.col("raw_line") - F.col("__base")).alias("raw_line"), (F.col("raw_offset") - F.col("__base")).alias("raw_offset"), "line")
+
+
 def follow(spark: SparkSession, landing: str, store: Store, checkpoint: str, once: bool = True):
     """A stream over landed, immutable JSONL files of hook payloads (tool, payload per line): events append with the file and line they
     came from, repeated keys drop out. Out-of-order and late events are taken as they come."""
@@ -349,9 +365,8 @@ def follow(spark: SparkSession, landing: str, store: Store, checkpoint: str, onc
         files = [r.raw_file for r in batch.select("raw_file").distinct().collect()]  # files of one batch
         if not files:
             return
-        landed = raw.lines(batch.sparkSession, *files)
         pair = F.from_json("line", "tool string, payload string")
-        named = landed.where(F.trim("line") != "").select("raw_file", "raw_line", "raw_offset", pair.alias("p")).select("raw_file", "raw_line", "raw_offset", "p.tool", "p.payload")
+        named = first_of_lines(batch.sparkSession, files).select("raw_file", "raw_line", "raw_offset", pair.alias("p")).select("raw_file", "raw_line", "raw_offset", "p.tool", "p.payload")
         store.append(document.with_documents(canonical.from_hooks(named)))
 
     writer = rows.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint)

@@ -10,6 +10,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from lorekeep import paths
 from lorekeep.errors import UnavailableError
 from lorekeep.operators import derive, keys, lexical, sessions, store
 from lorekeep.operators.keys import KeyTable
@@ -240,3 +241,28 @@ def test_ranges_are_read_by_many_tasks(spark, tmp_path, monkeypatch):
     found = raw.lines(spark, str(tmp_path / "l.jsonl")).withColumn("task", F.spark_partition_id()).collect()
     assert [r.raw_line for r in sorted(found, key=lambda r: r.raw_offset)] == list(range(1, 301))
     assert len({r.task for r in found}) > 1
+
+
+def test_ranges_behind_a_join_are_read_by_many_tasks(spark, tmp_path, monkeypatch):
+    """Where counts of lines are joined by a shuffle on the range, its tasks may be put together; those that read are not."""
+    monkeypatch.setattr(raw, "RANGE", 1000)
+    write(str(tmp_path / "l.jsonl"), [f"{i:099d}" for i in range(300)])
+    names = "spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold"
+    for name in names:
+        spark.conf.set(name, "-1")
+    try:
+        found = raw.lines(spark, str(tmp_path / "l.jsonl")).withColumn("task", F.spark_partition_id()).collect()
+    finally:
+        for name in names:
+            spark.conf.unset(name)
+    assert [r.raw_line for r in sorted(found, key=lambda r: r.raw_offset)] == list(range(1, 301))
+    assert len({r.task for r in found}) > 1
+
+
+def test_a_line_is_parsed_once(spark, tmp_path):
+    """A filter on faults does not parse the line again for each column that a fault names."""
+    write(str(tmp_path / "raw" / "claude" / "claude_s1.jsonl"), [json.dumps({"tool": "claude"})])
+    found = paths.staged(raw.scan_home(spark, str(tmp_path)), "parsed")
+    good = raw.envelopes(found).where("fault is null").drop("fault", "line", "folder_tool")
+    assert good._jdf.queryExecution().optimizedPlan().toString().count("from_json(") == 1
+    assert raw.envelopes(found).select("fault").collect()[0].fault == "schema_version"

@@ -192,6 +192,21 @@ def test_follow_stream(spark, tmp_path):
     assert sorted((r.raw_file.rpartition("/")[2], r.raw_line) for r in store.events().collect()) == [("a.json", 1), ("a.json", 2)]
 
 
+def test_follow_shapes_equal_lines_once(spark, tmp_path, monkeypatch):
+    """However often a payload lands, it is shaped once, and its place is that of its first line by file and line."""
+    shaped, own = [], document.with_documents
+    monkeypatch.setattr(document, "with_documents", lambda events: (shaped.append(events.count()), own(events))[1])
+    line = lambda i: json.dumps({"tool": "claude", "payload": json.dumps({"hook_event_name": "UserPromptSubmit", "session_id": "s", "prompt": f"p{i}"})})
+    write(str(tmp_path / "landing" / "a.json"), [line(2), "", *[line(i % 3) for i in range(30)]])
+    write(str(tmp_path / "landing" / "b.json"), [line(i % 5) for i in range(50)])
+    store = incremental.Store(spark, str(tmp_path / "store"))
+    incremental.follow(spark, str(tmp_path / "landing"), store, str(tmp_path / "cp")).awaitTermination()
+    assert shaped == [5]
+    found = {r.user_text: (r.raw_file.rpartition("/")[2], r.raw_line, r.raw_offset) for r in store.events().collect()}
+    n = len(line(0)) + 1
+    assert found == {"p2": ("a.json", 1, 0), "p0": ("a.json", 3, n + 1), "p1": ("a.json", 4, 2 * n + 1), "p3": ("b.json", 4, 3 * n), "p4": ("b.json", 5, 4 * n)}
+
+
 def indexed(spark, tmp_path):
     log = f"{tmp_path}/raw/claude/claude_s1.jsonl"
     write(log, [envelope(i) for i in range(5)] + [envelope(8, canonical_type="assistant.delta", payload={"text": "prompt delta"})])
