@@ -63,13 +63,15 @@ class KeyTable:
     def add(self, rows: DataFrame, gens: dict[str, dict], n: int | None = None) -> dict[str, dict]:
         """The generations with one more, of these rows; tiers that are full become one. n: how many, of rows that are staged."""
         gen = uuid.uuid4().hex
-        aside = paths.staged(rows, "keys") if n is None else rows
-        n = aside.count() if n is None else n
+        if n is None:
+            with paths.Scratch(self.spark) as scratch:
+                aside = scratch.staged(rows, "keys")
+                return self.add(aside, gens, aside.count())
         if not n:
             return dict(gens)
         buckets = 1 << max(0, math.ceil(math.log2(n / PER)))
-        dealt = aside.withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(buckets)).cast("int"))
-        dealt.repartition(buckets, "bucket").sortWithinPartitions("bucket", "key").write.partitionBy("bucket").parquet(f"{self.path}/keys/gen={gen}")
+        dealt = rows.withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(buckets)).cast("int"))
+        dealt.repartition(buckets, "bucket").sortWithinPartitions("bucket", "key").write.option("compression", "zstd").partitionBy("bucket").parquet(f"{self.path}/keys/gen={gen}")
         written = self._read([f"{self.path}/keys/gen={gen}"])
         written.select("bucket", *_hashes(F.col("key"))).groupBy("bucket").applyInArrow(_filter, "bucket int, n long, bits binary").write.parquet(f"{self.path}/filters/gen={gen}")
         out = dict(gens) | {gen: {"n": n, "buckets": buckets}}

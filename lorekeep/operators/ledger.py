@@ -61,6 +61,10 @@ class Ledger:
 
     def refresh(self, logs: DataFrame) -> int:
         """Cover what logs gained; how many lines that were."""
+        with paths.Scratch(self.spark) as scratch:
+            return self._refresh(logs, scratch)
+
+    def _refresh(self, logs: DataFrame, scratch: paths.Scratch) -> int:
         version, state = self.manifest.read()[0], self.state()
         known = self.covered()
         was = known.where("source_size >= 0").select(F.col("source_path").alias("raw_file"), "source_size", "source_mtime")
@@ -68,13 +72,13 @@ class Ledger:
             return 0
         placed = incremental.positions(logs, known).join(known.select(F.col("source_path").alias("raw_file"), F.col("epoch").alias("old_epoch")), "raw_file", "left")
         epoch = F.coalesce("old_epoch", F.lit(0)) + F.col("state").isin("truncated", "rotated").cast("int")
-        files = paths.staged(placed.withColumn("epoch", epoch), "ledger-files")
+        files = scratch.staged(placed.withColumn("epoch", epoch), "files")
         work = files.where("state not in ('skipped', 'current')")
         found = raw.lines_from(work.select("raw_file", "size", "resume_offset", "last_line")).where("complete")
         get = lambda name: F.get_json_object("line", f"$.{name}").alias(name)
         end = F.col("raw_offset") + F.octet_length("line") + 1
         lines = found.select("raw_file", "raw_line", "raw_offset", end.alias("end"), F.sha2(F.rtrim("line"), 256).alias("h"), *map(get, ("dedupe_key", "tool", "session_id", "captured_at", "payload_ref")))
-        lines = paths.staged(lines.join(files.select("raw_file", "epoch"), "raw_file"), "ledger-lines")
+        lines = scratch.staged(lines.join(files.select("raw_file", "epoch"), "raw_file"), "lines")
         n = lines.count()
         if n:
             state |= self._held(lines.withColumn("zone", F.floor(F.col("raw_offset") / ZONE).cast("long")), state, n)
@@ -126,16 +130,20 @@ class Ledger:
         known.join(rows.select("source_path"), "source_path", "left_anti").select(*known.columns).unionByName(rows).write.mode("overwrite").parquet(f"{self.path}/covered/{covered}")
         self.manifest.write(version, state | {"covered": covered})
 
-    def unseen(self, rows: DataFrame, logs: DataFrame) -> DataFrame:
-        """Rows (raw_file, dedupe_key, ...) that no log of theirs holds. Damaged keys are made anew from the logs."""
+    def unseen(self, rows: DataFrame, logs: DataFrame, scratch: paths.Scratch) -> DataFrame:
+        """Rows (raw_file, dedupe_key, ...) that no log of theirs holds, as long as scratch is there. Damaged keys are made anew from the logs."""
         now = self.covered().select(F.col("source_path").alias("raw_file"), "epoch")
         keyed = rows.join(now, "raw_file", "left").withColumn("__key", log_key(F.col("raw_file"), F.coalesce("epoch", F.lit(0)), F.col("dedupe_key"))).drop("epoch")
-        keyed = paths.staged(keyed, "asked")
+        gens = self.state()["gens"]
+        if not gens:
+            return keyed.drop("__key")
+        keyed = scratch.staged(keyed, "asked")
         try:
-            out = self.table.unseen(keyed, self.state()["gens"], "__key")
+            out = self.table.unseen(keyed, gens, "__key")
         except DamagedError:
             self.rebuild(logs)
-            return self.unseen(rows, logs)
+            scratch.drop("asked")
+            return self.unseen(rows, logs, scratch)
         return out.drop("__key")
 
     def rebuild(self, logs: DataFrame) -> None:

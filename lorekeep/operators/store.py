@@ -181,7 +181,11 @@ class Home:
         grew since the ledger saw them."""
         columns = [F.col(c) if c in envelopes.columns else F.lit(None).cast(ENVELOPE[c].dataType).alias(c) for c in ENVELOPE.names if c not in ("raw_file", "raw_offset")]
         rows = envelopes.select(*columns).withColumn("raw_file", self.raw_file(F.col("tool"), F.col("filename_session_id")))
-        rows = paths.staged(rows, "envelopes")  # shaping them may be dear
+        with paths.Scratch(self.spark) as scratch:
+            return self._append(rows, scratch)
+
+    def _append(self, rows: DataFrame, scratch: paths.Scratch) -> DataFrame:
+        rows = scratch.staged(rows, "envelopes")  # shaping them may be dear
         # the first of a key, combined before the shuffle
         row = F.struct(*rows.columns)
         arrival = F.struct(F.col("sequence").isNull(), "sequence", "captured_at", F.xxhash64(*(c for c in rows.columns)))
@@ -190,7 +194,7 @@ class Home:
         with self.store.lock(WAIT):
             logs = self.logs()
             self.ledger.refresh(logs)
-            rows = self.ledger.unseen(rows, logs)
+            rows = self.ledger.unseen(rows, logs, scratch)
             # the payload goes into the line as it is, not as text
             names = [c for c in rows.columns if c not in ("raw_file", "payload")]
             head = F.to_json(F.struct(*names))
@@ -199,7 +203,8 @@ class Home:
             rows = rows.withColumn("__head", head).withColumn("__line", line).join(ends, "raw_file", "left")
             base = F.coalesce("source_size", F.lit(0)).alias("base")
             lines = rows.select("raw_file", base, F.coalesce(F.col("source_size") > F.col("byte_offset"), F.lit(False)).alias("torn"), "__line", "sequence", "captured_at", "dedupe_key", "tool", "session_id", "payload_ref")
-            lines = paths.staged(lines, "lines")
+            lines = scratch.staged(lines, "lines")
+            scratch.drop("envelopes", "asked")
             if lines.isEmpty():
                 return self.spark.createDataFrame([], "raw_file string, lines long, bytes long")
             ordered = lines.repartition("raw_file").sortWithinPartitions("raw_file", F.asc_nulls_last("sequence"), "captured_at", "dedupe_key", "__line").select("raw_file", "base", "torn", "__line")
@@ -271,9 +276,13 @@ class Home:
         if (session_id is None) == (before is None) or (session_id is not None and tool not in TOOLS):
             raise ValidationError("name a session of a tool, or an instant")
         with self.store.lock(WAIT):
-            return self._purge(tool, session_id, before)
+            with paths.Scratch(self.spark) as scratch:
+                report = self._cut(tool, session_id, before, scratch)
+            if report["lines"]:
+                incremental._pass(self.spark, self.path, self.store)
+            return report | {"blobs": self.collect_blobs()}
 
-    def _purge(self, tool: str | None, session_id: str | None, before: str | None) -> dict[str, int]:
+    def _cut(self, tool: str | None, session_id: str | None, before: str | None, scratch: paths.Scratch) -> dict[str, int]:
         logs = self.logs()
         self.ledger.refresh(logs)
         limit = None if before is None else times.threshold(before, "before")
@@ -282,32 +291,36 @@ class Home:
         found = raw.lines_from(logs.join(opened, "raw_file", "left_semi").withColumns({"resume_offset": F.lit(0).cast("long"), "last_line": F.lit(0).cast("long")}))
         e = F.from_json("line", ENVELOPE)
         doomed = (e["tool"] == tool) & (e["session_id"] == session_id) if session_id is not None else e["captured_at"] < limit
-        marked = paths.staged(found.withColumn("doomed", F.coalesce(doomed, F.lit(False))).withColumn("dedupe_key", e["dedupe_key"]), "purge")
+        marked = found.withColumn("doomed", F.coalesce(doomed, F.lit(False))).withColumn("dedupe_key", e["dedupe_key"])
+        marked = scratch.staged(marked.withColumn("line", F.when(~F.col("doomed"), F.col("line"))), "marked")
         touched = marked.where("doomed").select("raw_file").distinct()
         gone = marked.where("doomed").count()
         if not gone:
-            return {"lines": 0, "files": 0, "emptied": 0, "blobs": self.collect_blobs()}
+            return {"lines": 0, "files": 0, "emptied": 0}
         staying = marked.where("not doomed").join(touched, "raw_file", "left_semi").select("raw_file", "raw_line", "line", "complete")
         named = touched.select("raw_file", F.lit(0).cast("long").alias("raw_line"), F.lit(None).cast("string").alias("line"), F.lit(False).alias("complete"))
         # dealt by a hash of the name: a shuffle by the name itself is left out behind a join on it, whose tasks may share a log
         rows = staying.unionByName(named).repartition(F.xxhash64("raw_file")).sortWithinPartitions("raw_file", "raw_line").select("raw_file", "line", "complete")
         files = paths.staged(rows.mapInArrow(_rewritten, "raw_file string, lines long"), "rewritten")
         self.ledger.refresh(self.logs())
-        self._forget(marked, touched)
-        incremental._pass(self.spark, self.path, self.store)
-        return {"lines": gone, "files": files.count(), "emptied": files.where("lines = 0").count(), "blobs": self.collect_blobs()}
+        # of the lines only the keys of those that went are needed on
+        went = scratch.staged(marked.where("doomed").select("raw_file", "dedupe_key"), "went")
+        touched = scratch.staged(touched, "touched")
+        scratch.drop("marked")
+        self._forget(went, touched, scratch)
+        return {"lines": gone, "files": files.count(), "emptied": files.where("lines = 0").count()}
 
     def _plain(self, column: str) -> "F.Column":
         return F.regexp_replace(F.col(column), "^file:/+", "/") if self.path.startswith("/") else F.col(column)
 
-    def _forget(self, marked: DataFrame, touched: DataFrame) -> None:
-        """Take events of lines that went out of the store, and give those behind them their new places."""
+    def _forget(self, went: DataFrame, touched: DataFrame, scratch: paths.Scratch) -> None:
+        """Take events of lines that went (raw_file, dedupe_key) out of the store, and give those behind them their new places."""
         batches = list(self.store.state()["batches"])
         if not batches:
             return
-        touched = paths.staged(touched.withColumnRenamed("raw_file", "__file"), "touched")
+        touched = touched.withColumnRenamed("raw_file", "__file")
         # an event that another log holds too may be stored from that one
-        gone = marked.where("doomed").select(F.col("raw_file").alias("__file"), "dedupe_key").distinct()
+        gone = went.select(F.col("raw_file").alias("__file"), "dedupe_key").distinct()
         own = [b for b in batches if not self.store.events([b]).select(self._plain("raw_file").alias("__file")).join(touched, "__file", "left_semi").isEmpty()]
         if own:
             again = raw.lines_from(self.logs().join(touched.withColumnRenamed("__file", "raw_file"), "raw_file", "left_semi").withColumns({"resume_offset": F.lit(0).cast("long"), "last_line": F.lit(0).cast("long")}))
@@ -315,10 +328,10 @@ class Home:
             places = places.where("dedupe_key is not null").groupBy("__file", "dedupe_key").agg(F.min(F.struct("__line", "__offset")).alias("__place"))
             events = self.store.events(own).withColumn("__file", self._plain("raw_file"))
             kept = events.join(gone, ["__file", "dedupe_key"], "left_anti").join(places, ["__file", "dedupe_key"], "left")
-            kept = paths.staged(kept.withColumn("__moved", F.coalesce(F.col("__place.__line") != F.col("raw_line"), F.lit(False))), "kept")
+            kept = scratch.staged(kept.withColumn("__moved", F.coalesce(F.col("__place.__line") != F.col("raw_line"), F.lit(False))), "kept")
             changed = events.join(gone, ["__file", "dedupe_key"], "left_semi").select("dedupe_key", F.lit(True).alias("gone")).unionByName(kept.where("__moved").select("dedupe_key", F.lit(False).alias("gone")))
             now = kept.withColumn("raw_line", F.when(F.col("__moved"), F.col("__place.__line")).otherwise(F.col("raw_line"))).withColumn("raw_offset", F.when(F.col("__moved"), F.col("__place.__offset")).otherwise(F.col("raw_offset")))
-            self.store.rewrite(own, now.drop("__file", "__place", "__moved"), paths.staged(changed, "changed"))
+            self.store.rewrite(own, now.drop("__file", "__place", "__moved"), scratch.staged(changed, "changed"))
         left = self.store.checkpoints().withColumn("__file", self._plain("source_path")).join(touched, "__file", "left_anti").drop("__file")
         self.store.checkpoint(left)
 

@@ -22,5 +22,30 @@ def shared_folder(spark: SparkSession) -> str:
 def staged(df: DataFrame, name: str) -> DataFrame:
     """df written to a new folder below the shared one and read back: it is computed once, and survives lost executors."""
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+class Scratch:
+    """Staged tables of one piece of work. They are deleted when it ends well, or before, so nothing that is read later may come from them; work
+    that fails leaves them behind."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.path = spark, f"{shared_folder(spark)}/scratch-{uuid.uuid4().hex}"
+
+    def staged(self, df: DataFrame, name: str) -> DataFrame:
+        path = f"{self.path}/{name}"
+        df.write.option("compression", "zstd").parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self, *names: str) -> None:
+        for path in [f"{self.path}/{n}" for n in names] or [self.path]:
+            p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, kind, *_error) -> None:
+        if kind is None:
+            self.drop()

@@ -17,6 +17,7 @@ import math
 import threading
 import time
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -114,19 +115,19 @@ class Store:
     def _write(self, events: DataFrame, batch: str) -> int:
         """A batch and what is derived from it; how many events."""
         path = f"{self.path}/events/batch={batch}"
-        events.write.parquet(path)
+        events.write.option("compression", "zstd").parquet(path)
         written = self.spark.read.schema(events.schema).parquet(path)
         for name, rows in derived(written).items():
-            rows.write.parquet(f"{self.path}/views/{name}/batch={batch}")
+            rows.write.option("compression", "zstd").parquet(f"{self.path}/views/{name}/batch={batch}")
         return written.count()
 
-    def append(self, events: DataFrame) -> int:
+    def append(self, events: DataFrame, shape: Callable[[DataFrame], DataFrame] = lambda new: new) -> int:
         """Events whose key is not in the store, the first of each key, as a batch; how many these were. They are written aside first, so that
-        neither reading logs nor shaping documents is done twice."""
+        neither reading logs nor shaping documents is done twice. shape: what is done to new ones only, where keys are known before."""
         version, state = self.manifest.read()[0], self.state()
         aside = f"{self.path}/incoming-{uuid.uuid4().hex}"
         fresh = derive.first_wins(events)
-        fresh.write.parquet(aside)
+        fresh.write.option("compression", "zstd").parquet(aside)
         rows = self.spark.read.schema(fresh.schema).parquet(aside)
         try:
             new = self.keys.unseen(rows, state["gens"], "dedupe_key")
@@ -135,7 +136,7 @@ class Store:
             new = self.keys.unseen(rows, state["gens"], "dedupe_key")
         batch, added = self._fresh(), 0
         if not new.isEmpty():
-            added = self._write(new, batch)
+            added = self._write(shape(new), batch)
             state["gens"] = self.keys.add(self.events([batch]).select(F.col("dedupe_key").alias("key")), state["gens"], added)
             state["batches"] |= {batch: {"n": added, "from": []}}
             self.manifest.write(version, state)
@@ -267,7 +268,7 @@ def index_once(spark: SparkSession, home: str, store: Store) -> dict[str, int]:
 
 def _pass(spark: SparkSession, home: str, store: Store) -> dict[str, int]:
     aside = f"{store.path}/pass-{uuid.uuid4().hex}"
-    kept = lambda df, name: (df.write.parquet(f"{aside}/{name}"), spark.read.schema(df.schema).parquet(f"{aside}/{name}"))[1]
+    kept = lambda df, name: (df.write.option("compression", "zstd").parquet(f"{aside}/{name}"), spark.read.schema(df.schema).parquet(f"{aside}/{name}"))[1]
     try:
         listed = raw.listing(spark, f"{home}/raw/*/*.jsonl")
     except Exception as e:  # no log yet
@@ -288,9 +289,10 @@ def _pass(spark: SparkSession, home: str, store: Store) -> dict[str, int]:
     found = kept(found, "lines")
     parsed = raw.envelopes(found)
     good = parsed.where("fault is null").drop("fault", "line", "folder_tool")
-    events = document.with_documents(good.withColumnRenamed("dedupe_key", "__key")).withColumn("dedupe_key", F.coalesce("__key", "dedupe_key")).drop("__key")
     broken = document.with_documents(discontinuities(files, deleted))
-    added = store.append(events.unionByName(broken, allowMissingColumns=True))
+    rows = good.unionByName(broken.select(*(c for c in good.columns if c in broken.columns)), allowMissingColumns=True)
+    # a valid envelope has its key, so only events that are new need documents
+    added = store.append(rows, lambda new: document.with_documents(new.withColumnRenamed("dedupe_key", "__key")).withColumn("dedupe_key", F.col("__key")).drop("__key"))
     last = found.groupBy("raw_file").agg(F.max_by(F.struct("raw_line", "raw_offset", F.sha2(F.rtrim("line"), 256).alias("h"), (F.col("raw_offset") + F.octet_length("line") + 1).alias("end")), "raw_line").alias("l"))
     old = checkpoints.select(F.col("source_path").alias("raw_file"), F.col("last_offset").alias("old_offset"), F.col("last_line_hash").alias("old_hash"), F.col("last_line").alias("old_line"))
     now = files.select("raw_file", "size", "modified", "state", "resume_offset").join(last, "raw_file", "left").join(old, "raw_file", "left")

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from lorekeep import paths
 from lorekeep.errors import UnavailableError
-from lorekeep.operators import derive, keys, lexical, sessions, store
+from lorekeep.operators import derive, document, keys, lexical, sessions, store
 from lorekeep.operators.keys import KeyTable
 from lorekeep.operators.store import Home
 from lorekeep.schema import TEXT_COLUMNS
@@ -266,3 +266,19 @@ def test_a_line_is_parsed_once(spark, tmp_path):
     good = raw.envelopes(found).where("fault is null").drop("fault", "line", "folder_tool")
     assert good._jdf.queryExecution().optimizedPlan().toString().count("from_json(") == 1
     assert raw.envelopes(found).select("fault").collect()[0].fault == "schema_version"
+
+
+def test_appends_and_purges_leave_no_copies_of_lines(spark, home, monkeypatch):
+    """What is staged on the way goes when it is done with, and a pass behind a purge shapes no event that the store has."""
+    def names():
+        return set(os.listdir(spark.conf.get("spark.checkpoint.dir")))
+
+    before = names()
+    home.append(rows(spark, range(10)))
+    incremental.index_once(spark, home.path, home.store)
+    shaped, own = [], document.with_documents
+    monkeypatch.setattr(document, "with_documents", lambda events: (shaped.append(events.count()), own(events))[1])
+    assert home.purge(before="2024-01-03")["lines"] == 4
+    assert sum(shaped) == 0
+    assert home.store.events().count() == 6 and len(log_of(home).splitlines()) == 6
+    assert {n.rpartition("-")[0] for n in names() - before} <= {"appended", "covered", "rewritten", "admitted"}
